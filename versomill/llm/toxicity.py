@@ -30,7 +30,7 @@ from .common import documents, map_batches, sampled_labels
 #: Lengths of n-grams in bytes, marks included; log2 of the buckets; size of an embedding.
 GRAMS, BITS, DIM = (4, 5, 6, 7), 18, 4
 #: Labelled rows that the model is fitted on at most (a documented bound), and passes over them.
-SAMPLE, EPOCHS = 4000, 80
+SAMPLE, EPOCHS = 4000, 40
 
 _rng = np.random.default_rng(99)
 _CHAR = _rng.integers(1, 2**31, 256, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -120,7 +120,7 @@ def bags(column: pa.Array) -> Bags:
     order = np.argsort(owner, kind="stable")
     of_word = np.bincount(owner, minlength=len(spelled))
     grams = np.bincount(text, count * of_word[word] if len(word) else None, len(column))
-    return Bags(text, word, count, owner[order], bucket[order].astype(np.int64), grams, len(column), len(spelled))
+    return Bags(text.astype(np.int32), word.astype(np.int32), count, owner[order].astype(np.int32), bucket[order].astype(np.int32), grams, len(column), len(spelled))
 
 
 @dataclass
@@ -155,8 +155,50 @@ def _sums(values: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def train(bag: Bags, label: np.ndarray, epochs: int = EPOCHS, rate: float = 0.05, decay: float = 1e-5, seed: int = 5) -> Model:
-    """Embeddings and softmax together, by Adam over all texts at once."""
+def _descend(bag: Bags, entry: np.ndarray, used: np.ndarray, weight: np.ndarray, share_of: np.ndarray, y: np.ndarray, params: list[np.ndarray], epochs: int, rate: float, sparse: float) -> list[np.ndarray]:
+    """Gradient descent with momentum on embeddings, softmax and bias, over all texts at once.
+
+    ``sparse`` is a penalty on the length of each embedding: one that explains less
+    than that is set to nought after each step.
+    """
+    owner, bucket = bag.owner[entry], np.searchsorted(used, bag.bucket[entry]).astype(np.int32)
+    # only pairs of a text and a word that has one of these n-grams
+    words, owner = np.unique(owner, return_inverse=True)
+    of = np.full(bag.n_words, -1, np.int32)
+    of[words] = np.arange(len(words))
+    pair = np.flatnonzero(of[bag.word] >= 0)
+    word, text, share_of, owner = of[bag.word[pair]], bag.text[pair], share_of[pair], owner.astype(np.int32)
+    by_bucket, by_word = np.argsort(bucket, kind="stable").astype(np.int32), np.argsort(word, kind="stable").astype(np.int32)
+    speed = [np.zeros_like(x) for x in params]
+    for _ in range(epochs):
+        emb, out, bias = params
+        of_word = _sums((emb * weight)[bucket], owner, len(words))
+        mean = _sums(of_word[word] * share_of, text, bag.n_texts)
+        logit = mean @ out + bias
+        p = np.exp(logit - logit.max(1, keepdims=True))
+        p = (p / p.sum(1, keepdims=True) - y) / bag.n_texts
+        g_mean = p @ out.T
+        g_word = _sums((g_mean[text] * share_of)[by_word], word[by_word], len(words))
+        g_emb = _sums(g_word[owner[by_bucket]], bucket[by_bucket], len(used)) * weight
+        speed[0] = 0.8 * speed[0] - rate * g_emb
+        emb = emb + speed[0]
+        if sparse:
+            length = np.sqrt((emb**2).sum(1, keepdims=True))
+            emb = emb * np.maximum(0, 1 - rate * sparse / np.maximum(length, 1e-12))
+        for k, g in ((1, mean.T @ p + 1e-4 * out), (2, p.sum(0))):
+            speed[k] = 0.8 * speed[k] - 0.1 * g
+        params = [emb, out + speed[1], bias + speed[2]]
+    return params
+
+
+def train(bag: Bags, label: np.ndarray, epochs: int = EPOCHS, rate: float = 60.0, sparse: float = 0.2, least: int = 8, seed: int = 5) -> Model:
+    """Embeddings and softmax trained together.
+
+    Each n-gram's share of a text is divided by its root mean square over the texts,
+    so that rare and common ones count alike; n-grams of fewer than ``least`` texts
+    would only be learned by heart and are left out.  A first descent with a penalty
+    on embeddings finds the n-grams that matter; a second one without it trains these.
+    """
     size = 1 << BITS
     toxic = label > 0
     share = float(toxic.mean()) if len(label) else 0.0
@@ -164,33 +206,30 @@ def train(bag: Bags, label: np.ndarray, epochs: int = EPOCHS, rate: float = 0.05
     if not len(label) or toxic.all() or not toxic.any():
         return Model(np.zeros(size, np.float32), prior)
     rng = np.random.default_rng(seed)
-    # how many texts have an n-gram, counted by words: what a single text has teaches nothing about others
+    share_of = (bag.count / np.maximum(bag.grams, 1)[bag.text]).astype(np.float32)[:, None]
+    # counted by words: texts that have an n-gram, and its squared shares
     texts_of_word = np.bincount(bag.word, minlength=bag.n_words)
+    squares = np.bincount(bag.word, share_of[:, 0] ** 2, bag.n_words)
     seen = np.bincount(bag.bucket, texts_of_word[bag.owner], size)
-    # a rare n-gram's share of a text is small: this puts all on one scale
-    scale = (np.sqrt(bag.n_texts / np.maximum(seen, 1)) * (seen >= 2)).astype(np.float32)
-    used, bucket = np.unique(bag.bucket, return_inverse=True)
-    by_bucket, by_word = np.argsort(bucket, kind="stable"), np.argsort(bag.word, kind="stable")
-    weight = scale[used][:, None]
-    share_of = (bag.count / np.maximum(bag.grams, 1)[bag.text]).astype(np.float32)[:, None]
+    rms = np.sqrt(np.bincount(bag.bucket, squares[bag.owner], size) / bag.n_texts)
+    used = np.flatnonzero((seen >= least) & (rms > 0))
+    if not len(used):
+        return Model(np.zeros(size, np.float32), prior)
+    unit = 1 / np.sqrt(len(used))
+    weight = (unit / rms[used]).astype(np.float32)[:, None]
     y = np.column_stack([~toxic, toxic]).astype(np.float32)
-    params = [(rng.standard_normal((len(used), DIM)) * 0.02).astype(np.float32), (rng.standard_normal((DIM, 2)) * 0.5).astype(np.float32), np.array([-prior / 2, prior / 2], np.float32)]
-    first, second = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
-    b1, b2 = 0.9, 0.99
-    for t in range(1, epochs + 1):
-        emb, out, bias = params
-        of_word = _sums((emb * weight)[bucket], bag.owner, bag.n_words)
-        mean = _sums(of_word[bag.word] * share_of, bag.text, bag.n_texts)
-        logit = mean @ out + bias
-        p = np.exp(logit - logit.max(1, keepdims=True))
-        p = (p / p.sum(1, keepdims=True) - y) / bag.n_texts
-        g_mean = p @ out.T
-        g_word = _sums((g_mean[bag.text] * share_of)[by_word], bag.word[by_word], bag.n_words)
-        g_emb = _sums(g_word[bag.owner[by_bucket]], bucket[by_bucket], len(used)) * weight + decay / len(used) * emb
-        for k, g in enumerate((g_emb, mean.T @ p + decay * out, p.sum(0))):
-            first[k] = b1 * first[k] + (1 - b1) * g
-            second[k] = b2 * second[k] + (1 - b2) * g * g
-            params[k] = params[k] - rate * (first[k] / (1 - b1**t)) / (np.sqrt(second[k] / (1 - b2**t)) + 1e-10)
+    params = [np.zeros((len(used), DIM), np.float32), (rng.standard_normal((DIM, 2)) * 0.7).astype(np.float32), np.array([-prior / 2, prior / 2], np.float32)]
+    keep = np.zeros(size, bool)
+    keep[used] = True
+    params = _descend(bag, np.flatnonzero(keep[bag.bucket]), used, weight, share_of, y, params, epochs, rate, sparse * unit)
+    active = (params[0] != 0).any(1)
+    if active.any():
+        used, weight = used[active], weight[active]
+        keep[:] = False
+        keep[used] = True
+        params = _descend(bag, np.flatnonzero(keep[bag.bucket]), used, weight, share_of, y, [params[0][active], *params[1:]], 20 * epochs, 4 * rate, 0.0)
+    else:
+        used, weight, params = used[:0], weight[:0], [params[0][:0], *params[1:]]
     emb, out, bias = params
     folded = np.zeros(size, np.float32)
     folded[used] = (emb @ (out[:, 1] - out[:, 0])) * weight[:, 0]
