@@ -2,9 +2,10 @@
 
 Every window of ``n`` words of a test item, or the whole item where it has fewer,
 goes by its hash into a set that is broadcast; its size is checked before, and a
-larger one is joined by a shuffle.  The hashes of a document's windows are made
-within its row, unrolled and looked up in one pass of generated code; a window whose
-hash is there is compared word by word.  Only what was found, and one row for each
+larger one is joined by a shuffle.  A document's windows are scanned within its row;
+those without the longest word of any test window cannot be one and are not hashed.
+Hashes are looked up in generated code; a window whose hash is there is compared word
+by word.  Only what was found, and one row for each
 document, is then grouped by document.
 
 Null and empty texts have no words and are never hit.  Items without an id or
@@ -21,6 +22,8 @@ from .native import WORD, word_array
 
 #: Windows that are broadcast at most: at some 200 bytes each, about 20 MB.
 MOST_WINDOWS = 100_000
+#: Words that a window must have one of, at most; they are part of the plan.
+MOST_ANCHORS = 20_000
 #: Stands for the document itself among the hashes of its windows.
 _SELF = -6148914691236517205
 
@@ -47,44 +50,48 @@ def _coverage(hits: Column) -> Column:
     return F.aggregate(F.array_sort(hits), start, add, lambda acc: acc["total"])
 
 
-def _window_hashes(k: int) -> Column:
-    """A hash for each k consecutive words of ``words``, of which there are ``n``."""
-    each = F.transform(F.sequence(F.lit(1), F.col("n") - k + 1), lambda i: F.xxhash64(F.slice("words", i, k)))
-    return F.when(F.col("n") >= k, each).otherwise(F.array().cast("array<bigint>"))
+def _anchors(windows: DataFrame, most: int) -> list[str] | None:
+    """Words of which every window has one: its longest, as long words are rare ones; None if they are too many."""
+    longest = F.array_max(F.transform("words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    found = [r["w"] for r in windows.select(longest.alias("w")).distinct().limit(most + 1).collect()]
+    return sorted(found) if len(found) <= most else None
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 13, most_windows: int = MOST_WINDOWS) -> DataFrame:
-    """Every row of docs as struct ``doc``, with n_words and hits: (first word, number of words, items), words from 0."""
+def _candidates(k: int) -> Column:
+    """(first word, length, hash) of the windows of k words of ``words`` that hold one of the places ``near``; there are ``n`` words."""
+    starts = F.transform("near", lambda p: F.sequence(F.greatest(F.lit(1), p - k + 1), F.least(p, F.col("n") - k + 1)))
+    each = F.transform(F.array_distinct(F.flatten(starts)), lambda i: F.struct((i - 1).alias("at"), F.lit(k).alias("k"), F.xxhash64(F.slice("words", i, k)).alias("hash")))
+    return F.when(F.col("n") >= k, each).otherwise(F.expr("cast(array() as array<struct<at: int, k: int, hash: bigint>>)"))
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 13, carried: list[str] | None = None, most_windows: int = MOST_WINDOWS, most_anchors: int = MOST_ANCHORS) -> DataFrame:
+    """Every row of docs as struct ``doc`` of the carried columns, with n_words and hits: (first word, number of words, items), words from 0."""
     windows = item_windows(benchmark, n)
     sizes = {r["k"]: r["n"] for r in windows.groupBy("k").agg(F.count("*").alias("n")).collect()}  # n rows at most
-    lengths = sorted(sizes)
+    anchors = _anchors(windows, most_anchors)
     # the row that every document finds
     own = docs.sparkSession.sql(f"select {_SELF}L as hash, cast(null as array<string>) as words, 0 as k, cast(null as array<string>) as items")
     windows = windows.unionByName(own).select("hash", F.col("words").alias("item_words"), "items")
     if sum(sizes.values()) <= most_windows:
         windows = F.broadcast(windows)
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[docs[c] for c in docs.columns]).alias("doc"), word_array(F.col("text")).alias("words"))
-    rows = rows.select("row", "doc", "words", F.size("words").alias("n"))
-    starts = [_window_hashes(k) for k in lengths]
-    rows = rows.select("row", "doc", "words", "n", F.posexplode(F.concat(F.array(F.lit(_SELF)), *starts)).alias("pos", "hash"))
-    found = rows.join(windows, "hash")
-
-    # which length a place belongs to: each length has its n - k + 1 places one after another
-    k, at, first = F.lit(0), F.lit(-1), F.lit(1)
-    for x in lengths:
-        here = F.greatest(F.lit(0), F.col("n") - x + 1)
-        inside = (F.col("pos") >= first) & (F.col("pos") < first + here)
-        k, at, first = F.when(inside, x).otherwise(k), F.when(inside, F.col("pos") - first).otherwise(at), first + here
-    found = found.withColumns({"k": k, "at": at})
+    doc = F.struct(*[docs[c].alias(c) for c in (carried or ["doc_id"])])
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), doc.alias("doc"), word_array(F.col("text")).alias("words"))
+    if anchors is None:
+        near = F.when(F.size("words") > 0, F.sequence(F.lit(1), F.size("words"))).otherwise(F.array().cast("array<int>"))
+    else:
+        place = F.filter(F.transform("words", lambda w, i: F.when(w.isin(anchors), i + 1)), lambda i: i.isNotNull())
+        near = F.when(F.arrays_overlap("words", F.array(*map(F.lit, anchors)).cast("array<string>")), place).otherwise(F.array().cast("array<int>"))
+    rows = rows.select("row", "doc", "words", F.size("words").alias("n"), near.alias("near"))
+    itself = F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("k"), F.lit(_SELF).alias("hash")))
+    rows = rows.select("row", "doc", "words", "n", F.inline(F.concat(itself, *[_candidates(k) for k in sorted(sizes)])))
     # compared inside a function, or the words would become a join key that every window has to make
     same = F.exists(F.array("item_words"), lambda w: w == F.slice("words", F.col("at") + 1, F.col("k")))
-    found = found.where(F.when(F.col("pos") == 0, F.col("item_words").isNull()).otherwise(same))
-    hit = F.when(F.col("pos") > 0, F.struct("at", "k", "items"))
+    found = rows.join(windows, "hash").where(F.when(F.col("at") < 0, F.col("item_words").isNull()).otherwise(same))
     return found.groupBy("row").agg(
-        F.first(F.when(F.col("pos") == 0, F.col("doc")), ignorenulls=True).alias("doc"),
+        F.first(F.when(F.col("at") < 0, F.col("doc")), ignorenulls=True).alias("doc"),
         F.max(F.col("n").cast("long")).alias("n_words"),
-        F.collect_list(hit).alias("hits"),
+        F.collect_list(F.when(F.col("at") >= 0, F.struct("at", "k", "items"))).alias("hits"),
     ).drop("row")
 
 
@@ -94,14 +101,14 @@ def _contaminated(n_hit: Column, n_words: Column, percent: int) -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, percent: int = 5) -> DataFrame:
     """For every row: doc_id, n_words, n_hit (words in any hit), items and contaminated (n_hit of ``percent`` % or more)."""
-    found = find_hits(docs.select("doc_id", "text"), benchmark, n)
+    found = find_hits(docs.select("doc_id", "text"), benchmark, n, ["doc_id"])
     found = found.select(F.col("doc.doc_id").alias("doc_id"), "n_words", _coverage(F.col("hits")).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"])))).alias("items"))
     return found.withColumn("contaminated", _contaminated(F.col("n_hit"), F.col("n_words"), percent))
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, n: int = 13, percent: int = 5) -> DataFrame:
     """docs without contaminated rows; from other rows with hits, the words hit and what parts them are cut out."""
-    found = find_hits(docs, benchmark, n).withColumn("n_hit", _coverage(F.col("hits")))
+    found = find_hits(docs, benchmark, n, docs.columns).withColumn("n_hit", _coverage(F.col("hits")))
     found = found.where(~_contaminated(F.col("n_hit"), F.col("n_words"), percent))
     text = F.col("doc.text")
     parts = F.regexp_extract_all(text, F.lit(f"({WORD}+(?:(?!{WORD})[\\s\\S])*)"), 1)
