@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, licenses, neardup, quality, tokencount, tokenfile, toxicity
+from . import bpe, decontam, licenses, neardup, quality, substring, tokencount, tokenfile, toxicity
 from .common import crc_mod
 
 
@@ -55,6 +55,11 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", "n_sentences", "n_removed")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), n=13, percent=5)
     return found.select(
@@ -77,7 +82,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_bpe_round_trip, op3_license_scan, op4_token_files, op5_near_duplicates, op7_decontamination, op8_token_counts, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_toxicity, op2_bpe_round_trip, op3_license_scan, op4_token_files, op5_near_duplicates, op6_substring_dedup, op7_decontamination, op8_token_counts, op10_quality_rules)}
 
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
