@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, licenses, neardup, quality, substring, tokencount, tokenfile, toxicity
+from . import bpe, decontam, hmm, licenses, neardup, quality, substring, tokencount, tokenfile, toxicity
 from .common import crc_mod
 
 
@@ -76,13 +76,18 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"), limit=4096)
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hmm.score(_table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) != 2)
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_bpe_round_trip, op3_license_scan, op4_token_files, op5_near_duplicates, op6_substring_dedup, op7_decontamination, op8_token_counts, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_toxicity, op2_bpe_round_trip, op3_license_scan, op4_token_files, op5_near_duplicates, op6_substring_dedup, op7_decontamination, op8_token_counts, op9_lm_scoring, op10_quality_rules)}
 
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
