@@ -25,6 +25,7 @@ import json
 from dataclasses import dataclass, field
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -233,20 +234,24 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return map_batches(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """Digests of every row's ids and of the text decoded from them, without sending ids between processes."""
+def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """Digests of every row's ids and of the text decoded from them, made where the ids are; the ids too if wanted."""
     docs = documents(docs)
     shipped = _shipped(docs, path)
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
     def run(batches):
         a = automaton(shipped.value)
         for b in batches:
-            counts, coded, decoded = [], [], []
+            counts, coded, decoded, every = [], [], [], []
             for t in b.column(1).to_pylist():
                 ids = a.encode(t) if t else []
                 counts.append(len(ids))
                 coded.append(hashlib.sha256(a.decimal(ids).encode()).hexdigest())
                 decoded.append(hashlib.sha256(a.decode(ids).decode("utf-8", "replace").encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                if with_ids:
+                    every.append(np.array(ids, np.int32))
+            cols = [b.column(0), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
+            yield pa.RecordBatch.from_arrays([*cols, *[pa.array(every, pa.list_(pa.int32()))] * with_ids], names)
 
-    return map_batches(docs, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(docs, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -267,3 +267,20 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     key = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("v"))
     out = base.select("doc_id", "n", key.alias("key")).join(grouped, F.col("key") == grouped["v"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, of which one stays for each class: the one with the smallest id.
+
+    Of rows that are equal in id and text one stays.
+    """
+    gone = written(classes(docs, k, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    few = gone.count() <= MOST_IDS
+    rows = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias("__again"))
+    again = written(again, "again")
+    if again.isEmpty():
+        return rows
+    same = F.col("doc_id") == F.col("__again")
+    once = rows.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return rows.join(again, same, "left_anti").unionByName(once)

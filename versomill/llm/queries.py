@@ -57,7 +57,7 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "text", "n_sentences", "n_removed")
+    return found.select("doc_id", "text", F.col("__n_sentences").alias("n_sentences"), F.col("__n_removed").alias("n_removed"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -134,7 +134,7 @@ def _cut(text: np.ndarray, s: Sentences, d: int, places: np.ndarray) -> tuple[by
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Every row of docs, with its text cut, plus n_sentences (before) and n_removed."""
+    """Every row of docs, with its text cut, plus __n_sentences (before) and __n_removed."""
     gone = repeated_places(docs, min_words)
     small = gone.count() <= MOST_BROADCAST
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("places").alias("__places"))
@@ -161,7 +161,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                         texts[i + d], removed[i + d] = cut.decode("utf-8"), n
             cols = [b.column(k) for k in range(width)]
             cols[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(total), pa.array(removed)], [*b.schema.names[:width], "n_sentences", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(total), pa.array(removed)], [*b.schema.names[:width], "__n_sentences", "__n_removed"])
 
     schema = ", ".join(f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema.fields)
-    return map_batches(rows, run, f"{schema}, n_sentences long, n_removed long")
+    return map_batches(rows, run, f"{schema}, __n_sentences long, __n_removed long")

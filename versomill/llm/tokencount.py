@@ -48,6 +48,12 @@ def pretokens(text: str) -> list[str]:
     return SPLIT.findall(" " + text) if text else []
 
 
+def _lengths(sp, pre: list[str]) -> list[int]:
+    """Tokens of each pre-token; the processor adds the first space itself, but not to an empty text."""
+    alone = len(sp.encode("a ")) - len(sp.encode("a"))
+    return [len(x) or alone for x in sp.encode([p[1:] for p in pre], num_threads=1)] if pre else []
+
+
 def separable(model: bytes) -> bool:
     """Whether counts of pre-tokens add up to counts of texts under this model."""
     import sentencepiece
@@ -99,7 +105,7 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, size: int
         raise ValueError(f"{model_path}: counts of pre-tokens do not add up under this model")
     top = frequent(docs, size)
     processor, _ = _processor(model)
-    table = dict(zip(top, (len(x) for x in processor.encode([p[1:] for p in top], num_threads=1)), strict=True)) if top else {}
+    table = dict(zip(top, _lengths(processor, top), strict=True))
     shipped = context.broadcast((model, table))  # half a megabyte, and at most `size` short strings
 
     def run(batches):
@@ -115,8 +121,7 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, size: int
             if len(cache) > CACHE_SIZE:
                 cache.clear()
             new = [w for w in misses if w not in cache]
-            if new:
-                cache.update(zip(new, map(len, sp.encode([w[1:] for w in new], num_threads=1)), strict=True))
+            cache.update(zip(new, _lengths(sp, new), strict=True))
             counts = np.fromiter((sum(n) if None not in n else sum(missed(w) if v is None else v for w, v in zip(p, n, strict=True)) for p, n in zip(split, lengths, strict=True)), np.int64, len(split))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offs)), pa.array(counts), pa.array(counts > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import documents, dropped, map_batches, new_folder
 
 MAGIC = b"VTB1"
-#: Token ids of a block; words in a worker's cache before it starts anew; bytes of text for each file.
-BLOCK_IDS, CACHED_WORDS, FILE_BYTES = 1 << 20, 1_000_000, 64 << 20
+#: Token ids of a block; words that a worker keeps for good, and later ones before they start anew; bytes of plain ids for each file.
+BLOCK_IDS, KEPT_WORDS, LATE_WORDS, FILE_BYTES = 1 << 19, 700_000, 200_000, 32 << 20
 
 #: Lengths of the four values of a control byte.
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
@@ -44,6 +45,11 @@ _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\x
 _LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 
+# Fixed value: the visible stand-ins of bytes in such vocabularies, Latin-1's own and characters from U+0100 on for the rest.
+_SHOWN = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+_SHOWN |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data bytes) of unsigned 32-bit values."""
     ranks = ranks.astype("<u4")
@@ -111,7 +117,7 @@ def _encoder(file: bytes):
         tokenizer.no_truncation()
         tokenizer.no_padding()
         special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        _loaded[key] = (tokenizer, {}, regex.compile(_ANY).findall, special)
+        _loaded[key] = (tokenizer, {}, {}, regex.compile(_ANY).findall, special)
     return _loaded[key]
 
 
@@ -124,28 +130,37 @@ def _words(text: str, any_findall) -> list[str]:
 
 
 def encode_texts(texts: list[str | None], file: bytes, end_id: int) -> list[bytes]:
-    """Little-endian 32-bit ids of each text with the end id, by the library; words are encoded once while they are cached."""
-    tokenizer, cache, any_findall, special = _encoder(file)
+    """Little-endian 32-bit ids of each text with the end id, by the library; its model gets each word once while that is cached."""
+    tokenizer, kept, late, any_findall, special = _encoder(file)
+    model = tokenizer.model
     end = np.array([end_id], "<u4").tobytes()
     split = [None if t and any(s in t for s in special) else _words(t or "", any_findall) for t in texts]
-    found = [None if p is None else list(map(cache.get, p)) for p in split]
-    misses = list({w for p, f in zip(split, found, strict=True) if f is not None and None in f for w, v in zip(p, f, strict=True) if v is None})
-    new = {}
-    for i in range(0, len(misses), 4096):
-        part = misses[i : i + 4096]
-        for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            new[w] = np.array(e.ids, "<u4").tobytes()
     out = []
-    for t, p, f in zip(texts, split, found, strict=True):
-        if f is None:  # added tokens in the text: the library cuts them out itself
+    for t, p in zip(texts, split, strict=True):
+        if p is None:  # added tokens in the text: the library cuts them out itself
             out.append(np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() + end)
-        elif None in f:
-            out.append(b"".join([new[w] if v is None else v for w, v in zip(p, f, strict=True)]) + end)
-        else:
-            out.append(b"".join(f) + end)
-    if len(cache) + len(new) > CACHED_WORDS:
-        cache.clear()
-    cache.update(new)
+            continue
+        found = list(map(kept.get, p))
+        i = -1
+        try:
+            while True:
+                i = found.index(None, i + 1)
+                w = p[i]
+                ids = late.get(w)
+                if ids is None:
+                    pieces = model.tokenize(w.encode().decode("latin-1").translate(_SHOWN))
+                    ids = array("I", [x.id for x in pieces]).tobytes()
+                    if len(kept) < KEPT_WORDS:
+                        kept[w] = ids
+                    else:
+                        if len(late) >= LATE_WORDS:
+                            late.clear()
+                        late[w] = ids
+                found[i] = ids
+        except ValueError:  # no more words that were missing
+            pass
+        found.append(end)
+        out.append(b"".join(found))
     return out
 
 
