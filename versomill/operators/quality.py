@@ -1,0 +1,86 @@
+"""Rule flags on translations, candidates, and the best of them."""
+
+from __future__ import annotations
+
+import difflib
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+
+MIN_SOURCE, LOW, HIGH, MIN_WORDS, LANGUAGE_SHARE = 25, 0.5, 2.0, 6, 0.75
+
+
+@F.pandas_udf("double")
+def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Twice the matching elements over all elements of two sequences."""
+    return pd.Series([difflib.SequenceMatcher(None, list(x), list(y)).ratio() if x is not None and y is not None else None for x, y in zip(a, b)], dtype="float64")
+
+
+def flags(source: Column, target: Column, leftover: Column | None = None, share: Column | None = None, lang: str = "en") -> Column:
+    """Names of the rules that a translation breaks, in a fixed order.
+
+    ``leftover`` tells of words left over and ``share`` is the target language's share
+    of words; both come from a lexicon and count as fine without one.
+    """
+    s, t = X.plain_spaced(source), X.plain_spaced(target)
+    words = X.lower_words(t)
+    ratio = X.length_ratio(s, t)
+    left = F.coalesce(leftover, F.lit(False)) if leftover is not None else F.lit(False)
+    long = F.length(s) >= MIN_SOURCE
+    language = (F.size(words) >= MIN_WORDS) & (F.coalesce(share, F.lit(1.0)) < LANGUAGE_SHARE) if share is not None else F.lit(False)
+    return F.array_compact(
+        F.array(
+            F.when(left, "leftover"),
+            F.when(long & ((ratio < LOW) | (ratio > HIGH)), "length"),
+            F.when(long & X.repeats_thrice(words), "repeat"),
+            F.when(long & language, "language"),
+            F.when(long & ~left & (X.stray_count(t, lang) >= 2), "leftover"),
+            F.when(long & (s == t), "same"),
+        )
+    )
+
+
+def target_share(rows: DataFrame, lexicon: DataFrame, text: str, source: str, target: str, *keys: str) -> DataFrame:
+    """keys and share: words that are at least as frequent in the target language as in the source's, or unknown to both."""
+    from .lexicon import with_frequencies
+
+    words = rows.select(*keys, F.explode(X.lower_words(F.col(text))).alias("word"))
+    found = with_frequencies(words, lexicon, source, target)
+    return found.groupBy(*keys).agg(F.avg((F.col("t") >= F.col("s")).cast("double")).alias("share"))
+
+
+def penalty(flagged: Column, source: Column, candidate: Column) -> Column:
+    tags = r"</?g\d+>|<x\d+/>"
+    others = F.size(F.filter(flagged, lambda f: ~f.isin("leftover", "same")))
+    broken = source.rlike(tags) & (F.regexp_count(source, F.lit(tags)) != F.regexp_count(candidate, F.lit(tags)))
+    return 0.15 * others + F.when(F.array_contains(flagged, "leftover"), 0.5).otherwise(0.0) + F.when(F.array_contains(flagged, "same"), 0.3).otherwise(0.0) + F.when(broken, 0.3).otherwise(0.0)
+
+
+def best_candidate(cands: DataFrame, *keys: str) -> DataFrame:
+    """Of each key's candidates (cand_order, name, text, score) the one with the highest score, the first of equal ones."""
+    best = F.max_by(F.struct("name", "text", "score"), F.struct(F.col("score"), -F.col("cand_order")))
+    return cands.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
+
+
+def scored(cands: DataFrame, source: str, candidate: str, back: str, lang: str = "en") -> DataFrame:
+    """cands plus flags and score: how alike source and back-translation are, less the penalties."""
+    flagged = cands.withColumn("flags", flags(F.col(source), F.col(candidate), lang=lang))
+    alike = F.coalesce(sequence_ratio(X.lower_words(X.plain_spaced(F.col(source))), X.lower_words(F.col(back))), F.lit(0.0))
+    return flagged.withColumn("score", alike - penalty(F.col("flags"), F.col(source), F.col(candidate)))
+
+
+def improved(segments: DataFrame, best: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Segments with replaced translations, and the log of changes (uid, old, new, pick)."""
+    b = best.select("uid", F.col("name").alias("pick"), F.col("text").alias("new"))
+    joined = segments.join(b, "uid", "left")
+    changed = F.col("new").isNotNull() & (F.col("pick") != "current") & (F.col("new") != F.col("translation"))
+    log = joined.where(changed).select("uid", X.plain_spaced(F.col("translation")).alias("old"), X.plain_spaced(F.col("new")).alias("new"), "pick")
+    return joined.withColumn("translation", F.when(changed, F.col("new")).otherwise(F.col("translation"))).select(*segments.columns), log
+
+
+def quality_stats(checked: DataFrame) -> DataFrame:
+    """checked, flagged and replaced over rows with flags and replaced."""
+    return checked.agg(F.count("*").alias("checked"), F.count_if(F.size("flags") > 0).alias("flagged"), F.count_if("replaced").alias("replaced"))

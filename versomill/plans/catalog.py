@@ -1,15 +1,468 @@
-"""Names of registered queries and their SQL."""
+"""Names of registered queries and the SQL that they must equal.
+
+SQL that several queries need stands in _WITH; both sides use the same definitions of
+words and sentences, written out for either dialect.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import constants as C
+from ..functions import text as X
+from ..operators import cache, glossary, lexicon, packing, quality, report, segments, toc
+from ..sources import pages
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def _query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# --- pages ---------------------------------------------------------------------------------------------------------
+
+
+def _plain_sql(x: str) -> str:
+    for entity, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        x = f"replace({x}, '{entity}', '{char}')"
+    return x
+
+
+_COLLAPSED = r"trim(regexp_replace(regexp_replace({0}, '<[^>]*>', '', 'g'), '[\s\x{{00A0}}]+', ' ', 'g'))"
+_SEGMENTS = rf"""
+with d as (select page_id as doc_index, regexp_replace(regexp_replace(coalesce(html, ''),
+       '(?is)<script.*?</script>|<style.*?</style>|<head.*?</head>', '', 'g'), '(?s)<!--.*?-->', '', 'g') as markup from pages),
+b as (select doc_index, unnest(x) as raw, unnest(range(1, len(x) + 1)) as seg_no from (select doc_index,
+      regexp_extract_all(markup, '(?s)(<p(?:\s[^>]*)?>.*?</p>|<h[1-6](?:\s[^>]*)?>.*?</h[1-6]>|<li(?:\s[^>]*)?>.*?</li>)', 1) as x from d)),
+c as (select doc_index, cast(seg_no as int) as seg_no, case when regexp_matches(raw, '^<h[1-6]') then 'heading' else 'text' end as kind,
+      {_COLLAPSED.format("raw")} as source from b),
+segments as (select doc_index, seg_no, doc_index || ':' || seg_no as uid, kind, source, {_plain_sql("source")} as plain from c
+      where regexp_matches({_plain_sql("source")}, '\p{{L}}'))
+"""
+
+
+@_query(_SEGMENTS + "select doc_index, count(*) as n_segments, count(*) filter (kind = 'heading') as n_headings, cast(sum(length(source)) as bigint) as n_chars from segments group by doc_index")
+def inspect_pages(spark, sf_dir):
+    return segments.inspect(pages.segments(_table(spark, sf_dir, "pages")))
+
+
+@_query(_SEGMENTS + "select doc_index, seg_no, uid, kind, source, plain from segments")
+def page_segments(spark, sf_dir):
+    return pages.segments(_table(spark, sf_dir, "pages"))
+
+
+@_query(_SEGMENTS + "select kind, count(*) as n from segments group by kind")
+def segment_kind_counts(spark, sf_dir):
+    return segments.kind_counts(pages.segments(_table(spark, sf_dir, "pages")))
+
+
+_NAV = rf"""
+n as (select page_id as doc_index, regexp_extract_all(array_to_string(regexp_extract_all(coalesce(html, ''), '(?s)(<nav(?:\s[^>]*)?>.*?</nav>)', 1), ' '),
+      '(?s)(<a(?:\s[^>]*)?>.*?</a>)', 1) as x from pages),
+l as (select doc_index, cast(pos as int) as pos, {_plain_sql(_COLLAPSED.format("raw"))} as label from (select doc_index, unnest(x) as raw, unnest(range(1, len(x) + 1)) as pos from n)),
+labels as (select * from l where regexp_matches(label, '\p{{L}}'))
+"""
+
+
+@_query("with " + _NAV.lstrip() + "select doc_index, pos, label from labels")
+def nav_labels(spark, sf_dir):
+    return pages.nav_labels(_table(spark, sf_dir, "pages"))
+
+
+@_query(
+    _SEGMENTS
+    + ","
+    + _NAV
+    + """, h as (select lower(trim(plain)) as k, arg_min('T ' || plain, (doc_index, seg_no)) as t from segments where kind = 'heading' group by 1)
+select doc_index, pos, label, coalesce(t, label) as translation from labels left join h on lower(trim(label)) = k"""
+)
+def toc_harmonised(spark, sf_dir):
+    table = _table(spark, sf_dir, "pages")
+    labels = pages.nav_labels(table).select("doc_index", "pos", "label", F.col("label").alias("plain"), F.col("label").alias("source"), F.col("label").alias("translation"))
+    headings = pages.segments(table).where("kind = 'heading'").select("doc_index", "seg_no", "plain", F.concat(F.lit("T "), "plain").alias("translation"))
+    return toc.harmonised(labels, headings, "doc_index", "seg_no").select("doc_index", "pos", "label", "translation")
+
+
+@_query(
+    _SEGMENTS
+    + r""", s as (select doc_index, seg_no, plain, replace(regexp_replace(lower(trim(plain)), '[^\p{L}\p{N}_\- ]', '', 'g'), ' ', '-') as slug from segments where kind = 'heading')
+select doc_index, seg_no, plain, case when n = 1 then slug else slug || '-' || (n - 1) end as anchor
+from (select *, row_number() over (partition by doc_index, slug order by seg_no) as n from s)"""
+)
+def duplicate_slugs(spark, sf_dir):
+    heads = pages.segments(_table(spark, sf_dir, "pages")).where("kind = 'heading'")
+    return report.numbered_slugs(heads, F.col("plain"), ["doc_index"], ["seg_no"]).select("doc_index", "seg_no", "plain", "anchor")
+
+
+# --- documents: totals, words, keys --------------------------------------------------------------------------------
+
+
+@_query("select lang, count(*) as n_segments, cast(sum(length(text)) as bigint) as n_chars from documents group by lang")
+def doc_char_totals(spark, sf_dir):
+    return segments.totals(_table(spark, sf_dir, "documents"), "lang")
+
+
+_WORDS = r"""
+with w as (select lang, unnest(regexp_extract_all(lower(coalesce(text, '')), '(\p{L}+)', 1)) as word from documents),
+c as (select lang, word, count(*) as n from w group by all),
+z as (select lang, word, round(log10(n * 1e9 / sum(n) over (partition by lang)), 6) as zipf from c)
+"""
+
+
+@_query(_WORDS + "select lang, word, n from c")
+def word_counts(spark, sf_dir):
+    return lexicon.word_counts(_table(spark, sf_dir, "documents"))
+
+
+@_query(_WORDS + "select lang, word, zipf from z")
+def zipf_lexicon(spark, sf_dir):
+    return lexicon.zipf_lexicon(_table(spark, sf_dir, "documents"))
+
+
+def _squeezed(x: str) -> str:
+    for c in "bcdfghjklmnpqrstvwxz":
+        x = f"regexp_replace({x}, '{c}+', '{c}', 'g')"
+    return x
+
+
+@_query(_WORDS + f"select lang, {_squeezed("regexp_replace(word, '[aeiouy]', '', 'g')")} as skel, word, zipf from z where regexp_matches(word, '^[a-z]+$') and regexp_replace(word, '[aeiouy]', '', 'g') <> ''")
+def skeleton_index(spark, sf_dir):
+    words = lexicon.zipf_lexicon(_table(spark, sf_dir, "documents"))
+    return lexicon.skeleton_index(words.where(F.col("word").rlike("^[a-z]+$")))
+
+
+_KEY = "sha256('echo' || chr(31) || '' || chr(31) || 'mt' || chr(31) || lang || chr(31) || 'tr' || chr(31) || coalesce(text, ''))"
+
+
+def _keyed(spark, sf_dir):
+    lit = F.lit
+    return _table(spark, sf_dir, "documents").select("doc_id", "lang", "text", X.cache_key(lit("echo"), lit(None).cast("string"), lit("mt"), F.col("lang"), lit("tr"), F.col("text")).alias("key"))
+
+
+@_query(f"select doc_id, {_KEY} as key from documents")
+def cache_keys(spark, sf_dir):
+    return _keyed(spark, sf_dir).select("doc_id", "key")
+
+
+_CACHE = f"with r as (select doc_id, lang, text, {_KEY} as key from documents), cache as (select key, arg_max(upper(lang), doc_id) as result from r where lang = 'en' group by key)"
+
+
+def _english_cache(rows):
+    old = rows.where("lang = 'en'").select("key", F.upper("lang").alias("result"), F.col("doc_id").cast("double").alias("created"))
+    return cache.upsert(old.limit(0), old, "key").select("key", "result")
+
+
+@_query(_CACHE + " select doc_id, result, result is not null as hit from r left join cache using (key)")
+def cache_hits(spark, sf_dir):
+    rows = _keyed(spark, sf_dir)
+    return cache.lookup(rows, _english_cache(rows)).select("doc_id", "result", "hit")
+
+
+@_query(_CACHE + " select doc_id, lang from r where key not in (select key from cache)")
+def uncached_segments(spark, sf_dir):
+    rows = _keyed(spark, sf_dir)
+    return cache.uncached(rows, _english_cache(rows)).select("doc_id", "lang")
+
+
+@_query(f"with r as (select {_KEY} as key, doc_id, lang from documents) select key, arg_max(lang || doc_id, doc_id) as result, cast(max(doc_id) as double) as created from r group by key")
+def cache_upsert(spark, sf_dir):
+    rows = _keyed(spark, sf_dir).select("key", F.concat("lang", "doc_id").alias("result"), F.col("doc_id").cast("double").alias("created"))
+    return cache.upsert(rows.where("result like 'en%'"), rows, "key").select("key", "result", "created")
+
+
+@_query("select doc_id, case when lang = 'en' then 'A ' || text when lang = 'de' then 'B ' || text else text end as translation, case lang when 'en' then 'a' when 'de' then 'b' else 'c' end as engine from documents")
+def fallback_coalesce(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    a = F.when(F.col("lang") == "en", F.struct(F.concat(F.lit("A "), "text").alias("t"), F.lit("a").alias("e")))
+    b = F.when(F.col("lang") == "de", F.struct(F.concat(F.lit("B "), "text").alias("t"), F.lit("b").alias("e")))
+    best = docs.select("doc_id", F.coalesce(a, b, F.struct(F.col("text").alias("t"), F.lit("c").alias("e"))).alias("x"))
+    return best.select("doc_id", F.col("x.t").alias("translation"), F.col("x.e").alias("engine"))
+
+
+@_query("select source, count(*) as n, count(*) filter (lang = 'fr') as missing, cast(case when count(*) filter (lang = 'fr') = 0 then 0 else 2 end as int) as exit_code from documents group by source")
+def exit_status(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").withColumn("translation", F.when(F.col("lang") != "fr", F.col("text")).otherwise(""))
+    return segments.missing_counts(docs, ["source"])
+
+
+@_query("select count(*) as segments, cast(sum(length(text)) as bigint) as chars, count(*) filter (lang <> 'fr') as translated, count(*) filter (lang = 'fr') as untranslated, cast(case when count(*) filter (lang = 'fr') = 0 then 0 else 2 end as int) as exit_code from documents")
+def run_summary(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select(F.col("text").alias("source"), F.when(F.col("lang") != "fr", F.col("text")).alias("translation"))
+    return report.summary(docs)
+
+
+@_query("select doc_id, lang from documents where text not in (select text from documents where lang = 'en')")
+def error_antijoin(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return report.new_errors(docs, docs.where("lang = 'en'"), "text").select("doc_id", "lang")
+
+
+@_query(r"select doc_id, len(string_split(regexp_replace(coalesce(text, ''), '([.!?;])\s+', '\1' || chr(1), 'g'), chr(1))) as n from documents")
+def sentence_counts(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.size(X.sentences_any(F.coalesce("text", F.lit("")))).cast("bigint").alias("n"))
+
+
+@_query(
+    r"""with d as (select doc_id, text, string_split(regexp_replace(coalesce(text, ''), '([.!?"“”])\s+', '\1' || chr(1), 'g'), chr(1)) as s from documents where lang = 'en'),
+low as (select distinct unnest(regexp_extract_all(coalesce(text, ''), '(\b[a-z][a-z]+\b)', 1)) as w from d),
+e as (select doc_id, unnest(s) as s, unnest(range(len(s))) as s_no from d),
+f as (select doc_id, s_no, regexp_split_to_array(s, '\s+') as ws from e),
+g as (select doc_id, s_no, unnest(ws) as w, unnest(range(len(ws))) as w_no from f),
+n as (select regexp_replace(w, '^[\p{P}\p{S}]+|[\p{P}\p{S}]+$', '', 'g') as name, doc_id, s_no, w_no from g where w_no > 0),
+c as (select name, count(*) as n, min((doc_id, s_no, w_no)) as first from n where regexp_matches(name, '^[A-Z][a-z]+(?:[A-Z][a-z]+)?$') group by name)
+select name, n from c where n >= 2 and lower(name) not in (select w from low) and name not in ("""
+    + ", ".join(f"'{x}'" for x in C.COMMON_CAPITALS)
+    + ") order by n desc, first limit 40"
+)
+def detect_names(spark, sf_dir):
+    return glossary.detect_names(_table(spark, sf_dir, "documents").where("lang = 'en'"), "text", "doc_id")
+
+
+@_query("select doc_id, b.text as term from documents d join benchmark b on contains(d.text, b.text) group by all")
+def glossary_in_text(spark, sf_dir):
+    terms = _table(spark, sf_dir, "benchmark").select(F.col("text").alias("term"))
+    return glossary.in_text(terms, _table(spark, sf_dir, "documents").select("doc_id", "text"), "term", "text").select("doc_id", "term").distinct()
+
+
+@_query("select left(text, 12) as term, arg_min(lang || doc_id, doc_id) as target from documents where text is not null group by 1")
+def glossary_first_wins(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").where("text is not null").select(F.substring("text", 1, 12).alias("term"), F.concat("lang", "doc_id").alias("target"), "doc_id")
+    return glossary.first_wins(rows, "term", "target", "doc_id")
+
+
+_ROLE = "select conv_id || '-' || turn as term, text as target from conversations where role"
+
+
+@_query(f"select term, coalesce(u.target, l.target) as target from ({_ROLE} = 'user') u full join ({_ROLE} <> 'user') l using (term)")
+def glossary_merged(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("term"), F.col("text").alias("target"), "role")
+    return glossary.merged(rows.where("role = 'user'"), rows.where("role <> 'user'"))
+
+
+# --- conversations: order, batches, context ------------------------------------------------------------------------
+
+
+def _packed_sql(limit: int, items: int | None) -> str:
+    full = f"p.chars + length(coalesce(c.text, '')) > {limit}" + (f" or p.items >= {items}" if items else "")
+    return f"""
+with recursive c as (select conv_id, turn, text, row_number() over (partition by conv_id order by turn) as k from conversations),
+p as (select conv_id, turn, k, 1 as batch_no, 1 as local_id, length(coalesce(text, '')) as chars, 1 as items from c where k = 1
+union all select c.conv_id, c.turn, c.k, case when {full} then p.batch_no + 1 else p.batch_no end, case when {full} then 1 else p.local_id + 1 end,
+case when {full} then length(coalesce(c.text, '')) else p.chars + length(coalesce(c.text, '')) end, case when {full} then 1 else p.items + 1 end
+from p join c on c.conv_id = p.conv_id and c.k = p.k + 1)
+"""
+
+
+@_query(_packed_sql(400, 25) + "select conv_id, turn, cast(batch_no as int) as batch_no from p")
+def mt_batches(spark, sf_dir):
+    return packing.greedy_batches(_table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 400, C.MT_BATCH_ITEMS).select("conv_id", "turn", "batch_no")
+
+
+@_query(_packed_sql(C.LLM_CHUNK_CHARS, None) + "select conv_id, turn, cast(batch_no as int) as batch_no from p")
+def llm_chunks(spark, sf_dir):
+    return packing.greedy_batches(_table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", C.LLM_CHUNK_CHARS).select("conv_id", "turn", "batch_no")
+
+
+@_query(_packed_sql(400, None) + "select conv_id, turn, cast(batch_no as int) as batch_no, cast(local_id as int) as local_id from p")
+def chunk_local_ids(spark, sf_dir):
+    return packing.greedy_batches(_table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 400).select("conv_id", "turn", "batch_no", "local_id")
+
+
+@_query(
+    _packed_sql(400, None)
+    + "select p.conv_id, cast(batch_no as int) as batch_no, count(*) as n, count(*) filter (role = 'user') as n_hits, bool_and(role = 'user') as from_cache from p join conversations v on p.conv_id = v.conv_id and p.turn = v.turn group by 1, 2"
+)
+def chunk_all_cached(spark, sf_dir):
+    rows = packing.greedy_batches(_table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 400)
+    return cache.whole_chunks(rows.withColumn("hit", F.col("role") == "user"), "conv_id", "batch_no")
+
+
+@_query("select conv_id, turn, coalesce(array_to_string(list(text) over (partition by conv_id order by turn rows between 3 preceding and 1 preceding), ' | '), '') as context from conversations")
+def context_window(spark, sf_dir):
+    rows = packing.context_before(_table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 3)
+    return rows.select("conv_id", "turn", F.array_join("context", " | ").alias("context"))
+
+
+@_query(
+    """with b as (select conv_id, turn, role, text, cast(600 - coalesce(sum(length(text) + length(role)) over (partition by conv_id order by turn desc rows between unbounded preceding and 1 preceding), 0) as int) as "left" from conversations)
+select conv_id, turn, substring(text, 1, "left") as source_cut, substring(role, 1, "left") as target_cut, "left" from b where "left" > 0"""
+)
+def context_budget(spark, sf_dir):
+    return packing.budgeted_context(_table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", "role", 600)
+
+
+@_query("select conv_id, turn, text from conversations order by conv_id, turn limit 25")
+def prefix_limit(spark, sf_dir):
+    return segments.prefix_limit(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), 25, "conv_id", "turn")
+
+
+@_query("with k as (select conv_id, row_number() over (order by conv_id) as n from (select distinct conv_id from conversations)) select conv_id, turn, text from conversations where conv_id in (select conv_id from k where n in (1, 2, 3, 5))")
+def chapter_select(spark, sf_dir):
+    return segments.chapters(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id", "1-3,5")
+
+
+@_query("select conv_id, turn, max(case when role = 'assistant' then text end) as assistant, max(case when role = 'user' then text end) as user_ from conversations group by conv_id, turn")
+def run_compare(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations")
+    return report.run_comparison(rows, ["conv_id", "turn"], "role", "text", ["assistant", "user"]).withColumnRenamed("user", "user_")
+
+
+# --- events: calls of engines --------------------------------------------------------------------------------------
+
+
+def _calls(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    return e.select("event_id", F.col("user_id").alias("engine"), (F.col("event_type") != "error").alias("ok"), F.col("value").alias("seconds"), F.when(F.col("event_type") == "error", "RateLimited").otherwise("EngineError").alias("error_class"))
+
+
+@_query("select user_id as engine, count(*) as calls, count(*) filter (event_type = 'error') as failures, round(sum(value), 4) as seconds from events group by user_id")
+def engine_stats(spark, sf_dir):
+    return report.engine_stats(_calls(spark, sf_dir)).withColumn("seconds", F.round("seconds", 4))
+
+
+@_query("select user_id || case when event_type = 'purchase' then ' (cache)' else '' end as engine, count(*) as n from events group by 1")
+def segments_by_engine(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    return report.segments_by_engine(e.select(F.col("user_id").cast("string").alias("engine"), (F.col("event_type") == "purchase").alias("hit")))
+
+
+@_query(
+    """with e as (select event_id, user_id as engine, event_type <> 'click' as ok, row_number() over (partition by user_id order by event_id) - 1 as attempt from events)
+select event_id, engine, cast(attempt as int) as attempt, case when not ok and attempt < 4 then least(90.0::double, 15 * pow(2.0, attempt)) end as wait from e"""
+)
+def retry_waits(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("engine"), (F.col("event_type") != "click").alias("ok"), F.lit("RateLimited").alias("error_class"))
+    return report.retry_waits(e, ["engine"], "event_id", 5).select("event_id", "engine", "attempt", "wait")
+
+
+# --- quality, leftovers --------------------------------------------------------------------------------------------
+
+_FLAGGED = r"""
+with p as (select a.doc_id, regexp_replace(trim(regexp_replace(coalesce(a.text, ''), '[\s\x{00A0}]+', ' ', 'g')), '</?g\d+>|<x\d+/>', ' ', 'g') as s,
+      trim(regexp_replace(coalesce(b.text, ''), '[\s\x{00A0}]+', ' ', 'g')) as t from documents a join documents b on b.doc_id = a.doc_id + 1),
+w as (select *, regexp_extract_all(lower(t), '(\p{L}+)', 1) as tw, len(regexp_extract_all(t, '(\b(?:It|a|an|is|to|in|of|by|as|or)\b)', 1)) as strays from p),
+f as (select doc_id, length(s) >= 25 as long, length(t) / greatest(1, length(s)) as ratio, s = t as same, strays >= 2 as stray,
+      len(list_filter(range(1, len(tw) - 1), lambda i: tw[i] = tw[i + 1] and tw[i] = tw[i + 2])) > 0 as rep from w)
+"""
+
+
+@_query(_FLAGGED + "select doc_id, concat_ws(',', case when long and (ratio < 0.5 or ratio > 2.0) then 'length' end, case when long and rep then 'repeat' end, case when long and stray then 'leftover' end, case when long and same then 'same' end) as flags from f")
+def quality_flags(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("target"))
+    return docs.join(after, "doc_id").select("doc_id", F.array_join(quality.flags(F.col("text"), F.col("target")), ",").alias("flags"))
+
+
+@_query(
+    r"""with w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '(\p{L}+)', 1) as w from documents)
+select doc_id, len(list_filter(range(1, len(w) - 1), lambda i: w[i] = w[i + 1] and w[i] = w[i + 2])) > 0 as repeated from w"""
+)
+def repeat_flag(spark, sf_dir):
+    words = _table(spark, sf_dir, "documents").select("doc_id", X.lower_words(F.col("text")).alias("w"))
+    return words.select("doc_id", X.repeats_thrice(F.col("w")).alias("repeated"))
+
+
+def _source_word_sql(token: str) -> str:
+    listed = ", ".join(f"'{x}'" for x in C.FUNCTION_WORDS)
+    first = f"substring({token}, 1, 1)"
+    return rf"""case when length({token}) < 2 or not regexp_matches(lower({token}), '^[a-z]+$') or regexp_matches(lower({token}), '^[ivxlcdm]+$') then false
+when lower({token}) in ({listed}) then true
+when regexp_matches({token}, '^[A-Z]{{3,}}$') then s >= 4.0 and s - t >= 1.5
+when regexp_matches({first}, '^[A-Z]$') then false
+when s < 3.2 or (t >= 3.8 and s - t < 1.5) then false else s - t >= 0.8 end"""
+
+
+_TOKENS = _WORDS + r""", addr as (select doc_id, regexp_replace(coalesce(text, ''), 'https?://\S+|www\.\S+|\S+@\S+|\b[\w-]+(?:\.[\w-]+)*\.(?:com|org|net|edu|gov|io)\b\S*', ' ', 'g') as x from documents where lang = 'de'),
+tok as (select doc_id, unnest(ws) as raw, unnest(range(len(ws))) as pos from (select doc_id, regexp_extract_all(x, '(\p{L}+(?:[''’]\p{L}+)?)', 1) as ws from addr)),
+k as (select doc_id, cast(pos as int) as pos, regexp_replace(raw, '[''’].*$', '') as word from tok),
+j as (select k.*, coalesce(a.zipf, 0.0) as s, coalesce(b.zipf, 0.0) as t from k left join z a on a.lang = 'en' and a.word = lower(k.word) left join z b on b.lang = 'de' and b.word = lower(k.word)),
+good as (select doc_id, pos, word, """ + _source_word_sql("word") + " as leftover from j)\n"
+
+
+def _leftovers(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    known = lexicon.zipf_lexicon(docs)
+    tokens = lexicon.leftover_tokens(docs.where("lang = 'de'"), "text", "doc_id")
+    found = lexicon.with_frequencies(tokens, known, "en", "de")
+    return found.withColumn("leftover", lexicon.is_source_word(F.col("word"), F.col("s"), F.col("t"), "en", "de"))
+
+
+@_query(_TOKENS + "select doc_id, pos, word from good where leftover")
+def leftover_words(spark, sf_dir):
+    return _leftovers(spark, sf_dir).where("leftover").select("doc_id", "pos", "word")
+
+
+@_query(_TOKENS + ", i as (select doc_id, pos, pos - row_number() over (partition by doc_id order by pos) as g from good where leftover) select doc_id, min(pos) as first, max(pos) as last, count(*) as n from i group by doc_id, g")
+def source_runs(spark, sf_dir):
+    return packing.runs(_leftovers(spark, sf_dir), "doc_id", "pos", "leftover")
+
+
+@_query(_WORDS + ", v as (select distinct word from c), j as (select v.word, coalesce(a.zipf, 0.0) as s, coalesce(b.zipf, 0.0) as t from v left join z a on a.lang = 'en' and a.word = v.word left join z b on b.lang = 'de' and b.word = v.word) select word, " + _source_word_sql("word") + " as is_source from j")
+def source_words(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    words = lexicon.word_counts(docs).select("word").distinct()
+    found = lexicon.with_frequencies(words, lexicon.zipf_lexicon(docs), "en", "de")
+    return found.select("word", lexicon.is_source_word(F.col("word"), F.col("s"), F.col("t"), "en", "de").alias("is_source"))
+
+
+@_query(
+    _WORDS
+    + r""", t as (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '(\p{L}+)', 1)) as word from documents)
+select doc_id, round(avg(cast(coalesce(b.zipf, 0.0) >= coalesce(a.zipf, 0.0) as double)), 6) as share from t left join z a on a.lang = 'en' and a.word = t.word left join z b on b.lang = 'de' and b.word = t.word group by doc_id"""
+)
+def target_share(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return quality.target_share(docs, lexicon.zipf_lexicon(docs), "text", "en", "de", "doc_id").select("doc_id", F.round("share", 6).alias("share"))
+
+
+@_query("select source, arg_max(lang, (length(text) % 100, -doc_id)) as name, cast(max(length(text) % 100) / 100 as double) as score from documents where text is not null group by source")
+def best_candidate(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").where("text is not null")
+    cands = rows.select("source", F.col("doc_id").alias("cand_order"), F.col("lang").alias("name"), "text", ((F.length("text") % 100) / 100).alias("score"))
+    return quality.best_candidate(cands, "source").select("source", "name", "score")
+
+
+_COMPOUND = ", ".join(f"'{x}'" for x in C.NAME_ENDINGS)
+
+
+@_query(
+    _WORDS
+    + f""", o as (select word from z where lang = 'en' and zipf >= 3.0), l as (select distinct word as w from c where lang = 'en' and length(word) >= 8),
+u as (select w, unnest(range(5, length(w) - 2)) as i from l)
+select distinct w as word from u where substring(w, 1, i) in (select word from o) and substring(w, i + 1) in (select word from o) and substring(w, i + 1) not in ({_COMPOUND})"""
+)
+def compound_nouns(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    counts = lexicon.word_counts(docs).where("lang = 'en'").select("word")
+    return lexicon.compounds(counts, lexicon.zipf_lexicon(docs), "en")
+
+
+@_query()
+def byte_chunks(spark, sf_dir):
+    """Pieces of at most 500 bytes; a test compares them with a plain version."""
+    chunks = packing.byte_chunks(F.coalesce("text", F.lit("")), 500)
+    return _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunks).alias("pos", "piece"))
