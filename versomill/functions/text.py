@@ -12,6 +12,11 @@ SPACE = r"[\s\x{00A0}]"
 WORD = r"\p{L}+"
 
 
+def strip(c: Column) -> Column:
+    """Without white space at both ends, line breaks included."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def collapse(c: Column) -> Column:
     """Runs of any Unicode white space become one space; the ends are trimmed."""
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
@@ -167,7 +172,7 @@ def segment_frames(c: Column) -> Column:
     """Answers of the form <seg id="1">text</seg> as an array of (id, text)."""
     ids = F.regexp_extract_all(c, F.lit(C.SEGMENT_FRAME), 1)
     texts = F.regexp_extract_all(c, F.lit(C.SEGMENT_FRAME), 2)
-    return F.zip_with(ids, texts, lambda i, t: F.struct(i.cast("int").alias("id"), F.trim(t).alias("text")))
+    return F.zip_with(ids, texts, lambda i, t: F.struct(i.cast("int").alias("id"), strip(t).alias("text")))
 
 
 def glossary_lines(c: Column) -> Column:

@@ -7,13 +7,14 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import text as X
 
 MIN_SOURCE, LOW, HIGH, MIN_WORDS, LANGUAGE_SHARE = 25, 0.5, 2.0, 6, 0.75
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the matching elements over all elements of two sequences."""
     return pd.Series([difflib.SequenceMatcher(None, list(x), list(y)).ratio() if x is not None and y is not None else None for x, y in zip(a, b)], dtype="float64")

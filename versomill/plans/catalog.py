@@ -364,7 +364,7 @@ def retry_waits(spark, sf_dir):
 _FLAGGED = r"""
 with p as (select a.doc_id, regexp_replace(trim(regexp_replace(coalesce(a.text, ''), '[\s\x{00A0}]+', ' ', 'g')), '</?g\d+>|<x\d+/>', ' ', 'g') as s,
       trim(regexp_replace(coalesce(b.text, ''), '[\s\x{00A0}]+', ' ', 'g')) as t from documents a join documents b on b.doc_id = a.doc_id + 1),
-w as (select *, regexp_extract_all(lower(t), '(\p{L}+)', 1) as tw, len(regexp_extract_all(t, '(\b(?:It|a|an|is|to|in|of|by|as|or)\b)', 1)) as strays from p),
+w as (select *, regexp_extract_all(lower(t), '(\p{L}+)', 1) as tw, len(list_filter(regexp_extract_all(t, '([\p{L}\p{N}_]+)', 1), lambda x: x in ('It', 'a', 'an', 'is', 'to', 'in', 'of', 'by', 'as', 'or'))) as strays from p),
 f as (select doc_id, length(s) >= 25 as long, length(t) / greatest(1, length(s)) as ratio, s = t as same, strays >= 2 as stray,
       len(list_filter(range(1, len(tw) - 1), lambda i: tw[i] = tw[i + 1] and tw[i] = tw[i + 2])) > 0 as rep from w)
 """

@@ -26,7 +26,7 @@ SEGMENT_SCHEMA = "book_id string, doc_index int, seg_no int, uid string, kind st
 
 
 def _children(node, name: str):
-    return [x for x in node.iter() if markup.local(x.tag) == name]
+    return [x for x in node.iter() if markup.local(x.tag) == name.lower()]
 
 
 class Archive:

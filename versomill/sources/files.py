@@ -20,7 +20,7 @@ def glossary_from_lines(lines: DataFrame) -> DataFrame:
 def glossary(spark: SparkSession, path: str) -> DataFrame:
     """A JSON object, or lines."""
     whole = spark.read.text(path, wholetext=True)
-    text = F.trim("value")
+    text = X.strip(F.col("value"))
     as_json = F.from_json(text, "map<string, string>")
     found = whole.select(as_json.alias("m"), text.alias("t")).where(F.startswith("t", F.lit("{"))).select(F.explode("m").alias("term", "target"))
     lines = whole.where(~F.startswith(text, F.lit("{"))).select(F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value"))
@@ -68,4 +68,4 @@ def markdown_links(files: DataFrame) -> DataFrame:
 
 
 def changelog_section(text: Column, version: str) -> Column:
-    return F.trim(F.regexp_extract(text, r"(?sm)^##\s*\[?" + version.replace(".", r"\.") + r"\]?[^\n]*\n(.*?)(?=^##\s|\z)", 1))
+    return X.strip(F.regexp_extract(text, r"(?sm)^##\s*\[?" + version.replace(".", r"\.") + r"\]?[^\n]*\n(.*?)(?=^##\s|\z)", 1))
