@@ -341,3 +341,15 @@ def test_streaming_resume(spark, three, tmp_path):
     three.where("doc_index = 1").write.parquet(f"{tmp_path}/in", mode="append")
     assert run() == {"0:1": "ONE", "0:2": "<g1>TWO</g1>", "1:1": "THREE"}
     assert run() == {"0:1": "ONE", "0:2": "<g1>TWO</g1>", "1:1": "THREE"}
+
+
+def test_leftovers_are_asked_for_again(spark):
+    from versomill.operators import leftover
+
+    engines.register("dict", lambda: engines.Engine("dict", lambda t: [{"house rug": "ev halı", "the house": "ev."}.get(x, x) for x in t]))
+    nodes = spark.createDataFrame([(0, 1, " Bu The House burada "), (0, 2, "tamam"), (0, 3, "kalan table")], "doc_index int, node int, text string")
+    left = spark.createDataFrame([(0, 1, "The"), (0, 1, "House"), (0, 3, "table")], "doc_index int, node int, word string")
+    fixed = leftover.retranslate(nodes, left, ["echo", "dict"])
+    assert {r["node"]: (r["fixed"], r["words_left"]) for r in fixed.collect()} == {1: (" Bu Ev burada ", 0), 2: ("tamam", 0), 3: ("kalan table", 1)}
+    assert tuple(leftover.totals(fixed).collect()[0]) == (3, 1, 1, 1)
+    assert [(r["node"], r["words"]) for r in leftover.sample(fixed, left).collect()] == [(3, ["table"])]

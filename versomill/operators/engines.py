@@ -47,13 +47,18 @@ def register(name: str, make: Callable[[], Engine]) -> None:
     REGISTRY[name.lower()] = make
 
 
-def make(name: str) -> Engine:
+def maker(name: str) -> Callable[[], Engine]:
+    """What makes the engine; it travels to the executors, where clients are then made."""
     try:
-        return REGISTRY[name.lower()]()
+        return REGISTRY[name.lower()]
     except KeyError:
         raise SystemExit(f"unknown engine {name!r}; known: {', '.join(sorted(REGISTRY))}") from None
 
 
+def make(name: str) -> Engine:
+    return maker(name)()
+
+
 def _unavailable(reason: str) -> Callable[[], None]:
     def check():
         raise EngineUnavailable(reason)

@@ -21,12 +21,13 @@ def run_batches(batched: DataFrame, names: list[str], retries: int = 3, pause: b
     """doc_index, seg_no, result and engine of every segment, and on each batch's first row its call log as JSON.
 
     One group is one batch, which is bounded by its packing; engines are made anew on
-    the executors by their names.
+    the executors.
     """
+    makers = [E.maker(n) for n in names]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("local_id")
-        chain = [E.make(n) for n in names]
+        chain = [m() for m in makers]
         sleep = {} if pause else {"sleep": lambda s: None}
         texts = [p if not chain[0].supports_tags else s for s, p in zip(pdf["source"], pdf["plain"])]
         found, log = E.through_chain(chain, texts, retries, **sleep)
