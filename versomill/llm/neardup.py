@@ -11,8 +11,9 @@ the more often the more alike they are, so runs of registers serve as bands.
    with its centre, the one with most copies; pairs are kept unless the likelihood
    of their registers speaks against the threshold, and verified on the full sets.
 3. Buckets whose vertices are not all connected by then are gone through pair by
-   pair, in blocks, except for pairs within one component; what the likelihood
-   does not exclude is verified too.  So a bucket loses no link.
+   pair: by the rare shingles they share, and in blocks where the common ones would
+   do; what the likelihood does not exclude is verified too.  So a bucket loses no
+   link, and a large group of copies does not have all its pairs gone through.
 4. Components over all links give each document its class.
 
 A pair at the threshold shares no band of 5 among 160 registers with a probability of
@@ -40,6 +41,8 @@ BASE, RATE, TOP = 1.02, 20.0, 65535
 SURE = 20.0
 #: Members of a bucket up to which its pairs are joined as rows; larger ones go by blocks of BLOCK members.
 SMALL_BUCKET, BLOCK = 16, 512
+#: Sets that a rare shingle is found in at most.
+RARE = 16
 #: Ids that are broadcast at most, 8 bytes each; more are joined by a shuffle.
 MOST_IDS = 500_000
 
@@ -162,13 +165,21 @@ def _filtered(pairs: DataFrame, vertices: DataFrame, least: float) -> DataFrame:
     return map_batches(joined, run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, vertices: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs a, b whose full sets are as alike as that."""
-    needed = written(vertices.select("v", "rep").join(pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct(), "v"), "needed")
+def _sets_of(wanted: DataFrame, docs: DataFrame, vertices: DataFrame, k: int) -> DataFrame:
+    """v and hashes, the full set, of the wanted vertices, made again from the texts."""
+    needed = written(vertices.select("v", "rep").join(wanted.select("v").distinct(), "v"), "needed")
     ids = needed.select(F.col("rep").alias("doc_id")).distinct()
     if ids.count() <= MOST_IDS:
         ids = F.broadcast(ids)
-    sets = written(_full_sets(docs.join(ids, "doc_id"), k).join(needed.select("v"), "v").dropDuplicates(["v"]), "sets")
+    return written(_full_sets(docs.join(ids, "doc_id"), k).join(needed.select("v"), "v").dropDuplicates(["v"]), "sets")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v")))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b whose full sets are as alike as that."""
 
     def run(batches):
         for b in batches:
@@ -184,40 +195,81 @@ def _verified(pairs: DataFrame, docs: DataFrame, vertices: DataFrame, k: int, pe
     return map_batches(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y"), run, "a long, b long")
 
 
-def _open_pairs(bands: DataFrame, labels: DataFrame, vertices: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of one bucket and two components: as rows from small buckets, and as rows that passed the likelihood from large ones."""
-    marked = bands.join(labels, "v", "left").select("key", "v", "n", F.coalesce("label", "v").alias("c"))
+def _rare_shingles(sets: DataFrame) -> DataFrame:
+    """v and h of every shingle that at most RARE of the sets have."""
+
+    def run(batches):
+        for b in batches:
+            for v, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                h = np.frombuffer(x, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), v, np.int64)), pa.array(h)], ["v", "h"])
+
+    # from files, so that the rows of a shingle that very many sets have can be split over tasks
+    every = written(map_batches(sets, run, "v long, h long"), "shingles")
+    few = written(every.groupBy("h").agg(F.count("*").alias("d")).where(F.col("d") <= RARE).select("h"), "few")
+    return written(every.join(few, "h"), "rare")
+
+
+def _open_pairs(bands: DataFrame, labels: DataFrame, vertices: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs of one bucket and two components: as rows from small buckets, as rows that passed the likelihood from large ones; and all members' sets.
+
+    In large buckets, pairs that share a rare shingle are found by it.  All others'
+    intersections hold common shingles only, so the smaller count of these bounds
+    them; that excludes most pairs of a group of copies that were each changed in
+    their own way.
+    """
+    marked = bands.join(labels, "v", "left").select("band", "key", "v", "n", F.coalesce("label", "v").alias("c"))
     state = marked.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m"))
     marked = written(marked, "marked")
     state = written(state.where("low <> high"), "open")
     members = written(marked.join(state.select("key", "m"), "key"), "open-members")
-    alike = (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (F.col("c") != F.col("c2")) & (F.col("v") < F.col("v2"))
+    sets = _sets_of(members, docs, vertices, k)
+
     small = members.where(F.col("m") <= SMALL_BUCKET)
     other = small.select("key", F.col("v").alias("v2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-    rows = small.join(other, "key").where(alike).select(F.col("v").alias("a"), F.col("v2").alias("b")).distinct()
+    alike = (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (F.col("c") != F.col("c2"))
+    rows = small.join(other, "key").where(alike & (F.col("v") < F.col("v2"))).select(F.col("v").alias("a"), F.col("v2").alias("b")).distinct()
 
-    # large buckets: the members outside of the largest component against all
     large = members.where(F.col("m") > SMALL_BUCKET)
-    size = large.groupBy("key", "c").agg(F.count("*").alias("k"))
-    main = written(size.groupBy("key").agg(F.max(F.struct("k", "c"))["c"].alias("main")), "main")
-    large = written(large.join(main, "key").join(vertices.select("v", "regs"), "v"), "large")
+    main = large.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "c"))["c"].alias("main"))
+    large = written(large.join(written(main, "main"), "key"), "large")
+    rare = _rare_shingles(sets.join(large.select("v").distinct(), "v", "left_semi"))
+    own = large.select("v", "n", "c").distinct()
+    minors = large.where(F.col("c") != F.col("main")).select("v").distinct()
+    rare_of = written(rare.join(own, "v"), "rare-of")
+    left = rare_of.join(minors, "v", "left_semi").select("h", "v", "n", "c")
+    right = rare_of.select("h", F.col("v").alias("v2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
+    by_shingle = left.join(right, "h").where(alike).select(F.least("v", "v2").alias("a"), F.greatest("v", "v2").alias("b")).distinct()
+    rows = rows.unionByName(by_shingle).distinct()
+
+    counts = written(rare.groupBy("v").agg(F.count("*").alias("rare")), "rare-counts")
+    large = large.join(counts, "v", "left").withColumn("shared", F.col("n") - F.coalesce("rare", F.lit(0)))
+    # a vertex with too few common shingles has no partner but by a rare one
+    large = written(large.where(100 * F.col("shared") >= percent * F.col("n")).select("band", "key", "v", "n", "c", "m", "main", "shared"), "large-shared")
+
+    # the members outside of the largest component against all
+    large = written(large.join(vertices.select("v", "regs"), "v"), "large-regs")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     large = large.withColumn("own", F.pmod(F.xxhash64("v", F.lit(5)), blocks).cast("int"))
-    minor = large.where(F.col("c") != F.col("main")).select("key", F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"), "v", "n", "c", "regs")
+    minor = large.where(F.col("c") != F.col("main")).select("key", F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"), "band", "v", "n", "c", "shared", "regs")
     # a block of minor members only exists where such members hash to it
-    whole = large.join(minor.select("key", "i").distinct(), "key").select(*[F.col(x).alias(y) for x, y in (("key", "key"), ("i", "i"), ("own", "j"), ("v", "v"), ("n", "n"), ("c", "c"), ("regs", "regs"))])
+    whole = large.join(minor.select("key", "i").distinct(), "key").select(*[F.col(x).alias(y) for x, y in (("key", "key"), ("i", "i"), ("own", "j"), ("v", "v"), ("n", "n"), ("c", "c"), ("shared", "shared"), ("regs", "regs"))])
     least = percent / 100
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = [[], []]
         if left.num_rows and right.num_rows:
-            lv, ln, lc = (left.column(x).to_numpy() for x in ("v", "n", "c"))
-            rv, rn, rc = (right.column(x).to_numpy() for x in ("v", "n", "c"))
+            lv, ln, lc, ls = (left.column(x).to_numpy() for x in ("v", "n", "c", "shared"))
+            rv, rn, rc, rs = (right.column(x).to_numpy() for x in ("v", "n", "c", "shared"))
             lr, rr = _regs(left.column("regs")), _regs(right.column("regs"))
+            band = left.column("band")[0].as_py()
             for k in range(len(lv)):
-                at = np.flatnonzero((rc != lc[k]) & (100 * np.minimum(rn, ln[k]) >= percent * np.maximum(rn, ln[k])))
+                both = np.minimum(rs, ls[k])
+                at = np.flatnonzero((rc != lc[k]) & (100 * both >= percent * (rn + ln[k] - both)))
                 # a quick look first: fewer equal registers than any set at the threshold would have
                 at = at[(rr[at] == lr[k]).sum(1) >= (least - 0.25) * REGISTERS]
+                # a pair that shares several bands is taken up in the first of them
+                at = at[(rr[at] == lr[k]).reshape(-1, REGISTERS // BAND, BAND).all(2).argmax(1) == band]
                 if len(at):
                     at = at[likely(np.broadcast_to(lr[k], (len(at), REGISTERS)), rr[at], np.full(len(at), ln[k]), rn[at], least)]
                     out[0].append(np.minimum(lv[k], rv[at]))
@@ -226,7 +278,7 @@ def _open_pairs(bands: DataFrame, labels: DataFrame, vertices: DataFrame, percen
         return pa.table({"a": cat[0], "b": cat[1]})
 
     passed = minor.groupBy("key", "i", "j").cogroup(whole.groupBy("key", "i", "j")).applyInArrow(run, "a long, b long")
-    return rows, passed.distinct()
+    return rows, passed.distinct(), sets
 
 
 def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -240,21 +292,22 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     width = 2 * BAND
     keys = [F.xxhash64(F.substring(F.col("regs"), width * i + 1, width), F.lit(i)) for i in range(REGISTERS // BAND)]
-    bands = vertices.select("v", "n", "copies", F.explode(F.array(*keys)).alias("key"))
+    bands = vertices.select("v", "n", "copies", F.posexplode(F.array(*keys)).alias("band", "key"))
     centre = bands.groupBy("key").agg(F.min(F.struct((-F.col("copies")).alias("few"), F.col("v").alias("centre"), F.col("n").alias("n0"))).alias("first"), F.count("*").alias("m"))
     centre = written(centre.where("m > 1").select("key", "first.centre", "first.n0"), "centres")
     # only buckets with several members matter from here on
-    bands = written(bands.select("key", "v", "n").join(centre, "key"), "bands")
+    bands = written(bands.select("band", "key", "v", "n").join(centre, "key"), "bands")
     alike = 100 * F.least("n", "n0") >= percent * F.greatest("n", "n0")
     stars = bands.where((F.col("v") != F.col("centre")) & alike).select(F.least("v", "centre").alias("a"), F.greatest("v", "centre").alias("b")).distinct()
     least = percent / 100
-    links = written(_verified(written(_filtered(written(stars, "stars"), vertices, least), "candidates"), docs, vertices, k, percent), "links")
+    candidates = written(_filtered(written(stars, "stars"), vertices, least), "candidates")
+    links = written(_verified(candidates, _sets_of(_ends(candidates), docs, vertices, k), percent), "links")
     labels = components(links)
 
-    rows, passed = _open_pairs(bands.select("key", "v", "n"), labels, vertices, percent)
+    rows, passed, sets = _open_pairs(bands.select("band", "key", "v", "n"), labels, vertices, docs, k, percent)
     further = written(_filtered(written(rows, "rows"), vertices, least).unionByName(passed).distinct(), "further")
     if not further.isEmpty():
-        more = written(_verified(further, docs, vertices, k, percent), "more-links")
+        more = written(_verified(further, sets, percent), "more-links")
         if not more.isEmpty():
             labels = components(links.unionByName(more))
 
