@@ -353,3 +353,54 @@ def test_leftovers_are_asked_for_again(spark):
     assert {r["node"]: (r["fixed"], r["words_left"]) for r in fixed.collect()} == {1: (" Bu Ev burada ", 0), 2: ("tamam", 0), 3: ("kalan table", 1)}
     assert tuple(leftover.totals(fixed).collect()[0]) == (3, 1, 1, 1)
     assert [(r["node"], r["words"]) for r in leftover.sample(fixed, left).collect()] == [(3, ["table"])]
+
+
+def test_llm_requests_and_services():
+    asked = []
+
+    def complete(system, user):
+        asked.append(user)
+        return '<seg id="1">A</seg><seg id="7">z</seg>'
+
+    assert engines.from_completion("llm", complete).translate(["a", "b"]) == ["A", "A"] and len(asked) == 2
+    assert engines.ask_in_frames(lambda s, u: '<seg id="1">A</seg>', "", ["a", "b", "c", "d"]) == ["A", "A", "A", None]
+    with pytest.raises(engines.EmptyOutput):
+        engines.ask_in_frames(lambda s, u: "", "", ["a"])
+    tried = []
+
+    def by_model(model, system, user):
+        tried.append(model)
+        return "" if model == "m1" else "x"
+
+    f = engines.with_models(["m1", "m2", "m3"], by_model)
+    assert f("", "") == f("", "") == "x" and tried == ["m1", "m2", "m2"]
+    r = random.Random(4)
+    for _ in range(20):
+        text = " ".join("".join(r.choice("aöçz.") for _ in range(r.randint(1, 40))) for _ in range(40)) + "ğ" * 300
+        pieces = engines.split_bytes(text, 60)
+        assert all(len(p.encode()) <= 60 for p in pieces) and "".join(pieces).replace(" ", "") == text.replace(" ", "")
+    assert engines.bounded(str.upper, 10)(["aa bb cc dd ee"]) == ["AA BB CC DD EE"]
+    assert engines.first_instance([lambda t: 1 / 0, lambda t: t, lambda t: t + "!"])(["a"]) == ["a!"]
+    assert engines.setting({"a": ""}, "a", None, "b") == "b"
+
+
+def test_candidates(spark):
+    engines.register("tagless", lambda: engines.Engine("tagless", lambda t: [f"T {x}" for x in t], supports_tags=False))
+    segs = spark.createDataFrame([("0:1", "One here. Two there.", "x"), ("0:2", "<g1>a</g1>", "y")], "uid string, source string, translation string")
+    got = {(r["uid"], r["name"]): (r["text"], r["back"]) for r in quality.candidates(segs, ["tagless", "upper"], "echo").collect()}
+    assert got == {
+        ("0:1", "current"): ("x", "x"),
+        ("0:1", "tagless"): ("T One here. Two there.", "T One here. Two there."),
+        ("0:1", "tagless_sentences"): ("T One here. T Two there.", "T One here. T Two there."),
+        ("0:1", "upper"): ("ONE HERE. TWO THERE.", "ONE HERE. TWO THERE."),
+        ("0:2", "current"): ("y", "y"),
+        ("0:2", "upper"): ("<g1>A</g1>", "A"),
+    }
+
+
+def test_glossary_for_a_book(spark):
+    learned = spark.createDataFrame([("Della", "D"), ("Jim", "C"), ("Ann", "A")], "term string, target string")
+    user = spark.createDataFrame([("Ann", "A")], "term string, target string")
+    book = spark.createDataFrame([("della ran",)], "t string")
+    assert {r["term"] for r in glossary.for_book(learned, user, book, "t").collect()} == {"Della", "Ann"}
+    assert {r["term"]: r["target"] for r in glossary.merged(spark.createDataFrame([("Jim", "own")], "term string, target string"), learned).collect()} == {"Della": "D", "Jim": "own", "Ann": "A"}

@@ -6,12 +6,15 @@ that is not there says so in ``check`` and is listed as unavailable.
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.constants import SEGMENT_FRAME
+
 
 class EngineError(Exception):
     """Worth another try."""
@@ -96,8 +99,6 @@ for _name, (_what, _llm, _tags, _max) in REMOTE.items():
 
 
 def _upper(text: str) -> str:
-    import re
-
     return "".join(p if p.startswith("<") else p.upper() for p in re.split(r"(<[^>]*>)", text))
 
 
@@ -165,3 +166,95 @@ def through_chain(engines: list[Engine], texts: list[str], retries: int = 3, sle
             if r:
                 out[k] = (r, e.name)
     return out, log
+
+
+_FRAME = re.compile(SEGMENT_FRAME)
+
+
+def ask_in_frames(complete: Callable[[str, str], str], system: str, texts: list[str], ask: str = "Translate these segments.", rounds: int = 3) -> list[str | None]:
+    """Texts as numbered segments of one request; those missing in the answer are asked for again, up to ``rounds`` requests in all.
+
+    Of an id that comes twice the last text counts, unknown ids are ignored, empty texts are missing.
+    """
+    out: list[str | None] = [None] * len(texts)
+    for _ in range(rounds):
+        todo = [k for k, r in enumerate(out) if not r]
+        if not todo:
+            break
+        frames = "\n".join(f'<seg id="{n}">{texts[k]}</seg>' for n, k in enumerate(todo, 1))
+        answer = {int(i): t.strip() for i, t in _FRAME.findall(complete(system, f"{ask}\n\n{frames}"))}
+        for n, k in enumerate(todo, 1):
+            out[k] = answer.get(n) or None
+    if not any(out) and texts:
+        raise EmptyOutput("no segment came back")
+    return out
+
+
+def from_completion(name: str, complete: Callable[[str, str], str], system: str = "") -> Engine:
+    """An LLM engine over a chat function."""
+    return Engine(name, lambda texts: ask_in_frames(complete, system, texts), is_llm=True)
+
+
+def with_models(models: list[str], complete: Callable[[str, str, str], str]) -> Callable[[str, str], str]:
+    """Tries models in order and stays with the first that works."""
+    at = [0]
+
+    def call_(system: str, user: str) -> str:
+        last: Exception = EngineError("no model is named")
+        for k in range(at[0], len(models)):
+            try:
+                answer = complete(models[k], system, user)
+                if not answer.strip():
+                    raise EmptyOutput(models[k])
+                at[0] = k
+                return answer
+            except (EmptyOutput, RateLimited) as x:
+                last = x
+        raise last
+
+    return call_
+
+
+def split_bytes(text: str, limit: int) -> list[str]:
+    """Pieces of at most ``limit`` bytes: sentences, then words, then characters, put together greedily with spaces."""
+    atoms: list[str] = []
+    for s in re.split(r"(?<=[.!?;])\s+", text):
+        for w in [s] if len(s.encode()) <= limit else s.split():
+            while len(w.encode()) > limit:
+                n = len(w.encode()[:limit].decode("utf-8", "ignore"))
+                atoms.append(w[:n])
+                w = w[n:]
+            atoms.append(w)
+    out: list[str] = []
+    for a in filter(None, atoms):
+        if out and len(f"{out[-1]} {a}".encode()) <= limit:
+            out[-1] += " " + a
+        else:
+            out.append(a)
+    return out
+
+
+def bounded(one: Callable[[str], str], limit: int) -> Callable[[list[str]], list[str]]:
+    """A batch function over a service that takes texts of so many bytes."""
+    return lambda texts: [" ".join(one(p) for p in split_bytes(t, limit)) for t in texts]
+
+
+def first_instance(instances: list[Callable[[str], str]]) -> Callable[[list[str]], list[str]]:
+    """Tries instances in order; one that gives the text back has failed."""
+
+    def each(text: str) -> str:
+        for f in instances:
+            try:
+                r = f(text)
+            except Exception:  # noqa: BLE001 - the next instance may do
+                continue
+            if r and r != text:
+                return r
+        raise EngineError("no instance answered")
+
+    return lambda texts: [each(t) for t in texts]
+
+
+def setting(conf, name: str, *fallbacks: str | None) -> str | None:
+    """A Spark setting; an empty one counts as not set, then the first fallback that is not empty."""
+    return next((x for x in (conf.get(name, None), *fallbacks) if x), None)

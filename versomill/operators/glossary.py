@@ -64,8 +64,12 @@ def in_text(terms: DataFrame, texts: DataFrame, term: str, text: str) -> DataFra
 
 def for_book(learned: DataFrame, user: DataFrame, book: DataFrame, text: str) -> DataFrame:
     """Learned terms that the user gave or that occur in the book, whatever the case."""
-    hits = learned.join(book.select(F.lower(text).alias("__t")), F.contains(F.col("__t"), F.lower("term")), "left_semi")
-    return hits.unionByName(learned.join(user.select("term"), "term", "left_semi").select(*learned.columns)).distinct()
+    low = learned.select(F.lower("term").alias("__term"))
+    found = in_text(low, book.select(F.lower(text).alias("__text")), "__term", "__text").select("__term").distinct()
+    given = user.select(F.lower("term").alias("__term"), F.col("term").alias("__own"))
+    hits = learned.join(found, F.lower("term") == F.col("__term"), "left_semi")
+    own = learned.join(given, F.col("term") == F.col("__own"), "left_semi")
+    return hits.unionByName(own).distinct()
 
 
 def for_prompt(glossary: Column, chunk: Column) -> Column:
