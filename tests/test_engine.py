@@ -404,3 +404,16 @@ def test_glossary_for_a_book(spark):
     book = spark.createDataFrame([("della ran",)], "t string")
     assert {r["term"] for r in glossary.for_book(learned, user, book, "t").collect()} == {"Della", "Ann"}
     assert {r["term"]: r["target"] for r in glossary.merged(spark.createDataFrame([("Jim", "own")], "term string, target string"), learned).collect()} == {"Della": "D", "Jim": "own", "Ann": "A"}
+
+
+def test_books_from_end_to_end(spark, tmp_path):
+    from versomill.operators import book
+
+    (tmp_path / "book.epub").write_bytes(make_archive())
+    run = book.translate_books(spark, f"{tmp_path}/book.epub", ["upper"], "en", "tr", pause=False)
+    assert {r["uid"]: r["translation"] for r in run["segments"].collect()} == {"1:1": "ONE", "1:2": "TWO <g1>THREE</g1><x2/>", "2:1": "<g1>ONE</g1>", "ncx:1": "ONE"}
+    assert run["summary"].collect()[0]["exit_code"] == 0 and run["cache"].count() == 4
+    data = zipfile.ZipFile(io.BytesIO(run["archives"].collect()[0]["content"]))
+    assert b">ONE<" in data.read("OEBPS/p.opf") and "<h1>ONE</h1>" in data.read("OEBPS/c1.xhtml").decode()
+    assert book.inspect(spark, f"{tmp_path}/book.epub").count() == 3
+    assert [r["uid"] for r in book.selected(epub.segments(epub.read(spark, f"{tmp_path}/book.epub")), "1", 2).collect()] == ["ncx:1", "1:1"]
