@@ -379,9 +379,13 @@ def test_substring_dedup(docs, texts, empty, tied):
     assert len({r["text"] for r in rows if r["doc_id"] == 2}) == 1
 
 
-def test_substring_dedup_without_broadcast(docs, texts, monkeypatch):
-    monkeypatch.setattr(substring, "MOST_BROADCAST", -1)
-    got = by_id(substring.dedup(docs, 25))
+def test_substring_dedup_without_broadcast(docs, texts, spark):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = by_id(substring.dedup(docs, 25))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert [got[k]["text"] for k in range(len(texts))] == [x for x, _, _ in plain_cut(texts, 25)]
 
 

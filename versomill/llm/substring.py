@@ -26,8 +26,6 @@ from .common import map_batches, written
 
 #: Words of a span at least.
 MIN_WORDS = 25
-#: Documents with cuts whose places are broadcast at most; beyond, texts are shuffled to them.
-MOST_BROADCAST = 50_000
 #: Bits of a place: the sentence's number in its text and the span's number of sentences.
 _SENTENCE, _LENGTH = 24, 15
 
@@ -136,11 +134,10 @@ def _cut(text: np.ndarray, s: Sentences, d: int, places: np.ndarray) -> tuple[by
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Every row of docs, with its text cut, plus __n_sentences (before) and __n_removed."""
     gone = repeated_places(docs, min_words)
-    small = gone.count() <= MOST_BROADCAST
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("places").alias("__places"))
     ids = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (_place_key() == F.col("__key"))
-    # null-safe equality is a join key as well
-    rows = docs.join(F.broadcast(gone) if small else gone, ids, "left").select(*[docs[c] for c in docs.columns], "__places")
+    # null-safe equality is a join key as well; what is cut grows with the corpus, so it is not broadcast
+    rows = docs.join(gone, ids, "left").select(*[docs[c] for c in docs.columns], "__places")
     width = len(docs.columns)
     at = docs.columns.index("text")
 
