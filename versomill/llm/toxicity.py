@@ -28,9 +28,11 @@ from . import textnum as T
 from .common import documents, map_batches, sampled_labels
 
 #: Lengths of n-grams in bytes, marks included; log2 of the buckets; size of an embedding.
-GRAMS, BITS, DIM = (4, 5, 6, 7), 18, 4
+GRAMS, BITS, DIM = (4, 5, 6, 7), 18, 2
+#: Texts that an n-gram must be in, or it would only be learned by heart.
+LEAST = 8
 #: Labelled rows that the model is fitted on at most (a documented bound), and passes over them.
-SAMPLE, EPOCHS = 4000, 40
+SAMPLE, EPOCHS = 3000, 40
 
 _rng = np.random.default_rng(99)
 _CHAR = _rng.integers(1, 2**31, 256, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -80,14 +82,15 @@ class Bags:
     text: np.ndarray  # of each pair of a text and a word of it, sorted
     word: np.ndarray
     count: np.ndarray
-    owner: np.ndarray  # the word of each n-gram, sorted
+    owner: np.ndarray  # the word of each n-gram that counts, sorted
     bucket: np.ndarray
-    grams: np.ndarray  # n-grams of each text
+    grams: np.ndarray  # all n-grams of each text
     n_texts: int
     n_words: int
 
 
-def bags(column: pa.Array) -> Bags:
+def bags(column: pa.Array, least: int = LEAST) -> Bags:
+    """Bags of texts; n-grams of fewer than ``least`` texts, counted by words, are left out but count as the text's n-grams."""
     index: dict[int, int] = {}
     spelled: list[np.ndarray] = []
     texts, words_, counts = [], [], []
@@ -111,16 +114,27 @@ def bags(column: pa.Array) -> Bags:
     space = np.full(1, 32, np.uint8)
     buf = np.concatenate([space, *(y for x in spelled for y in (x, space))])
     at = np.r_[1, 1 + np.cumsum([len(x) + 1 for x in spelled])]
+    del index, spelled
+    # in two rounds, so that n-grams of fewer texts than count are never held
+    n_words = len(at) - 1
+    of_word, seen = np.zeros(n_words, np.int64), np.zeros(1 << BITS, np.int64)
+    texts_of_word = np.bincount(word, minlength=n_words)
+    for _, bucket, inside in gram_buckets(buf):
+        k = np.flatnonzero(inside)
+        own = np.searchsorted(at, k + 1, "right") - 1
+        of_word += np.bincount(own, minlength=n_words)
+        seen += np.bincount(bucket[k], texts_of_word[own], 1 << BITS).astype(np.int64)
     owners, buckets = [], []
     for _, bucket, inside in gram_buckets(buf):
         k = np.flatnonzero(inside)
-        owners.append(np.searchsorted(at, k + 1, "right") - 1)
-        buckets.append(bucket[k])
-    owner, bucket = cat(owners), cat(buckets)
-    order = np.argsort(owner, kind="stable")
-    of_word = np.bincount(owner, minlength=len(spelled))
+        k = k[seen[bucket[k]] >= least]
+        owners.append((np.searchsorted(at, k + 1, "right") - 1).astype(np.int32))
+        buckets.append(bucket[k].astype(np.int32))
+    owner, bucket = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (owners, buckets))
+    del owners, buckets
+    order = np.argsort(owner, kind="stable").astype(np.int32)
     grams = np.bincount(text, count * of_word[word] if len(word) else None, len(column))
-    return Bags(text.astype(np.int32), word.astype(np.int32), count, owner[order].astype(np.int32), bucket[order].astype(np.int32), grams, len(column), len(spelled))
+    return Bags(text.astype(np.int32), word.astype(np.int32), count, owner[order], bucket[order], grams, len(column), n_words)
 
 
 @dataclass
@@ -161,13 +175,17 @@ def _descend(bag: Bags, entry: np.ndarray, used: np.ndarray, weight: np.ndarray,
     ``sparse`` is a penalty on the length of each embedding: one that explains less
     than that is set to nought after each step.
     """
-    owner, bucket = bag.owner[entry], np.searchsorted(used, bag.bucket[entry]).astype(np.int32)
+    place = np.full(1 << BITS, -1, np.int32)
+    place[used] = np.arange(len(used))
+    bucket, owner = place[bag.bucket[entry]], bag.owner[entry]
     # only pairs of a text and a word that has one of these n-grams
-    words, owner = np.unique(owner, return_inverse=True)
+    has = np.zeros(bag.n_words, bool)
+    has[owner] = True
+    words = np.flatnonzero(has)
     of = np.full(bag.n_words, -1, np.int32)
     of[words] = np.arange(len(words))
     pair = np.flatnonzero(of[bag.word] >= 0)
-    word, text, share_of, owner = of[bag.word[pair]], bag.text[pair], share_of[pair], owner.astype(np.int32)
+    word, text, share_of, owner = of[bag.word[pair]], bag.text[pair], share_of[pair], of[owner]
     by_bucket, by_word = np.argsort(bucket, kind="stable").astype(np.int32), np.argsort(word, kind="stable").astype(np.int32)
     speed = [np.zeros_like(x) for x in params]
     for _ in range(epochs):
@@ -191,13 +209,12 @@ def _descend(bag: Bags, entry: np.ndarray, used: np.ndarray, weight: np.ndarray,
     return params
 
 
-def train(bag: Bags, label: np.ndarray, epochs: int = EPOCHS, rate: float = 60.0, sparse: float = 0.2, least: int = 8, seed: int = 5) -> Model:
+def train(bag: Bags, label: np.ndarray, epochs: int = EPOCHS, rate: float = 60.0, sparse: float = 0.2, seed: int = 5) -> Model:
     """Embeddings and softmax trained together.
 
     Each n-gram's share of a text is divided by its root mean square over the texts,
-    so that rare and common ones count alike; n-grams of fewer than ``least`` texts
-    would only be learned by heart and are left out.  A first descent with a penalty
-    on embeddings finds the n-grams that matter; a second one without it trains these.
+    so that rare and common ones count alike.  A first descent with a penalty on
+    embeddings finds the n-grams that matter; a second one without it trains these.
     """
     size = 1 << BITS
     toxic = label > 0
@@ -207,12 +224,9 @@ def train(bag: Bags, label: np.ndarray, epochs: int = EPOCHS, rate: float = 60.0
         return Model(np.zeros(size, np.float32), prior)
     rng = np.random.default_rng(seed)
     share_of = (bag.count / np.maximum(bag.grams, 1)[bag.text]).astype(np.float32)[:, None]
-    # counted by words: texts that have an n-gram, and its squared shares
-    texts_of_word = np.bincount(bag.word, minlength=bag.n_words)
     squares = np.bincount(bag.word, share_of[:, 0] ** 2, bag.n_words)
-    seen = np.bincount(bag.bucket, texts_of_word[bag.owner], size)
     rms = np.sqrt(np.bincount(bag.bucket, squares[bag.owner], size) / bag.n_texts)
-    used = np.flatnonzero((seen >= least) & (rms > 0))
+    used = np.flatnonzero(rms > 0)
     if not len(used):
         return Model(np.zeros(size, np.float32), prior)
     unit = 1 / np.sqrt(len(used))
@@ -221,13 +235,13 @@ def train(bag: Bags, label: np.ndarray, epochs: int = EPOCHS, rate: float = 60.0
     params = [np.zeros((len(used), DIM), np.float32), (rng.standard_normal((DIM, 2)) * 0.7).astype(np.float32), np.array([-prior / 2, prior / 2], np.float32)]
     keep = np.zeros(size, bool)
     keep[used] = True
-    params = _descend(bag, np.flatnonzero(keep[bag.bucket]), used, weight, share_of, y, params, epochs, rate, sparse * unit)
+    params = _descend(bag, keep[bag.bucket], used, weight, share_of, y, params, epochs, rate, sparse * unit)
     active = (params[0] != 0).any(1)
     if active.any():
         used, weight = used[active], weight[active]
         keep[:] = False
         keep[used] = True
-        params = _descend(bag, np.flatnonzero(keep[bag.bucket]), used, weight, share_of, y, [params[0][active], *params[1:]], 20 * epochs, 4 * rate, 0.0)
+        params = _descend(bag, keep[bag.bucket], used, weight, share_of, y, [params[0][active], *params[1:]], 20 * epochs, 4 * rate, 0.0)
     else:
         used, weight, params = used[:0], weight[:0], [params[0][:0], *params[1:]]
     emb, out, bias = params
