@@ -32,7 +32,7 @@ GRAMS, BITS, DIM = (4, 5, 6, 7), 18, 2
 #: Texts that an n-gram must be in, or it would only be learned by heart.
 LEAST = 8
 #: Labelled rows that the model is fitted on at most (a documented bound), and passes over them.
-SAMPLE, EPOCHS = 3000, 40
+SAMPLE, EPOCHS = 2500, 40
 
 _rng = np.random.default_rng(99)
 _CHAR = _rng.integers(1, 2**31, 256, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -89,6 +89,23 @@ class Bags:
     n_words: int
 
 
+def _grams_of(spelled: list[np.ndarray], block: int = 20_000):
+    """(word, bucket) of all n-grams of a list of words, by word, in blocks."""
+    space = np.full(1, 32, np.uint8)
+    for i in range(0, len(spelled), block):
+        part = spelled[i : i + block]
+        buf = np.concatenate([space, *(y for x in part for y in (x, space))])
+        at = np.r_[1, 1 + np.cumsum([len(x) + 1 for x in part])]
+        owners, buckets = [], []
+        for _, bucket, inside in gram_buckets(buf):
+            k = np.flatnonzero(inside)
+            owners.append((np.searchsorted(at, k + 1, "right") - 1 + i).astype(np.int32))
+            buckets.append(bucket[k].astype(np.int32))
+        owner, bucket = np.concatenate(owners), np.concatenate(buckets)
+        order = np.argsort(owner, kind="stable")
+        yield owner[order], bucket[order]
+
+
 def bags(column: pa.Array, least: int = LEAST) -> Bags:
     """Bags of texts; n-grams of fewer than ``least`` texts, counted by words, are left out but count as the text's n-grams."""
     index: dict[int, int] = {}
@@ -111,30 +128,23 @@ def bags(column: pa.Array, least: int = LEAST) -> Bags:
         counts.append(n)
     cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
     text, word, count = cat(texts), cat(words_), cat(counts)
-    space = np.full(1, 32, np.uint8)
-    buf = np.concatenate([space, *(y for x in spelled for y in (x, space))])
-    at = np.r_[1, 1 + np.cumsum([len(x) + 1 for x in spelled])]
-    del index, spelled
-    # in two rounds, so that n-grams of fewer texts than count are never held
-    n_words = len(at) - 1
+    # in two rounds over blocks of words, so that n-grams of fewer texts than count are never held
+    n_words = len(spelled)
     of_word, seen = np.zeros(n_words, np.int64), np.zeros(1 << BITS, np.int64)
     texts_of_word = np.bincount(word, minlength=n_words)
-    for _, bucket, inside in gram_buckets(buf):
-        k = np.flatnonzero(inside)
-        own = np.searchsorted(at, k + 1, "right") - 1
+    for own, bucket in _grams_of(spelled):
         of_word += np.bincount(own, minlength=n_words)
-        seen += np.bincount(bucket[k], texts_of_word[own], 1 << BITS).astype(np.int64)
+        seen += np.bincount(bucket, texts_of_word[own], 1 << BITS).astype(np.int64)
     owners, buckets = [], []
-    for _, bucket, inside in gram_buckets(buf):
-        k = np.flatnonzero(inside)
-        k = k[seen[bucket[k]] >= least]
-        owners.append((np.searchsorted(at, k + 1, "right") - 1).astype(np.int32))
-        buckets.append(bucket[k].astype(np.int32))
+    for own, bucket in _grams_of(spelled):
+        use = seen[bucket] >= least
+        owners.append(own[use])
+        buckets.append(bucket[use])
+    del index, spelled
     owner, bucket = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (owners, buckets))
     del owners, buckets
-    order = np.argsort(owner, kind="stable").astype(np.int32)
     grams = np.bincount(text, count * of_word[word] if len(word) else None, len(column))
-    return Bags(text.astype(np.int32), word.astype(np.int32), count, owner[order], bucket[order], grams, len(column), n_words)
+    return Bags(text.astype(np.int32), word.astype(np.int32), count, owner, bucket, grams, len(column), n_words)
 
 
 @dataclass
@@ -177,7 +187,7 @@ def _descend(bag: Bags, entry: np.ndarray, used: np.ndarray, weight: np.ndarray,
     """
     place = np.full(1 << BITS, -1, np.int32)
     place[used] = np.arange(len(used))
-    bucket, owner = place[bag.bucket[entry]], bag.owner[entry]
+    bucket, owner = (place[bag.bucket], bag.owner) if entry.all() else (place[bag.bucket[entry]], bag.owner[entry])
     # only pairs of a text and a word that has one of these n-grams
     has = np.zeros(bag.n_words, bool)
     has[owner] = True
