@@ -304,6 +304,23 @@ def test_near_duplicates_within_large_buckets(spark, monkeypatch):
         assert [got[k]["component_id"] for k in range(len(rows))] == want
 
 
+@pytest.mark.parametrize("k, percent, n, more, changes", [(3, 85, 700, 115, 1), (5, 80, 1500, 358, 1)])
+def test_near_duplicates_of_longer_copies(spark, k, percent, n, more, changes):
+    """Copies with so much appended that the sizes' ratio is just above the threshold, and a word changed."""
+    r = random.Random(11)
+    rows = []
+    for i in range(16):
+        w = [f"w{r.randrange(10**9)}" for _ in range(n + more)]
+        rows.append((2 * i, " ".join(w[:n])))
+        for _ in range(changes):
+            w[r.randrange(k, n - k)] = "changed"
+        rows.append((2 * i + 1, " ".join(w)))
+    sets = [shingle_set(t, k) for _, t in rows[:2]]
+    assert percent <= 100 * len(sets[0] & sets[1]) / len(sets[0] | sets[1]) and 99 * len(sets[0]) < percent * len(sets[1])
+    got = by_id(neardup.classes(spark.createDataFrame(rows, "doc_id long, text string"), k, percent))
+    assert [got[j]["component_id"] for j in range(len(rows))] == [j - j % 2 for j in range(len(rows))]
+
+
 def test_near_duplicates_odd_rows(empty, tied):
     assert neardup.classes(empty).count() == 0
     rows = neardup.classes(tied, 3, 85).collect()

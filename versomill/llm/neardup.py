@@ -128,22 +128,25 @@ def likely(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, least
     """Whether rows of registers may belong to sets whose similarity is ``least`` or more.
 
     The joint likelihood of how many registers are larger, smaller and equal, given
-    both sizes, is taken over a grid of similarities.
+    both sizes, is taken over two grids of similarities: all that the sizes allow, and
+    those from ``least`` on, as few as they may be.
     """
     more, fewer = (ra > rb).sum(-1), (ra < rb).sum(-1)
     same = REGISTERS - more - fewer
     u = (na / (na + nb))[..., None]
     v = 1 - u
-    grid = np.linspace(0.0, 1.0, 101) * np.minimum(u / v, v / u)  # no similarity exceeds the sizes' ratio
+    most = np.minimum(u / v, v / u)  # no similarity exceeds the sizes' ratio
 
     def p(x):
         return -np.log1p(-np.clip(x, 1e-12, 1) * (BASE - 1) / BASE) / np.log(BASE)
 
-    larger, smaller = p(u - v * grid), p(v - u * grid)
-    # J as inter / union: u - vJ is proportional to the part of a alone
-    like = more[..., None] * np.log(larger) + fewer[..., None] * np.log(smaller) + same[..., None] * np.log(np.clip(1 - larger - smaller, 1e-12, 1))
-    enough = np.where(grid >= least - 1e-9, like, -np.inf).max(-1)
-    return enough >= like.max(-1) - SURE
+    def best(grid):
+        # J as inter / union: u - vJ is proportional to the part of a alone
+        larger, smaller = p(u - v * grid), p(v - u * grid)
+        return (more[..., None] * np.log(larger) + fewer[..., None] * np.log(smaller) + same[..., None] * np.log(np.clip(1 - larger - smaller, 1e-12, 1))).max(-1)
+
+    enough = best(least + np.linspace(0.0, 1.0, 51) * np.maximum(most - least, 0))
+    return (most[..., 0] >= least - 1e-9) & (enough >= best(np.linspace(0.0, 1.0, 101) * most) - SURE)
 
 
 def _regs(column: pa.Array) -> np.ndarray:
