@@ -332,6 +332,15 @@ def test_near_duplicates_odd_rows(empty, tied):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "1", "3", "3", "None", "None"]
 
 
+def test_near_duplicates_of_shared_ids(spark):
+    """A row goes by its own text, not because another row of its id goes."""
+    r = random.Random(13)
+    x, y = (" ".join(f"w{r.randrange(10**9)}" for _ in range(60)) for _ in range(2))
+    rows = [(3, x), (5, x), (5, y), (9, y + " more")]
+    kept = neardup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)
+    assert sorted(tuple(z) for z in kept.collect()) == sorted([rows[0], rows[2]])
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(k, k + 1) for k in range(1000, 1060)]

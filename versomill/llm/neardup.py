@@ -43,7 +43,7 @@ SURE = 20.0
 SMALL_BUCKET, BLOCK = 16, 512
 #: Sets that a rare shingle is found in at most.
 RARE = 16
-#: Ids that are broadcast at most, 8 bytes each; more are joined by a shuffle.
+#: Ids that are broadcast at most, 8 bytes each and 8 more for a text's key; more are joined by a shuffle.
 MOST_IDS = 500_000
 
 _rng = np.random.default_rng(77)
@@ -107,11 +107,12 @@ def _sketched(docs: DataFrame, k: int) -> DataFrame:
             regs = sketches(sets)
             sig = [signatures(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in sig], pa.int64()), pa.array([y for _, y in sig], pa.int64()), pa.array([r.tobytes() for r in regs], pa.binary())],
-                ["doc_id", "n", "s1", "s2", "regs"],
+                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in sig], pa.int64()), pa.array([y for _, y in sig], pa.int64()), pa.array([r.tobytes() for r in regs], pa.binary()), *b.columns[2:]],
+                ["doc_id", "n", "s1", "s2", "regs", *b.schema.names[2:]],
             )
 
-    return map_batches(docs, run, "doc_id long, n long, s1 long, s2 long, regs binary").withColumn("v", _vertex())
+    more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[2:])
+    return map_batches(docs, run, f"doc_id long, n long, s1 long, s2 long, regs binary{more}").withColumn("v", _vertex())
 
 
 def _full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -284,10 +285,15 @@ def _open_pairs(bands: DataFrame, labels: DataFrame, vertices: DataFrame, docs:
     return rows, passed.distinct(), sets
 
 
-def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """For every row of docs: doc_id, n_shingles and component_id, the smallest id of its class."""
+def _text_key() -> Column:
+    """Tells apart rows that share an id."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def classes(docs: DataFrame, k: int = 5, percent: int = 80, with_key: bool = False) -> DataFrame:
+    """For every row of docs: doc_id, n_shingles and component_id, the smallest id of its class; text_key too if wanted."""
     docs = documents(docs)
-    base = written(_sketched(docs, k), "sketches")
+    base = written(_sketched(docs.withColumn("text_key", _text_key()) if with_key else docs, k), "sketches")
     # one vertex for each set; the copies' rows are merged before they are shuffled
     some = base.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     found = some.groupBy("v", "n").agg(F.min(F.struct("doc_id", "regs")).alias("least"), F.count("*").alias("copies"))
@@ -321,18 +327,22 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     grouped = written(linked.unionByName(alone), "classes")
     # rows without words or id stay alone: they look for no class
     key = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("v"))
-    out = base.select("doc_id", "n", key.alias("key")).join(grouped, F.col("key") == grouped["v"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    own = ["text_key"] if with_key else []
+    out = base.select("doc_id", "n", key.alias("key"), *own).join(grouped, F.col("key") == grouped["v"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *own)
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, with all their columns, of which one stays for each class: the one with the smallest id.
 
-    Of rows that are equal in id and text one stays.
+    Rows go by id and text, so a row that shares its id with a copy of another stays.
+    Of rows that are equal in id and text one stays; rows of a class that share its
+    smallest id but not the text all stay.
     """
-    gone = written(classes(docs, k, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    found = classes(docs, k, percent, with_key=True).where("doc_id <> component_id")
+    gone = written(found.select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__key")).distinct(), "gone")
     few = gone.count() <= MOST_IDS
-    rows = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    rows = docs.join(F.broadcast(gone) if few else gone, (F.col("doc_id") == F.col("__gone")) & (_text_key() == F.col("__key")), "left_anti")
     again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias("__again"))
     again = written(again, "again")
     if again.isEmpty():
