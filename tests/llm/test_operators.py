@@ -341,6 +341,10 @@ def test_near_duplicates_of_shared_ids(spark):
     assert sorted(tuple(z) for z in kept.collect()) == sorted([rows[0], rows[2]])
 
 
+def test_toxicity_sample_is_not_cut():
+    assert toxicity.SAMPLE == 4000
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(k, k + 1) for k in range(1000, 1060)]
