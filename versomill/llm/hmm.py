@@ -10,6 +10,8 @@ all training words matter, however many there are, while what a state holds is b
    brings its count along, others are kept with the row.
 3. Baum-Welch: each partition adds up expected counts of starts, transitions and
    emissions over its training rows, the sums over partitions give the next model.
+   Rows are cut into stretches of STRETCH tokens for it, an approximation:
+   transitions over their borders are not counted.
 4. The scaled forward recursion gives each row's exact likelihood; the rest of the
    words' counts come by a join.
 
