@@ -3,8 +3,8 @@
 A sentence ends after a word that ends in . ! or ? (closing quotes and brackets may
 follow) or at a line break.  From every sentence starts a span, the shortest run of
 consecutive sentences with ``min_words`` words, and at every sentence ends one, found
-likewise backwards; so each sentence of a passage of twice that many words lies in a
-span within the passage.  A span's words (A-Z in lower case, white space left out)
+likewise backwards; so each sentence of a passage of twice that many words, all in
+whole sentences, lies in a span within the passage; parts of sentences do not count.  A span's words (A-Z in lower case, white space left out)
 give its hash.  Hashes are counted over the whole corpus, the repeated ones are
 joined with their places, and each place but the first, by doc_id and position,
 marks its sentences; marked sentences are cut out.
