@@ -6,24 +6,30 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-#: Rows of one Arrow batch.  Texts reach a hundred kilobytes, so the usual ten
-#: thousand rows would put hundreds of megabytes into one worker.
-BATCH_ROWS = 1000
+#: Rows and bytes of the batches that operators work on.  Spark itself bounds the
+#: bytes of an Arrow batch (spark.sql.execution.arrow.maxBytesPerBatch), a single
+#: longer row makes a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where that is unset (a local test session) a temporary folder is made.
+    Where that is unset, a local session (as in tests) gets a temporary folder; on a
+    cluster there is no folder that may be guessed, so it is an error.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = getattr(spark, "_versomill_dir", None) or "file://" + tempfile.mkdtemp(prefix="versomill-")
         spark._versomill_dir = base
     return base.rstrip("/")
@@ -33,14 +39,38 @@ def new_folder(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
+_open: list[list[str]] = []  # folders of each scratch that is open, the innermost last
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes all tables written within it at its end, but those that are to outlive it; they fall to the scratch around it, if there is one."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            dropped(path, spark)
+
+
+def falls_to_scratch(path: str, outlive: bool = False) -> None:
+    level = len(_open) - (2 if outlive else 1)
+    if level >= 0:
+        _open[level].append(path)
+
+
+def written(df: DataFrame, tag: str, path: str | None = None, outlive: bool = False) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read again.
 
     It cuts the lineage and fixes what was computed: a lost executor costs a
-    re-read and no second, perhaps different, computation.
+    re-read and no second, perhaps different, computation.  Without a ``path`` the
+    table is deleted with the scratch that it was made in; one that a result still
+    reads must ``outlive`` it.
     """
     spark = df.sparkSession
-    path = path or new_folder(spark, tag)
+    if path is None:
+        path = new_folder(spark, tag)
+        falls_to_scratch(path, outlive)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -66,13 +96,21 @@ def _ship_package(spark: SparkSession) -> None:
     context._versomill_shipped = True
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in batches of BATCH_ROWS rows and about BATCH_BYTES bytes at most."""
+    for b in batches:
+        rows = min(BATCH_ROWS, max(1, BATCH_BYTES * b.num_rows // max(1, b.nbytes)))
+        if b.num_rows <= rows:
+            yield b
+        else:
+            for i in range(0, b.num_rows, rows):
+                yield b.slice(i, rows)
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with batches small enough for long texts."""
     _ship_package(df.sparkSession)
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(lambda batches: fn(_bounded(batches)), schema)
 
 
 def documents(docs: DataFrame) -> DataFrame:
@@ -80,6 +118,20 @@ def documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def plain_names(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with its columns named c0, c1, ... in order, and the new names of doc_id and text.
+
+    So no name that an operator gives can meet one of the table, and no name needs
+    quotes; ``toDF(*docs.columns)`` names the columns as they were.
+    """
+    return docs.toDF(*[f"c{k}" for k in range(len(docs.columns))]), f"c{docs.columns.index('doc_id')}", f"c{docs.columns.index('text')}"
+
+
+def text_keys(text: Column) -> tuple[Column, Column]:
+    """Two hashes of a text, 128 bits together: with the id they tell rows of different texts apart."""
+    return F.xxhash64(text), F.xxhash64(F.lit(0x5EED), text, F.length(text))
+
+
 def crc_mod(col: str, m: int):
     """crc32 of an id as text, modulo m; a null id counts as the empty string."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % m
