@@ -9,13 +9,18 @@ one state, so the table is small: a state is (the state it was copied from, the
 it lost, the merge that made it), a token is (the state it enters, its left part,
 the merge that made it).  ``allows`` answers from it whether a state has an arc.
 
-A pre-split word is encoded by walking its bytes along arcs, longest label first,
-until the walk ends with the word; the accepted walk is unique.  Decoding emits the
-labels of the arcs.
-
-Null and empty texts have no tokens and decode to the empty text.  Rows are treated
-one by one, so repeated rows and ids do not matter; an empty table gives an empty
-result.  Words of any length are walked whole.
+A pre-split word is encoded by table: its bytes drive a second, finite table over all
+labels (state, byte -> state), each of whose states lists the labels that end there,
+longest first.  Every prefix of a word has exactly one accepted walk, so at each byte
+exactly one of these labels has an arc behind the walk of the prefix before it; that
+arc is written down, and the word's walk is read off backwards.  There is no search and
+no backtracking.  Decoding emits the labels of the arcs.
+
+Vocabulary files with a normalizer, another pre-tokenizer, or other settings that would
+change ids are refused.  Null and empty texts have no tokens and decode to the empty
+text.  Rows are treated one by one, so repeated rows, ids and rows without an id do not
+matter; only doc_id and text are read, so other columns may have any names; an empty
+table gives an empty result.  Words of any length are walked whole.
 """
 
 from __future__ import annotations
@@ -33,8 +38,8 @@ from .common import documents, map_batches
 
 #: Fixed value: the pre-tokens of this kind of vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words in a worker's cache, and answers about arcs, before they start anew.
-CACHED_WORDS, CACHED_ARCS = 400_000, 1_000_000
+#: Words in a worker's cache, and answers about arcs, before they start anew; characters of a word that is cached.
+CACHED_WORDS, CACHED_ARCS, LONGEST = 400_000, 1_000_000, 64
 
 
 def byte_of_character() -> dict[str, int]:
@@ -55,12 +60,11 @@ class Automaton:
     lost: list[int]
     born: list[int]
     special: dict[str, int]
-    ids: dict[bytes, int] = field(default_factory=dict)
-    longest: int = 1
+    step: dict[int, int] = field(default_factory=dict)  # state << 8 | byte -> state, over the labels
+    ends: list[tuple[tuple[int, int], ...]] = field(default_factory=list)  # of each state, (length, token) of the labels that end there
 
     def __post_init__(self):
-        self.ids = {x: k for k, x in enumerate(self.label) if self.made[k] >= 0 and k not in self.dead}
-        self.longest = max(map(len, self.ids), default=1)
+        self._tables()
         self._arcs: dict[int, bool] = {}
         self._words: dict[str, tuple[int, ...]] = {}
         self._decimal = [str(k) for k in range(len(self.label))]
@@ -91,33 +95,65 @@ class Automaton:
             found = self._arcs[key] = self.allows(self.enters[a], b)
         return found
 
+    def _tables(self) -> None:
+        """The tables over labels: a trie, where a byte without an arc of its own goes on from the longest proper suffix."""
+        own: list[dict[int, int]] = [{}]
+        token = [-1]
+        for k, x in enumerate(self.label):
+            if self.made[k] >= 0 and k not in self.dead:
+                at = 0
+                for byte in x:
+                    if byte not in own[at]:
+                        own[at][byte] = len(own)
+                        own.append({})
+                        token.append(-1)
+                    at = own[at][byte]
+                token[at] = k
+        self._back = [0] * len(own)
+        self.ends = [()] * len(own)
+        self.step = {}
+        todo = [0]
+        for at in todo:  # by depth, so that a suffix is done before
+            for byte, to in own[at].items():
+                back = self._next(self._back[at], byte) if at else 0
+                self._back[to] = back
+                k = token[to]
+                self.ends[to] = (((len(self.label[k]), k),) if k >= 0 else ()) + self.ends[back]
+                todo.append(to)
+            for byte, to in own[at].items():
+                self.step[at << 8 | byte] = to
+
+    def _next(self, state: int, byte: int) -> int:
+        """The state behind a byte; a way over suffixes is put into the table once it was gone."""
+        key = state << 8 | byte
+        to = self.step.get(key)
+        if to is None:
+            to = self.step[key] = self._next(self._back[state], byte) if state else 0
+        return to
+
     def walk(self, word: bytes) -> list[int]:
         """The accepted walk over a word's bytes."""
-        get, follows, longest, n = self.ids.get, self.follows, self.longest, len(word)
-        out: list[int] = []
-        at: list[int] = []
-        closed: set[tuple[int, int]] = set()  # (place, token before it) from where the word's end can't be reached
-        i, prev = 0, -1
-        e = min(n, longest)
-        while i < n:
-            while e > i:
-                t = get(word[i:e])
-                if t is not None and (prev < 0 or follows(prev, t)) and (not closed or (e, t) not in closed):
+        step, ends, follows = self.step, self.ends, self.follows
+        behind = [-1]  # the last token of each prefix's walk
+        size = [0]
+        state = n = 0
+        for byte in word:
+            to = step.get(state << 8 | byte)
+            state = self._next(state, byte) if to is None else to
+            n += 1
+            for length, k in ends[state]:
+                before = behind[n - length]
+                if length == n or (before >= 0 and follows(before, k)):
                     break
-                e -= 1
-            if e > i:
-                out.append(t)
-                at.append(i)
-                i, prev = e, t
-                e = min(n, i + longest)
-            elif out:
-                closed.add((i, prev))
-                e = i - 1
-                out.pop()
-                i = at.pop()
-                prev = out[-1] if out else -1
             else:
                 raise ValueError("no walk accepts this word")
+            behind.append(k)
+            size.append(length)
+        out = []
+        while n:
+            out.append(behind[n])
+            n -= size[n]
+        out.reverse()
         return out
 
     def _words_of(self, text: str) -> list[tuple[int, ...]]:
@@ -131,7 +167,9 @@ class Automaton:
                     w = words[k]
                     v = cached.get(w)
                     if v is None:
-                        v = cached[w] = tuple(self.walk(w.encode()))
+                        v = tuple(self.walk(w.encode()))
+                        if len(w) <= LONGEST:
+                            cached[w] = v
                     found[k] = v
         return found
 
@@ -162,6 +200,13 @@ def compile_merges(file: bytes) -> Automaton:
     """The automaton of a vocabulary file's merges; each merge must make a token of its own."""
     spec = json.loads(file)
     model, back = spec["model"], byte_of_character()
+    pre = spec.get("pre_tokenizer")
+    if pre is not None and (pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True)):
+        raise ValueError("the pre-tokenizer must be ByteLevel with its usual pattern and no space before the text")
+    if spec.get("normalizer") is not None or model.get("type", "BPE") != "BPE" or any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        raise ValueError("a normalizer, or a setting of the model that changes ids, is not understood")
+    if any(t.get(x) for t in spec.get("added_tokens", []) for x in ("lstrip", "rstrip", "single_word", "normalized")):
+        raise ValueError("an added token that takes in its surroundings is not understood")
     added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
     size = 1 + max([*model["vocab"].values(), *added.values()])
     label, made, left, enters = [b""] * size, [-1] * size, [-1] * size, [0] * size
