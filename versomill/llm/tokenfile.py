@@ -11,10 +11,11 @@ The blocks are rows of a Parquet table, so that every executor writes through
 Spark to whatever store the folder is in.  Encoding runs once: its result is written,
 counted for the ranks, dealt by ranges of doc_id, sorted and coded.
 
-Null and empty texts consist of the end id alone.  A null doc_id comes first.  Rows
-with one doc_id stand next to each other, ordered by their number of ids and a hash
-of these; the ranges are made of all three, so that even many such rows spread over
-files.  An empty table gives no blocks and an empty result.
+Null and empty texts consist of the end id alone; texts of any length are whole.  A null
+doc_id comes first.  Rows with one doc_id, and repeated rows, stand next to each other,
+ordered by their number of ids and a hash of these; the ranges are made of all three, so
+that even many such rows spread over files.  Only doc_id and text are read, so other
+columns may have any names.  An empty table gives no blocks and an empty result.
 """
 
 from __future__ import annotations
@@ -26,14 +27,14 @@ from array import array
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, dropped, map_batches, new_folder
 
 MAGIC = b"VTB1"
-#: Token ids of a block; words that a worker keeps for good, and later ones before they start anew; bytes of plain ids for each file.
-BLOCK_IDS, KEPT_WORDS, LATE_WORDS, FILE_BYTES = 1 << 19, 700_000, 200_000, 32 << 20
+#: Token ids of a block; words that a worker keeps for good, and later ones before they start anew; characters of a word that is kept; bytes of plain ids for each file.
+BLOCK_IDS, KEPT_WORDS, LATE_WORDS, LONGEST, FILE_BYTES = 1 << 19, 700_000, 200_000, 64, 32 << 20
 
 #: Lengths of the four values of a control byte.
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
@@ -41,7 +42,7 @@ _MASK = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
 # Fixed value: the pre-tokens of byte-level vocabularies; for texts within Latin-1 the classes are spelled out, which is faster.
 _ANY = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x1c-\x1f\x85\xa0"
+_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 _LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 
@@ -150,7 +151,9 @@ def encode_texts(texts: list[str | None], file: bytes, end_id: int) -> list[byte
                 if ids is None:
                     pieces = model.tokenize(w.encode().decode("latin-1").translate(_SHOWN))
                     ids = array("I", [x.id for x in pieces]).tobytes()
-                    if len(kept) < KEPT_WORDS:
+                    if len(w) > LONGEST:
+                        pass
+                    elif len(kept) < KEPT_WORDS:
                         kept[w] = ids
                     else:
                         if len(late) >= LATE_WORDS:
@@ -244,24 +247,30 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of every document, from the files alone."""
     blocks = spark.read.schema("part long, block long, before long, n long, payload binary").parquet(f"{path}/blocks")
     codebook = np.array([r["id"] for r in spark.read.parquet(f"{path}/ranks").orderBy("rank").collect()], np.uint32)  # as many rows as ids
-    parts = blocks.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()  # a row for each file
-    first, at = {}, 0
-    for r in parts:
-        first[r["part"]], at = at, at + r["n"]
-    shipped = spark.sparkContext.broadcast((codebook, first))
+    shipped = spark.sparkContext.broadcast(codebook)
 
     def run(batches):
-        book, offsets = shipped.value
         for b in batches:
             for part, before, payload in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 doc_ids, lengths, ranks = read_block(payload)
-                ids = book[ranks].astype("<u4")
+                ids = shipped.value[ranks].astype("<u4")
                 ends = np.cumsum(lengths, dtype=np.int64)
                 starts = ends - lengths
                 crc = [zlib.crc32(ids[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(starts + before + offsets[part]), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(doc_ids), part, np.int64)), pa.array(doc_ids, pa.int64()), pa.array(starts + before), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())], ["part", "doc_id", "start", "n_tokens", "ids_crc32"])
+
+    found = map_batches(blocks.select("part", "before", "payload"), run, "part long, doc_id long, start long, n_tokens long, ids_crc32 long")
+    first = _first_ids(blocks.groupBy("part").agg(F.sum("n").alias("n")))
+    return found.join(first, "part").select("doc_id", (F.col("start") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
+
 
-    return map_batches(blocks.select("part", "before", "payload"), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def _first_ids(parts: DataFrame, group: int = 1024) -> DataFrame:
+    """part and first, the ids of all files before it, from the sum n of each file; in two steps, so that no task has all files."""
+    parts = parts.withColumn("group", F.floor(F.col("part") / group))
+    before = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = parts.groupBy("group").agg(F.sum("n").alias("n")).select("group", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.withColumn("own", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(groups, "group").select("part", (F.col("base") + F.col("own")).alias("first"))
 
 
 def token_ids(spark: SparkSession, path: str) -> DataFrame:
