@@ -9,16 +9,20 @@ all training words matter, however many there are, while what a state holds is b
 2. Every row is turned into class ids; a word among the broadcast frequent ones
    brings its count along, others are kept with the row.
 3. Baum-Welch: each partition adds up expected counts of starts, transitions and
-   emissions over its training rows, the sums over partitions give the next model.
-   Rows are cut into stretches of STRETCH tokens for it, an approximation:
-   transitions over their borders are not counted.
+   emissions over its whole training rows, the sums over partitions give the next model.
+   Rows go through it in stretches of STRETCH tokens side by side; each stretch's
+   transfer matrix carries the forward and backward messages over its borders, so the
+   counts are those of the whole row.
 4. The scaled forward recursion gives each row's exact likelihood; the rest of the
    words' counts come by a join.
 
 The base score is an add-one unigram model.  A row's tokens are its words and an end;
-null and empty texts have the end alone.  Rows are scored one by one, so repeated rows
-and ids do not matter.  Without training rows every word is unknown and the states
-are uniform; an empty table gives an empty result.
+null and empty texts have the end alone; texts of any length are learned from and scored
+whole.  Rows are scored one by one, so repeated rows, ids and rows without an id do not
+matter.  How the rows are dealt over partitions changes the order of sums only.  Only
+doc_id and text (and what ``train_where`` reads) are used, so other columns may have any
+names.  Without training rows every word is unknown and the states are uniform; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,42 +41,14 @@ from .common import documents, map_batches, written
 STATES, OWN, BUCKETS, FREQUENT = 8, 4096, 256, 1 << 18
 CLASSES = OWN + BUCKETS + 1
 END = CLASSES - 1
-#: Rounds of Baum-Welch; tokens of the stretches that it runs over side by side.
-ROUNDS, STRETCH = 3, 64
+#: Rounds of Baum-Welch; tokens of the stretches that go side by side, and about so many tokens at a time.
+ROUNDS, STRETCH, TOGETHER = 3, 64, 1 << 18
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
     return ((h >> T.U(40)) % T.U(BUCKETS)).astype(np.int64)
 
 
-class Lookup:
-    """Positions of sorted 64-bit keys, by a directory of their top 20 bits."""
-
-    def __init__(self, keys: np.ndarray):
-        self.keys = keys
-        self.start = np.searchsorted(keys, np.arange(1 << 20, dtype=np.uint64) << T.U(44)).astype(np.int32)
-        self.most = int(np.diff(np.append(self.start, len(keys))).max(initial=0))
-
-    def of(self, h: np.ndarray) -> np.ndarray:
-        """-1 for what is no key."""
-        out = np.full(len(h), -1, np.int64)
-        if not len(self.keys) or not len(h):
-            return out
-        todo = np.arange(len(h))
-        at = self.start[(h >> T.U(44)).astype(np.int64)].astype(np.int64)
-        for _ in range(self.most):
-            inside = at < len(self.keys)
-            todo, at = todo[inside], at[inside]
-            key = self.keys[at]
-            here = key == h[todo]
-            out[todo[here]] = at[here]
-            more = key < h[todo]
-            todo, at = todo[more], at[more] + 1
-            if not len(todo):
-                break
-        return out
-
-
 @dataclass
 class Counts:
     """What the corpus's words count; tables by frequent word and by bucket."""
@@ -85,9 +61,9 @@ class Counts:
     ends: int
     bucket_total: np.ndarray  # count of a bucket's words + its distinct words + 1
 
-    def lookup(self) -> Lookup:
+    def lookup(self) -> T.Lookup:
         if not hasattr(self, "_lookup"):
-            self._lookup = Lookup(self.keys)
+            self._lookup = T.Lookup(self.keys)
         return self._lookup
 
     def __getstate__(self):
@@ -132,15 +108,22 @@ def gathered(counts: DataFrame, ends: int) -> Counts:
     """Totals, buckets and the frequent words; only these, whose number is bounded, come to the driver."""
     scale = F.floor(F.log2("c") * 16).cast("int")
     steps = {r["s"]: r["n"] for r in counts.groupBy(scale.alias("s")).agg(F.count("*").alias("n")).collect()}  # about a thousand rows at most
-    lowest, n = None, 0
-    for s in sorted(steps, reverse=True):
-        n += steps[s]
-        if n > FREQUENT:
-            break
-        lowest = s
-    rows = counts.where(scale >= lowest).select("h", "c").toArrow() if lowest is not None else None
-    h = rows.column("h").to_numpy().view(np.uint64) if rows is not None else np.zeros(0, np.uint64)
-    c = rows.column("c").to_numpy().astype(np.int64) if rows is not None else np.zeros(0, np.int64)
+    # whole steps as long as they fit, then of the next one as many hash ranges as still do: so the bound is always used
+    lowest, n = max(steps, default=0) + 1, 0
+    while n + steps.get(lowest - 1, 0) <= FREQUENT and lowest > min(steps, default=0):
+        lowest -= 1
+        n += steps.get(lowest, 0)
+    chosen, part = scale >= lowest, F.shiftrightunsigned("h", 64 - 12).cast("int")
+    if lowest > min(steps, default=0):
+        sizes = {r["p"]: r["n"] for r in counts.where(scale == lowest - 1).groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # 4,096 rows at most
+        low = 0
+        while low < 4096 and n + sizes.get(low, 0) <= FREQUENT:
+            n += sizes.get(low, 0)
+            low += 1
+        chosen = chosen | ((scale == lowest - 1) & (part < low))
+    rows = counts.where(chosen).select("h", "c").toArrow()
+    h = rows.column("h").to_numpy().view(np.uint64)
+    c = rows.column("c").to_numpy().astype(np.int64)
     by_count = np.lexsort((h, -c))[:OWN]
     own = np.full(len(h), -1, np.int64)
     own[by_count] = np.arange(len(by_count))
@@ -227,53 +210,90 @@ def first_model(unigram: np.ndarray, states: int = STATES, seed: int = 3) -> Mod
     return Model(np.full(states, 1 / states), move, emit / emit.sum(0), np.full(states, 1 / states))
 
 
-def expected(model: Model, tokens: np.ndarray, opening: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts of starts, transitions and emissions over a stream of rows, each closed by END.
+def _stretches(rows: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows, each closed by END, in stretches: tokens by place and stretch, and each stretch's number in its row."""
+    n = np.array([len(r) + 1 for r in rows], np.int64)
+    many = -(-n // size)
+    first = np.r_[0, np.cumsum(many)]
+    padded = np.full(int(first[-1]) * size, CLASSES, np.int64)
+    for k, r in enumerate(rows):
+        at = int(first[k]) * size
+        padded[at : at + len(r)] = r
+        padded[at + len(r)] = END
+    return padded.reshape(-1, size).T.copy(), np.arange(int(first[-1])) - np.repeat(first[:-1], many)
+
+
+def expected(model: Model, rows: list[np.ndarray], size: int = STRETCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected counts of starts, transitions and emissions over whole rows of classes, each closed by END.
 
-    The stream is cut into stretches that are gone through side by side; a stretch
-    that starts within a row, like the first one unless it is ``opening``, starts
-    from the states' usual shares.
+    A stretch's transfer matrix is the product of its steps' matrices (its first step
+    into the stretch included).  Along each row these carry the forward message to where
+    a stretch begins and the backward one to where it ends; in between, all stretches
+    are gone through side by side.
     """
     k = len(model.start)
-    n = -(-len(tokens) // STRETCH)
-    padded = np.full(n * STRETCH, CLASSES, np.int64)
-    padded[: len(tokens)] = tokens
-    obs = padded.reshape(n, STRETCH).T.copy()
-    opens = np.zeros(n * STRETCH, bool)
-    opens[0] = opening
-    opens[1:] = padded[:-1] == END
-    opens = opens.reshape(n, STRETCH).T.copy()
-    emit = np.vstack([model.emit, np.ones((1, k))]).astype(np.float32)  # the padding says nothing
-    move, start = model.move.astype(np.float32), model.start.astype(np.float32)
-    forward = np.empty((STRETCH, n, k), np.float32)
-    like = emit[obs]
-    ahead = np.broadcast_to(model.usual.astype(np.float32), (n, k))
-    for t in range(STRETCH):
-        if t:
-            ahead = forward[t - 1] @ move
-        a = np.where(opens[t][:, None], start, ahead) * like[t]
-        a /= a.sum(1, keepdims=True)
+    obs, number = _stretches(rows, size)
+    n = obs.shape[1]
+    emit = np.vstack([model.emit, np.ones((1, k))]).astype(np.float32)  # the padding behind a row says nothing
+    emit /= emit.max(1, keepdims=True)  # only the states' proportions matter
+    emit = emit.T.copy()
+    onto = model.move.T.astype(np.float32)  # messages are columns, a column a stretch
+    back_onto, start = onto.T.copy(), model.start.astype(np.float32)[:, None]
+    like = np.take(emit, obs, axis=1).transpose(1, 0, 2).copy()
+    opens = number == 0
+    last = np.r_[opens[1:], True] if n else opens
+
+    enters = np.zeros((k, n), np.float32)  # the message after the stretch before
+    leaves = np.ones((k, n), np.float32)  # the message before the stretch behind
+    long = np.flatnonzero(~(opens & last))  # stretches of rows that have several
+    if len(long):
+        # step[i, j]: from state i before the stretch to state j at its end; the first stretches' rows are all alike
+        step = np.where(opens[long], start[None], back_onto[:, :, None]) * like[0][:, long]
+        for t in range(1, size):
+            step = onto @ step
+            step *= like[t][:, long]
+            if t % 4 == 3 or t == size - 1:
+                step /= np.maximum(step.max((0, 1)), 1e-35)
+        step = step.transpose(2, 0, 1).copy()
+        place = np.full(n, -1, np.int64)
+        place[long] = np.arange(len(long))
+        by_number = np.argsort(number[long], kind="stable")
+        cuts = np.searchsorted(number[long][by_number], np.arange(int(number.max()) + 2))
+        groups = [long[by_number[cuts[j] : cuts[j + 1]]] for j in range(int(number.max()) + 1)]
+        for g in groups:
+            g = g[~last[g]]
+            ahead = np.where(opens[g], step[place[g], 0].T, (enters[:, g].T[:, None, :] @ step[place[g]])[:, 0].T)
+            enters[:, g + 1] = ahead / ahead.sum(0)
+        for g in reversed(groups):
+            g = g[~opens[g]]
+            back = (step[place[g]] @ leaves[:, g].T[:, :, None])[:, :, 0].T
+            leaves[:, g - 1] = back / back.max(0)
+        del step
+
+    forward = np.empty((size, k, n), np.float32)
+    for t in range(size):
+        a = onto @ (forward[t - 1] if t else enters)
+        a = (a if t else np.where(opens, start, a)) * like[t]
+        a /= a.sum(0)
         forward[t] = a
     moves, starts = np.zeros((k, k)), np.zeros(k)
-    post = np.empty_like(forward)
-    back = np.ones((n, k), np.float32)
-    real = obs < CLASSES
-    for t in range(STRETCH - 1, -1, -1):
+    real = (obs < CLASSES).astype(np.float32)
+    back = leaves
+    for t in range(size - 1, -1, -1):
+        before, weighed = forward[t - 1] if t else enters, like[t] * back
         g = forward[t] * back
-        g /= g.sum(1, keepdims=True)
-        post[t] = g * real[t][:, None]
-        starts += post[t][opens[t]].sum(0)
-        if t:
-            weighed = like[t] * back
-            inside = ~opens[t] & real[t]
-            joint_sum = ((forward[t - 1] @ move) * weighed).sum(1, keepdims=True)
-            scaled = weighed / np.maximum(joint_sum, 1e-30)
-            moves += move * (forward[t - 1][inside].T @ scaled[inside])
-            back = scaled @ move.T
-            back = np.where(opens[t][:, None], 1.0, back).astype(np.float32)
-            back /= back.max(1, keepdims=True)
-    flat, at = post.reshape(-1, k), obs.reshape(-1)
-    emits = np.column_stack([np.bincount(at, flat[:, s], CLASSES + 1)[:CLASSES] for s in range(k)])
+        g *= real[t] / g.sum(0)
+        forward[t] = g  # not needed any more: the posterior takes its place
+        if t == 0:
+            starts += forward[0][:, opens].sum(1, dtype=np.float64)
+        inside = real[t] if t else real[t] * ~opens
+        joint = weighed * (inside / np.maximum(((onto @ before) * weighed).sum(0), 1e-30))
+        moves += model.move * (before @ joint.T)
+        back = back_onto @ weighed
+        if t % 4 == 0:
+            back /= back.max(0)
+    at = obs.reshape(-1)
+    emits = np.column_stack([np.bincount(at, forward[:, s, :].reshape(-1), CLASSES + 1)[:CLASSES] for s in range(k)])
     return starts, moves, emits
 
 
@@ -320,15 +340,21 @@ def fit(tokens: DataFrame, unigram: np.ndarray, rounds: int = ROUNDS, states: in
         shipped = context.broadcast(model)  # some thousand classes times the states
 
         def run(batches, shipped=shipped):
-            m, sums = shipped.value, None
-            end = np.array([END], np.uint16).tobytes()
+            m, flat, held, n = shipped.value, None, [], 0
+
+            def added():  # whole rows, about TOGETHER tokens of them
+                part = np.concatenate([x.ravel() for x in expected(m, held)])
+                return part if flat is None else flat + part
+
             for b in batches:
-                stream = np.frombuffer(b"".join(x + end for x in b.column(0).to_pylist()), np.uint16).astype(np.int64)
-                for i in range(0, len(stream), 1 << 17):
-                    part = expected(m, stream[i : i + (1 << 17)], i == 0 or stream[i - 1] == END)
-                    sums = part if sums is None else tuple(x + y for x, y in zip(sums, part, strict=True))
-            if sums is not None:
-                flat = np.concatenate([x.ravel() for x in sums])
+                for x in b.column(0).to_pylist():
+                    held.append(np.frombuffer(x, np.uint16))
+                    n += len(held[-1]) + 1
+                    if n >= TOGETHER:
+                        flat, held, n = added(), [], 0
+            if held:
+                flat = added()
+            if flat is not None:
                 used = np.flatnonzero(flat)
                 yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(flat[used])], ["k", "x"])
 
