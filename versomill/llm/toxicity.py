@@ -1,18 +1,25 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
 A text is the bag of the character n-grams (as bytes, lower case, with a mark at
-word borders) of all its words.  Each n-gram's bucket has a small embedding; the
-text is their mean; a linear softmax over the two classes reads it.  Embeddings and
-softmax are trained together in numpy by Adam on a bounded sample of labelled rows.
-A misspelling that was never seen shares most n-grams with the word it is made from.
+word borders) of all its words.  Each n-gram's bucket has an embedding; the text is
+their mean; a linear softmax over the two classes reads it.  Embeddings and softmax are
+trained together in numpy on a bounded sample of labelled rows.  A misspelling that was
+never seen shares most n-grams with the word it is made from.
+
+Bags are made on the executors; the driver gets buckets and counts, never texts.  With
+two classes the softmax sees an embedding only along one direction, so a gradient is
+that direction times one number an n-gram: a step costs the same at any width.
 
 For scoring the softmax is folded into the embeddings: one weight a bucket, so a
 text's logit is a mean of weights over its n-grams, computed over the whole text.
 
 Null and empty texts have no n-grams; their score is the share of toxic rows among
-the labelled ones, as learned by the bias.  Rows are scored one by one, so repeated
-rows and ids do not matter.  Without labels of both kinds every score is that share
-(0 if nothing is labelled).
+the labelled ones, as learned by the bias.  Texts of any length are scored whole.  Rows
+are scored one by one, so repeated rows and ids do not matter; of labelled rows that
+share an id the smallest text is learned from.  Only doc_id and text are read, and
+``accepted`` keeps all other columns, whatever their names and types.  Without labels of
+both kinds every score is that share (0 if nothing is labelled).  An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -25,14 +32,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as T
-from .common import documents, map_batches, sampled_labels
+from .common import documents, map_batches, plain_names, sampled_labels, scratch, written
 
 #: Lengths of n-grams in bytes, marks included; log2 of the buckets; size of an embedding.
-GRAMS, BITS, DIM = (4, 5, 6, 7), 18, 2
+GRAMS, BITS, DIM = (4, 5, 6, 7), 18, 16
 #: Texts that an n-gram must be in, or it would only be learned by heart.
 LEAST = 8
-#: Labelled rows that the model is fitted on at most (a documented bound), and passes over them.
-SAMPLE, EPOCHS = 4000, 40
+#: Labelled rows that the model is fitted on at most, distinct n-grams of all of them together at most (documented
+#: bounds: 4 bytes and 2 more each on the driver), and passes over them.
+SAMPLE, ENTRIES, EPOCHS = 4000, 24_000_000, 40
 
 _rng = np.random.default_rng(99)
 _CHAR = _rng.integers(1, 2**31, 256, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -75,82 +83,36 @@ def gram_buckets(buf: np.ndarray):
             yield k, mixed >> np.uint32(32 - BITS), inside
 
 
-@dataclass
-class Bags:
-    """Texts as counts of their distinct words, and words as their n-grams' buckets."""
-
-    text: np.ndarray  # of each pair of a text and a word of it, sorted
-    word: np.ndarray
-    count: np.ndarray
-    owner: np.ndarray  # the word of each n-gram that counts, sorted
-    bucket: np.ndarray
-    grams: np.ndarray  # all n-grams of each text
-    n_texts: int
-    n_words: int
-
-
-def _grams_of(spelled: list[np.ndarray], block: int = 20_000):
-    """(word, bucket) of all n-grams of a list of words, by word, in blocks."""
-    space = np.full(1, 32, np.uint8)
-    for i in range(0, len(spelled), block):
-        part = spelled[i : i + block]
-        buf = np.concatenate([space, *(y for x in part for y in (x, space))])
-        at = np.r_[1, 1 + np.cumsum([len(x) + 1 for x in part])]
-        owners, buckets = [], []
+def text_bags(column: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """For each text its distinct buckets and how often each stands, and the number of all its n-grams."""
+    buckets, counts, total = [], [], np.zeros(len(column), np.int64)
+    for i, j, buf, offs in T.pieces(_border_buffer(column), 1 << 19):
+        parts: list[list[np.ndarray]] = [[] for _ in range(j - i)]
         for _, bucket, inside in gram_buckets(buf):
-            k = np.flatnonzero(inside)
-            owners.append((np.searchsorted(at, k + 1, "right") - 1 + i).astype(np.int32))
-            buckets.append(bucket[k].astype(np.int32))
-        owner, bucket = np.concatenate(owners), np.concatenate(buckets)
-        order = np.argsort(owner, kind="stable")
-        yield owner[order], bucket[order]
-
-
-def bags(column: pa.Array, least: int = LEAST) -> Bags:
-    """Bags of texts; n-grams of fewer than ``least`` texts, counted by words, are left out but count as the text's n-grams."""
-    index: dict[int, int] = {}
-    spelled: list[np.ndarray] = []
-    texts, words_, counts = [], [], []
-    for i, _, buf, offs in T.pieces(column):
-        starts, ends, bounds = T.words(buf, offs)
-        h = T.word_hashes(buf, starts, ends, lower=True)
-        owner = T.owners(bounds)
-        key, first, back = np.unique(h, return_index=True, return_inverse=True)
-        number = np.empty(len(key), np.int64)
-        for k, (x, f) in enumerate(zip(key.tolist(), first, strict=True)):
-            n = index.setdefault(x, len(index))
-            if n == len(spelled):
-                spelled.append(buf[starts[f] : ends[f]])
-            number[k] = n
-        pair, n = np.unique(owner * np.int64(1 << 40) + number[back], return_counts=True)
-        texts.append(pair // (1 << 40) + i)
-        words_.append(pair % (1 << 40))
-        counts.append(n)
-    cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    text, word, count = cat(texts), cat(words_), cat(counts)
-    # in two rounds over blocks of words, so that n-grams of fewer texts than count are never held
-    n_words = len(spelled)
-    of_word, seen = np.zeros(n_words, np.int64), np.zeros(1 << BITS, np.int64)
-    texts_of_word = np.bincount(word, minlength=n_words)
-    for own, bucket in _grams_of(spelled):
-        of_word += np.bincount(own, minlength=n_words)
-        seen += np.bincount(bucket, texts_of_word[own], 1 << BITS).astype(np.int64)
-    owners, buckets = [], []
-    for own, bucket in _grams_of(spelled):
-        use = seen[bucket] >= least
-        owners.append(own[use])
-        buckets.append(bucket[use])
-    del index, spelled
-    owner, bucket = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (owners, buckets))
-    del owners, buckets
-    grams = np.bincount(text, count * of_word[word] if len(word) else None, len(column))
-    return Bags(text.astype(np.int32), word.astype(np.int32), count, owner, bucket, grams, len(column), n_words)
+            at = np.flatnonzero(inside)
+            found = bucket[at].astype(np.int32)
+            cut = np.searchsorted(at, offs)
+            for d in range(j - i):
+                parts[d].append(found[cut[d] : cut[d + 1]])
+        for d in range(j - i):
+            b, n = np.unique(np.concatenate(parts[d]) if parts[d] else np.zeros(0, np.int32), return_counts=True)
+            buckets.append(b)
+            counts.append(n.astype(np.float32))
+            total[i + d] = n.sum()
+    return buckets, counts, total
 
 
 @dataclass
 class Model:
-    weight: np.ndarray
+    weight: np.ndarray  # the embeddings folded with the softmax: one number a bucket
     bias: float
+    buckets: np.ndarray | None = None  # those that have embeddings, and what was trained
+    embeddings: np.ndarray | None = None
+    softmax: np.ndarray | None = None
+
+    def folded(self) -> Model:
+        """What scoring needs."""
+        return Model(self.weight, self.bias)
 
     def score(self, column: pa.Array) -> np.ndarray:
         out = np.zeros(len(column))
@@ -170,110 +132,147 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out + self.bias, -60, 60)))
 
 
-def _sums(values: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
-    """Sums of rows of values over equal keys, which are sorted."""
-    out = np.zeros((n, values.shape[1]), np.float32)
-    if len(key):
-        heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        out[key[heads]] = np.add.reduceat(values, heads, axis=0)
-    return out
+class _Rows:
+    """A sparse matrix of texts by n-grams, gone through in blocks so that temporary arrays stay small."""
+
+    def __init__(self, column: np.ndarray, value: np.ndarray, ends: np.ndarray, width: int, block: int = 1 << 21):
+        self.column, self.value, self.width, self.n = column, value, width, len(ends)
+        starts = np.r_[0, ends[:-1]].astype(np.int64)
+        self.blocks, i = [], 0
+        while i < self.n:
+            j = max(i + 1, int(np.searchsorted(ends, starts[i] + block, "right")))
+            self.blocks.append((slice(i, j), slice(int(starts[i]), int(ends[j - 1])), np.diff(np.r_[starts[i:j], ends[j - 1]])))
+            i = j
+
+    def times(self, x: np.ndarray) -> np.ndarray:
+        """Each text's sum of values times x of its columns."""
+        out = np.zeros(self.n)
+        for rows, at, lengths in self.blocks:
+            out[rows] = np.bincount(np.repeat(np.arange(len(lengths)), lengths), x[self.column[at]] * self.value[at], len(lengths))
+        return out
+
+    def turned(self, y: np.ndarray) -> np.ndarray:
+        """Each column's sum of values times y of its texts."""
+        out = np.zeros(self.width)
+        for rows, at, lengths in self.blocks:
+            out += np.bincount(self.column[at], np.repeat(y[rows].astype(np.float32), lengths) * self.value[at], self.width)
+        return out
 
 
-def _descend(bag: Bags, entry: np.ndarray, used: np.ndarray, weight: np.ndarray, share_of: np.ndarray, y: np.ndarray, params: list[np.ndarray], epochs: int, rate: float, sparse: float) -> list[np.ndarray]:
+def _descend(rows: _Rows, weight: np.ndarray, y: np.ndarray, params: list[np.ndarray], epochs: int, rate: float, sparse: float) -> list[np.ndarray]:
     """Gradient descent with momentum on embeddings, softmax and bias, over all texts at once.
 
-    ``sparse`` is a penalty on the length of each embedding: one that explains less
-    than that is set to nought after each step.
+    Texts are means of embeddings, and both classes' errors are one another's negative;
+    so logits need the embeddings' share along the softmax's difference only, and the
+    embeddings' gradient lies along it.  ``sparse`` is a penalty on the length of each
+    embedding: one that explains less than that is set to nought after each step.
     """
-    place = np.full(1 << BITS, -1, np.int32)
-    place[used] = np.arange(len(used))
-    bucket, owner = (place[bag.bucket], bag.owner) if entry.all() else (place[bag.bucket[entry]], bag.owner[entry])
-    # only pairs of a text and a word that has one of these n-grams
-    has = np.zeros(bag.n_words, bool)
-    has[owner] = True
-    words = np.flatnonzero(has)
-    of = np.full(bag.n_words, -1, np.int32)
-    of[words] = np.arange(len(words))
-    pair = np.flatnonzero(of[bag.word] >= 0)
-    word, text, share_of, owner = of[bag.word[pair]], bag.text[pair], share_of[pair], of[owner]
-    by_bucket, by_word = np.argsort(bucket, kind="stable").astype(np.int32), np.argsort(word, kind="stable").astype(np.int32)
     speed = [np.zeros_like(x) for x in params]
     for _ in range(epochs):
         emb, out, bias = params
-        of_word = _sums((emb * weight)[bucket], owner, len(words))
-        mean = _sums(of_word[word] * share_of, text, bag.n_texts)
-        logit = mean @ out + bias
-        p = np.exp(logit - logit.max(1, keepdims=True))
-        p = (p / p.sum(1, keepdims=True) - y) / bag.n_texts
-        g_mean = p @ out.T
-        g_word = _sums((g_mean[text] * share_of)[by_word], word[by_word], len(words))
-        g_emb = _sums(g_word[owner[by_bucket]], bucket[by_bucket], len(used)) * weight
-        speed[0] = 0.8 * speed[0] - rate * g_emb
+        along = out[:, 1] - out[:, 0]
+        p = 1 / (1 + np.exp(-np.clip(rows.times((emb @ along) * weight) + bias[1] - bias[0], -60, 60)))
+        error = (p - y) / rows.n
+        pull = rows.turned(error) * weight  # one number an n-gram
+        mean = emb.T @ pull  # the texts' means, weighed by their errors
+        speed[0] = 0.8 * speed[0] - rate * np.outer(pull, along).astype(np.float32)
         emb = emb + speed[0]
         if sparse:
             length = np.sqrt((emb**2).sum(1, keepdims=True))
             emb = emb * np.maximum(0, 1 - rate * sparse / np.maximum(length, 1e-12))
-        for k, g in ((1, mean.T @ p + 1e-4 * out), (2, p.sum(0))):
-            speed[k] = 0.8 * speed[k] - 0.1 * g
-        params = [emb, out + speed[1], bias + speed[2]]
+        speed[1] = 0.8 * speed[1] - 0.1 * (np.column_stack([-mean, mean]) + 1e-4 * out)
+        speed[2] = 0.8 * speed[2] - 0.1 * np.array([-error.sum(), error.sum()])
+        params = [emb, (out + speed[1]).astype(np.float32), bias + speed[2]]
     return params
 
 
-def train(bag: Bags, label: np.ndarray, epochs: int = EPOCHS, rate: float = 60.0, sparse: float = 0.2, seed: int = 5) -> Model:
-    """Embeddings and softmax trained together.
+def train(buckets: list[np.ndarray], counts: list[np.ndarray], total: np.ndarray, label: np.ndarray, least: int = LEAST, epochs: int = EPOCHS, rate: float = 60.0, sparse: float = 0.2, dim: int = DIM, seed: int = 5) -> Model:
+    """Embeddings and softmax trained together on texts as bags.
 
     Each n-gram's share of a text is divided by its root mean square over the texts,
     so that rare and common ones count alike.  A first descent with a penalty on
     embeddings finds the n-grams that matter; a second one without it trains these.
     """
-    size = 1 << BITS
+    size, n = 1 << BITS, len(label)
     toxic = label > 0
-    share = float(toxic.mean()) if len(label) else 0.0
+    share = float(toxic.mean()) if n else 0.0
     prior = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
-    if not len(label) or toxic.all() or not toxic.any():
+    if not n or toxic.all() or not toxic.any():
         return Model(np.zeros(size, np.float32), prior)
-    rng = np.random.default_rng(seed)
-    share_of = (bag.count / np.maximum(bag.grams, 1)[bag.text]).astype(np.float32)[:, None]
-    squares = np.bincount(bag.word, share_of[:, 0] ** 2, bag.n_words)
-    rms = np.sqrt(np.bincount(bag.bucket, squares[bag.owner], size) / bag.n_texts)
-    used = np.flatnonzero(rms > 0)
+    texts_of = np.zeros(size, np.int64)
+    for b in buckets:
+        texts_of[b] += 1
+    place = np.where(texts_of >= least, np.cumsum(texts_of >= least) - 1, -1).astype(np.int32)
+    used = np.flatnonzero(place >= 0)
     if not len(used):
         return Model(np.zeros(size, np.float32), prior)
+    keep = [place[b] >= 0 for b in buckets]
+    ends = np.cumsum([int(k.sum()) for k in keep])
+    column = np.concatenate([place[b[k]] for b, k in zip(buckets, keep, strict=True)])
+    value = np.concatenate([c[k] / max(t, 1) for c, k, t in zip(counts, keep, total.tolist(), strict=True)]).astype(np.float32)
+    rms = np.sqrt(np.bincount(column, value.astype(np.float64) ** 2, len(used)) / n)
     unit = 1 / np.sqrt(len(used))
-    weight = (unit / rms[used]).astype(np.float32)[:, None]
-    y = np.column_stack([~toxic, toxic]).astype(np.float32)
-    params = [np.zeros((len(used), DIM), np.float32), (rng.standard_normal((DIM, 2)) * 0.7).astype(np.float32), np.array([-prior / 2, prior / 2], np.float32)]
-    keep = np.zeros(size, bool)
-    keep[used] = True
-    params = _descend(bag, keep[bag.bucket], used, weight, share_of, y, params, epochs, rate, sparse * unit)
+    weight = (unit / rms).astype(np.float32)
+    # directions at random, scaled so that the width does not change the steps along the difference
+    rng = np.random.default_rng(seed)
+    out = rng.standard_normal((dim, 2)).astype(np.float32)
+    out *= 1.0 / max(float(np.linalg.norm(out[:, 1] - out[:, 0])), 1e-9)
+    y = toxic.astype(np.float64)
+    params = [np.zeros((len(used), dim), np.float32), out, np.array([-prior / 2, prior / 2])]
+    params = _descend(_Rows(column, value, ends, len(used)), weight, y, params, epochs, rate, sparse * unit)
     active = (params[0] != 0).any(1)
-    if active.any():
-        used, weight = used[active], weight[active]
-        keep[:] = False
-        keep[used] = True
-        params = _descend(bag, keep[bag.bucket], used, weight, share_of, y, [params[0][active], *params[1:]], 20 * epochs, 4 * rate, 0.0)
-    else:
-        used, weight, params = used[:0], weight[:0], [params[0][:0], *params[1:]]
+    mine = active[column]
+    text_of = np.repeat(np.arange(n), np.diff(np.r_[0, ends]))[mine]
+    column, value = (np.cumsum(active) - 1).astype(np.int32)[column[mine]], value[mine]
+    used, weight, params[0] = used[active], weight[active], params[0][active]
+    if len(used):
+        ends = np.cumsum(np.bincount(text_of, minlength=n))
+        params = _descend(_Rows(column, value, ends, len(used)), weight, y, params, 20 * epochs, 4 * rate, 0.0)
     emb, out, bias = params
+    emb = emb * weight[:, None]
     folded = np.zeros(size, np.float32)
-    folded[used] = (emb @ (out[:, 1] - out[:, 0])) * weight[:, 0]
-    return Model(folded, float(bias[1] - bias[0]))
+    folded[used] = emb @ (out[:, 1] - out[:, 0])
+    return Model(folded, float(bias[1] - bias[0]), used, emb, out)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: Column | None = None) -> Model:
-    """The model from at most about ``sample`` labelled rows; ``keep`` says which ids may be learned from."""
+def labelled_bags(docs: DataFrame, labels: DataFrame, sample: int, keep: Column | None) -> DataFrame:
+    """doc_id, label, total, size, and buckets and counts as bytes, of one text for each id of the sample."""
     chosen = sampled_labels(labels, "toxic", sample, keep)
-    rows = documents(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").toArrow()  # the sample, by its bound
-    ids, label = rows.column("doc_id").to_pylist(), rows.column("label").to_pylist()
-    texts = rows.column("text").to_pylist()
-    order = sorted(range(len(ids)), key=lambda k: (ids[k], texts[k] or ""))  # the rows' order must not matter
-    return train(bags(pa.array([texts[k] for k in order], pa.large_string())), np.array([label[k] for k in order], np.int64))
+    rows = documents(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+    def run(batches):
+        for b in batches:
+            buckets, counts, total = text_bags(b.column(2))
+            made = [pa.array(total), pa.array([len(x) for x in buckets], pa.int64()), pa.array([x.tobytes() for x in buckets], pa.binary()), pa.array([np.minimum(x, 65535).astype(np.uint16).tobytes() for x in counts], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["doc_id", "label", "total", "size", "buckets", "counts"])
+
+    return map_batches(rows, run, "doc_id long, label int, total long, size long, buckets binary, counts binary")
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: Column | None = None, entries: int = ENTRIES) -> Model:
+    """The model from at most about ``sample`` labelled rows with ``entries`` distinct n-grams together; ``keep`` says which ids may be learned from."""
+    with scratch(docs.sparkSession):
+        bags = written(labelled_bags(docs, labels, sample, keep), "bags")
+        sizes = sorted((r["h"], r["doc_id"], r["size"]) for r in bags.select(F.xxhash64("doc_id").alias("h"), "doc_id", "size").collect())  # as many rows as the sample
+        at = np.cumsum([x for _, _, x in sizes])
+        if len(at) and at[-1] > entries:  # in the order of a hash, as many as the bound allows
+            h, last, _ = sizes[max(int(np.searchsorted(at, entries, "right")) - 1, 0)]
+            bags = bags.where((F.xxhash64("doc_id") < h) | ((F.xxhash64("doc_id") == h) & (F.col("doc_id") <= last)))
+        ids, label, total, buckets, counts = [], [], [], [], []
+        for b in bags.select("doc_id", "label", "total", "buckets", "counts").toArrow().to_batches():
+            ids += b.column(0).to_pylist()
+            label += b.column(1).to_pylist()
+            total += b.column(2).to_pylist()
+            buckets += [np.frombuffer(x.as_buffer(), np.int32) for x in b.column(3)]
+            counts += [np.frombuffer(x.as_buffer(), np.uint16) for x in b.column(4)]
+    order = sorted(range(len(ids)), key=ids.__getitem__)  # the rows' order must not matter
+    return train([buckets[k] for k in order], [counts[k] for k in order], np.array([total[k] for k in order], np.int64), np.array([label[k] for k in order], np.int64))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """doc_id, score and predicted of every row."""
     docs = documents(docs)
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # a megabyte
+    shipped = docs.sparkSession.sparkContext.broadcast(model.folded())  # a megabyte
 
     def run(batches):
         m = shipped.value
@@ -286,11 +285,12 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """The rows of docs, with all their columns, that score below the threshold."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = docs.sparkSession.sparkContext.broadcast(model.folded())
+    rows, _, text = plain_names(docs)
+    at = rows.columns.index(text)
 
     def run(batches):
         for b in batches:
-            text = b.column(b.schema.get_field_index("text"))
-            yield b.filter(pa.array(shipped.value.score(text.cast(pa.string())) < threshold))
+            yield b.filter(pa.array(shipped.value.score(b.column(at).cast(pa.string())) < threshold))
 
-    return map_batches(docs, run, docs.schema)
+    return map_batches(rows, run, rows.schema).toDF(*docs.columns)
