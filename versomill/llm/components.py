@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, new_folder, written
+from .common import dropped, falls_to_scratch, new_folder, written
 
 
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
@@ -14,10 +14,12 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     ``edges`` has columns a and b.  In each round a vertex takes the smallest label
     among its own and its neighbours', then the label of that label's vertex; rounds
     end when nothing changes.  Every table that is joined is one that was written, so
-    that a hub's rows can be split over tasks; nothing but a count reaches the driver.
+    that a hub's rows can be split over tasks; nothing but a sum reaches the driver.
+    Edges may come twice, either way round, or lead to themselves; those without an end
+    are left out, and without edges the result is empty.
     """
     spark = edges.sparkSession
-    both = edges.select("a", "b").where(F.col("a") != F.col("b"))
+    both = edges.select("a", "b").where("a <> b")
     both = written(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{tag}-edges")
     at = new_folder(spark, f"{tag}-0")
     labels = written(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.min("a")).alias("label")), tag, at)
@@ -34,4 +36,5 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
         dropped(near_at, spark)
         labels, at = jumped, next_at
         if sums[0] == sums[1]:  # labels only ever get smaller
+            falls_to_scratch(at)
             return labels

@@ -6,7 +6,8 @@ function i, on an exponential scale: floor(1 - log_b(min)), truncated to 16 bits
 Registers of a union are the larger ones of the parts, and two sets' registers agree
 the more often the more alike they are, so runs of registers serve as bands.
 
-1. Documents with equal sets become one vertex, by two signatures of the whole set.
+1. Documents with equal word sequences become one vertex, by a BLAKE2b digest of all
+   their words; equal sets of unequal sequences are linked as all others are.
 2. Vertices that share a band meet in a bucket.  Each bucket's vertices are paired
    with its centre, the one with most copies; pairs are kept unless the likelihood
    of their registers speaks against the threshold, and verified on the full sets.
@@ -20,19 +21,23 @@ A pair at the threshold shares no band of 5 among 160 registers with a probabili
 1e-8 at similarity 0.85 and 3e-6 at 0.8.
 
 Null and empty texts have empty sets and are linked with nothing, nor are rows without
-an id.  Rows that share an id are linked by their texts like any others.  An empty
-table gives an empty result.
+an id.  Rows that share an id, and repeated rows, are linked by their texts like any
+others; ties between ids cannot be, the smallest one names a class.  Texts of any length
+have their whole set.  Only doc_id and text are read; ``deduplicated`` keeps all other
+columns whatever their names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as T
-from .common import documents, map_batches, written
+from .common import documents, map_batches, plain_names, scratch, text_keys, written
 from .components import components
 
 REGISTERS, BAND = 160, 5
@@ -90,39 +95,35 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def signatures(s: np.ndarray) -> tuple[int, int]:
-    """Two order-free hashes of a set."""
-    with np.errstate(over="ignore"):
-        return int(T.mix(s + T.U(1)).sum().astype(np.int64)), int(np.bitwise_xor.reduce(T.mix(s * T.U(3) + T.U(7)), initial=np.uint64(len(s))).astype(np.int64))
-
-
-def _vertex() -> Column:
-    return F.xxhash64("s1", "s2", "n")
+def digests(column: pa.Array) -> list[bytes]:
+    """A 128-bit digest of each text's sequence of words, A-Z in lower case."""
+    lower = T.LOWER.tobytes()
+    return [hashlib.blake2b(b" ".join((x.as_py() or b"").translate(lower).split()), digest_size=16).digest() for x in column.cast(pa.large_string()).cast(pa.large_binary())]
 
 
 def _sketched(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, n (shingles), the digest of the words, registers and, if there are any, the text's keys of each row."""
+
     def run(batches):
         for b in batches:
             sets = list(shingle_sets(b.column(1), k))
             regs = sketches(sets)
-            sig = [signatures(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in sig], pa.int64()), pa.array([y for _, y in sig], pa.int64()), pa.array([r.tobytes() for r in regs], pa.binary()), *b.columns[2:]],
-                ["doc_id", "n", "s1", "s2", "regs", *b.schema.names[2:]],
+                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests(b.column(1)), pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary()), *b.columns[2:]],
+                ["doc_id", "n", "digest", "regs", *b.schema.names[2:]],
             )
 
-    more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[2:])
-    return map_batches(docs, run, f"doc_id long, n long, s1 long, s2 long, regs binary{more}").withColumn("v", _vertex())
+    more = "".join(f", {c} long" for c in docs.columns[2:])
+    return map_batches(docs, run, f"doc_id long, n long, digest binary, regs binary{more}")
 
 
 def _full_sets(docs: DataFrame, k: int) -> DataFrame:
     def run(batches):
         for b in batches:
             sets = list(shingle_sets(b.column(1), k))
-            sig = [signatures(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in sig], pa.int64()), pa.array([y for _, y in sig], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["n", "s1", "s2", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(digests(b.column(1)), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "hashes"])
 
-    return map_batches(docs, run, "n long, s1 long, s2 long, hashes binary").select(_vertex().alias("v"), "hashes")
+    return map_batches(docs, run, "digest binary, hashes binary")
 
 
 def likely(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, least: float) -> np.ndarray:
@@ -171,11 +172,11 @@ def _filtered(pairs: DataFrame, vertices: DataFrame, least: float) -> DataFrame:
 
 def _sets_of(wanted: DataFrame, docs: DataFrame, vertices: DataFrame, k: int) -> DataFrame:
     """v and hashes, the full set, of the wanted vertices, made again from the texts."""
-    needed = written(vertices.select("v", "rep").join(wanted.select("v").distinct(), "v"), "needed")
+    needed = written(vertices.select("v", "rep", "digest").join(wanted.select("v").distinct(), "v"), "needed")
     ids = needed.select(F.col("rep").alias("doc_id")).distinct()
     if ids.count() <= MOST_IDS:
         ids = F.broadcast(ids)
-    return written(_full_sets(docs.join(ids, "doc_id"), k).join(needed.select("v"), "v").dropDuplicates(["v"]), "sets")
+    return written(_full_sets(docs.join(ids, "doc_id"), k).join(needed.select("v", "digest"), "digest").select("v", "hashes").dropDuplicates(["v"]), "sets")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -285,51 +286,50 @@ def _open_pairs(bands: DataFrame, labels: DataFrame, vertices: DataFrame, docs:
     return rows, passed.distinct(), sets
 
 
-def _text_key() -> Column:
-    """Tells apart rows that share an id."""
-    return F.xxhash64(F.col("text").cast("string"))
-
-
 def classes(docs: DataFrame, k: int = 5, percent: int = 80, with_key: bool = False) -> DataFrame:
-    """For every row of docs: doc_id, n_shingles and component_id, the smallest id of its class; text_key too if wanted."""
+    """For every row of docs: doc_id, n_shingles and component_id, the smallest id of its class; k1 and k2, the keys of its text, too if wanted."""
     docs = documents(docs)
-    base = written(_sketched(docs.withColumn("text_key", _text_key()) if with_key else docs, k), "sketches")
-    # one vertex for each set; the copies' rows are merged before they are shuffled
-    some = base.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    found = some.groupBy("v", "n").agg(F.min(F.struct("doc_id", "regs")).alias("least"), F.count("*").alias("copies"))
-    vertices = written(found.select("v", "n", "copies", F.col("least.doc_id").alias("rep"), F.col("least.regs").alias("regs")), "vertices")
-
-    width = 2 * BAND
-    keys = [F.xxhash64(F.substring(F.col("regs"), width * i + 1, width), F.lit(i)) for i in range(REGISTERS // BAND)]
-    bands = vertices.select("v", "n", "copies", F.posexplode(F.array(*keys)).alias("band", "key"))
-    centre = bands.groupBy("key").agg(F.min(F.struct((-F.col("copies")).alias("few"), F.col("v").alias("centre"), F.col("n").alias("n0"))).alias("first"), F.count("*").alias("m"))
-    centre = written(centre.where("m > 1").select("key", "first.centre", "first.n0"), "centres")
-    # only buckets with several members matter from here on
-    bands = written(bands.select("band", "key", "v", "n").join(centre, "key"), "bands")
-    alike = 100 * F.least("n", "n0") >= percent * F.greatest("n", "n0")
-    stars = bands.where((F.col("v") != F.col("centre")) & alike).select(F.least("v", "centre").alias("a"), F.greatest("v", "centre").alias("b")).distinct()
-    least = percent / 100
-    candidates = written(_filtered(written(stars, "stars"), vertices, least), "candidates")
-    links = written(_verified(candidates, _sets_of(_ends(candidates), docs, vertices, k), percent), "links")
-    labels = components(links)
-
-    rows, passed, sets = _open_pairs(bands.select("band", "key", "v", "n"), labels, vertices, docs, k, percent)
-    further = written(_filtered(written(rows, "rows"), vertices, least).unionByName(passed).distinct(), "further")
-    if not further.isEmpty():
-        more = written(_verified(further, sets, percent), "more-links")
-        if not more.isEmpty():
-            labels = components(links.unionByName(more))
-
-    named = labels.join(vertices.select("v", "rep"), "v")
-    smallest = written(named.groupBy("label").agg(F.min("rep").alias("component_id")), "smallest")
-    linked = labels.join(smallest, "label").select("v", "component_id")
-    alone = vertices.where("copies > 1").join(labels, "v", "left_anti").select("v", F.col("rep").alias("component_id"))
-    grouped = written(linked.unionByName(alone), "classes")
-    # rows without words or id stay alone: they look for no class
-    key = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("v"))
-    own = ["text_key"] if with_key else []
-    out = base.select("doc_id", "n", key.alias("key"), *own).join(grouped, F.col("key") == grouped["v"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *own)
+    with scratch(docs.sparkSession):
+        k1, k2 = text_keys(F.col("text"))
+        base = written(_sketched(docs.select("doc_id", "text", k1.alias("k1"), k2.alias("k2")) if with_key else docs, k), "sketches", outlive=True)
+        # one vertex for each sequence of words; the copies' rows are merged before they are shuffled
+        some = base.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
+        found = some.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "regs")).alias("least"), F.count("*").alias("copies"))
+        found = found.select(F.monotonically_increasing_id().alias("v"), "digest", "copies", "least.n", F.col("least.doc_id").alias("rep"), "least.regs")
+        vertices = written(found, "vertices")  # v is a plain number, fixed by being written
+
+        width = 2 * BAND
+        keys = [F.xxhash64(F.substring(F.col("regs"), width * i + 1, width), F.lit(i)) for i in range(REGISTERS // BAND)]
+        bands = vertices.select("v", "n", "copies", F.posexplode(F.array(*keys)).alias("band", "key"))
+        centre = bands.groupBy("key").agg(F.min(F.struct((-F.col("copies")).alias("few"), F.col("v").alias("centre"), F.col("n").alias("n0"))).alias("first"), F.count("*").alias("m"))
+        centre = written(centre.where("m > 1").select("key", "first.centre", "first.n0"), "centres")
+        # only buckets with several members matter from here on
+        bands = written(bands.select("band", "key", "v", "n").join(centre, "key"), "bands")
+        alike = 100 * F.least("n", "n0") >= percent * F.greatest("n", "n0")
+        stars = bands.where((F.col("v") != F.col("centre")) & alike).select(F.least("v", "centre").alias("a"), F.greatest("v", "centre").alias("b")).distinct()
+        least = percent / 100
+        candidates = written(_filtered(written(stars, "stars"), vertices, least), "candidates")
+        links = written(_verified(candidates, _sets_of(_ends(candidates), docs, vertices, k), percent), "links")
+        labels = components(links)
+
+        if not bands.isEmpty():
+            rows, passed, sets = _open_pairs(bands.select("band", "key", "v", "n"), labels, vertices, docs, k, percent)
+            further = written(_filtered(written(rows, "rows"), vertices, least).unionByName(passed).distinct(), "further")
+            if not further.isEmpty():
+                more = written(_verified(further, sets, percent), "more-links")
+                if not more.isEmpty():
+                    labels = components(links.unionByName(more))
+
+        named = labels.join(vertices.select("v", "rep"), "v")
+        smallest = written(named.groupBy("label").agg(F.min("rep").alias("component_id")), "smallest")
+        linked = labels.join(smallest, "label").select("v", "component_id")
+        alone = vertices.where("copies > 1").join(labels, "v", "left_anti").select("v", F.col("rep").alias("component_id"))
+        grouped = written(linked.unionByName(alone).join(vertices.select("v", "digest"), "v").select(F.col("digest").alias("of"), "component_id"), "classes", outlive=True)
+        # rows without words or id stay alone: they look for no class
+        digest = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("digest"))
+        own = ["k1", "k2"] if with_key else []
+        out = base.select("doc_id", "n", digest.alias("digest"), *own).join(grouped, F.col("digest") == F.col("of"), "left")
+        return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *own)
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -339,14 +339,18 @@ def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Of rows that are equal in id and text one stays; rows of a class that share its
     smallest id but not the text all stay.
     """
-    found = classes(docs, k, percent, with_key=True).where("doc_id <> component_id")
-    gone = written(found.select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__key")).distinct(), "gone")
-    few = gone.count() <= MOST_IDS
-    rows = docs.join(F.broadcast(gone) if few else gone, (F.col("doc_id") == F.col("__gone")) & (_text_key() == F.col("__key")), "left_anti")
-    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias("__again"))
-    again = written(again, "again")
-    if again.isEmpty():
-        return rows
-    same = F.col("doc_id") == F.col("__again")
-    once = rows.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return rows.join(again, same, "left_anti").unionByName(once)
+    with scratch(docs.sparkSession):
+        found = classes(docs, k, percent, with_key=True).where("doc_id <> component_id")
+        gone = written(found.select(F.col("doc_id").alias("id"), "k1", "k2").distinct(), "gone", outlive=True)
+        rows, doc_id, text = plain_names(docs)
+        few = gone.count() <= MOST_IDS
+        k1, k2 = text_keys(F.col(text).cast("string"))
+        same = (F.col(doc_id).cast("long") == F.col("id")) & (k1 == F.col("k1")) & (k2 == F.col("k2"))
+        kept = rows.join(F.broadcast(gone) if few else gone, same, "left_anti")
+        again = rows.groupBy(F.col(doc_id).alias("id")).agg(F.count("*").alias("n")).where("n > 1 and id is not null").select("id")
+        again = written(again, "again", outlive=True)
+        if not again.isEmpty():
+            same = F.col(doc_id) == F.col("id")
+            once = kept.join(again, same, "left_semi").dropDuplicates([doc_id, text])
+            kept = kept.join(again, same, "left_anti").unionByName(once)
+        return kept.toDF(*docs.columns)
