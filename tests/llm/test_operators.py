@@ -91,6 +91,36 @@ def by_id(df):
     return {r["doc_id"]: r for r in df.collect()}
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(k).count("1") % 2 else a for k in range(n))
+
+
+def test_hashes_have_no_pattern():
+    """Words that polynomials modulo powers of two cannot tell apart."""
+    x, y = thue_morse(4096), thue_morse(4096, "b", "a")
+    h = textnum.word_hashes(*textnum.buffers(pa.array([f"{x} {y}"]))[:1], *textnum.words(*textnum.buffers(pa.array([f"{x} {y}"])))[:2], lower=True)
+    assert len(set(h.tolist())) == 2
+    assert quality.rule_stats(pa.array([f"{x}\n{y}\n{x}"]))[0, 3] == 1
+    r = random.Random(2)
+    seen = {"".join(r.choice("ab") for _ in range(r.randint(1, 90))) for _ in range(20_000)}
+    buf, offs = textnum.buffers(pa.array([" ".join(seen)]))
+    starts, ends, _ = textnum.words(buf, offs)
+    ranges = textnum.Ranges(buf, False)
+    assert len(set(ranges.of(starts, ends).tolist())) == len(set(ranges.of(starts, ends, seed=1).tolist())) == len(seen)
+    order = np.array(r.sample(range(len(starts)), len(starts)))
+    assert not ranges.same_bytes(starts, ends, starts[order], ends[order])[order != np.arange(len(order))].any()
+    assert ranges.same_bytes(starts, ends, starts, ends).all()
+
+
+def test_equal_hashes_of_unequal_bytes_are_told_apart(texts, monkeypatch):
+    """Even with a hash of three values the counts of op10 are right."""
+    want = quality.rule_stats(pa.array(texts[:40], pa.string()))
+    real = textnum.Ranges.of
+    monkeypatch.setattr(textnum.Ranges, "of", lambda self, s, e, seed=0: real(self, s, e, seed) % np.uint64(3))
+    monkeypatch.setattr(textnum, "mix", lambda h: h)
+    assert (quality.rule_stats(pa.array(texts[:40], pa.string())) == want).all()
+
+
 def test_word_hashes_tell_words_apart():
     words_ = ["a", "b", "ab", "ba", "aa", "aab", "aba", "baa", "", "é", "É", "A"]
     h = textnum.word_hashes(np.frombuffer(" ".join(words_).encode(), np.uint8), *textnum.words(*textnum.buffers(pa.array([" ".join(words_)])))[:2], lower=True)
@@ -371,7 +401,7 @@ def plain_cut(texts, min_words):
         for n, m in enumerate(found):
             current.append(m)
             if re.search(r"[.!?][\"')\]}]?$", m.group()) or n == len(found) - 1 or "\n" in x[m.end() : found[n + 1].start()]:
-                sents.append(current)
+                sents += [current[a : a + 20] for a in range(0, len(current), 20)]
                 current = []
         split[i] = sents
         spans = set()
@@ -400,10 +430,10 @@ def plain_cut(texts, min_words):
 
 
 def test_substring_dedup(docs, texts, empty, tied):
-    got = by_id(substring.dedup(docs, 25))
-    assert [(got[k]["text"], got[k]["__n_sentences"], got[k]["__n_removed"]) for k in range(len(texts))] == plain_cut(texts, 25)
+    got = by_id(substring.dedup(docs, 25).select("doc.*", F.col("n_sentences").alias("total"), F.col("n_removed").alias("removed")))
+    assert [(got[k]["text"], got[k]["total"], got[k]["removed"]) for k in range(len(texts))] == plain_cut(texts, 25)
     assert substring.dedup(empty).count() == 0
-    rows = substring.dedup(tied).collect()
+    rows = substring.dedup(tied).select("doc.*").collect()
     assert len(rows) == 8
     # rows equal in id and text are one document: both stay whole, as the first ones, or both are cut
     assert len({r["text"] for r in rows if r["doc_id"] == 2}) == 1
@@ -413,7 +443,7 @@ def test_substring_dedup_without_broadcast(docs, texts, spark):
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        got = by_id(substring.dedup(docs, 25))
+        got = by_id(substring.dedup(docs, 25).select("doc.*"))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert [got[k]["text"] for k in range(len(texts))] == [x for x, _, _ in plain_cut(texts, 25)]
@@ -455,13 +485,9 @@ def test_forward_recursion_and_expected_counts():
         for t, k in enumerate([*x.tolist(), hmm.END]):
             p = (p @ model.move if t else p) * model.emit[k]
         assert math.isclose(y, math.log10(p.sum()), rel_tol=1e-9)
-    stream = np.concatenate([np.r_[x.astype(int), hmm.END] for x in rows])
-    starts, moves, emits = hmm.expected(model, stream)
-    assert np.isclose(emits.sum(), len(stream), rtol=1e-4)
-    assert np.isclose(starts.sum(), len(rows), rtol=1e-4)
-    # one short row within a single stretch: against sums over all paths
+    # one short row: against sums over all paths
     x = [4, 9, hmm.END]
-    starts, moves, emits = hmm.expected(model, np.array(x))
+    starts, moves, emits = hmm.expected(model, [np.array(x[:-1])])
     import itertools
 
     total, want = 0.0, np.zeros((3, 3))
@@ -475,6 +501,61 @@ def test_forward_recursion_and_expected_counts():
     assert np.allclose(moves, want / total, rtol=1e-3)
 
 
+def plain_expected(m, rows):
+    """The forward-backward recursion over each whole row, one token at a time."""
+    k = len(m.start)
+    starts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((hmm.CLASSES, k))
+    for x in rows:
+        o, f = [*x.tolist(), hmm.END], []
+        back = [np.ones(k)] * len(o)
+        for t, c in enumerate(o):
+            p = (f[-1] @ m.move if t else m.start) * m.emit[c]
+            f.append(p / p.sum())
+        for t in range(len(o) - 2, -1, -1):
+            q = m.move @ (m.emit[o[t + 1]] * back[t + 1])
+            back[t] = q / q.sum()
+        for t, c in enumerate(o):
+            g = f[t] * back[t]
+            emits[c] += g / g.sum()
+            if t:
+                j = f[t - 1][:, None] * m.move * (m.emit[c] * back[t])[None]
+                moves += j / j.sum()
+            else:
+                starts += g / g.sum()
+    return starts, moves, emits
+
+
+def test_expected_counts_over_whole_rows():
+    """Rows of one stretch, of several, and of just as many tokens as stretches hold."""
+    r = np.random.default_rng(2)
+    model = hmm.first_model(r.random(hmm.CLASSES) + 0.01, 3)
+    model.move = r.dirichlet([1, 1, 1], 3)
+    rows = [r.integers(0, hmm.CLASSES - 1, n).astype(np.uint16) for n in (0, 1, 5, 62, 63, 64, 127, 128, 700)]
+    for got, want in zip(hmm.expected(model, rows), plain_expected(model, rows)):
+        assert np.allclose(got, want, rtol=1e-3, atol=1e-4)
+
+
+def test_lm_scores_do_not_depend_on_partitions(spark, docs):
+    where = crc_mod("doc_id", 7) != 2
+    one, many = by_id(hmm.score(docs.coalesce(1), where)), by_id(hmm.score(docs.repartition(5), where))
+    assert all(math.isclose(one[k]["score"], many[k]["score"], abs_tol=1e-3, rel_tol=1e-5) for k in one)
+
+
+def test_lm_beats_the_base_on_held_out_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    s = hmm.score(docs, crc_mod("doc_id", 7) != 2).where("not train").agg(F.sum("score"), F.sum("base_score")).collect()[0]
+    assert s[0] > s[1]
+
+
+def test_lm_frequent_words_fill_their_bound(docs, monkeypatch):
+    """All words alike rare: as many as the bound allows still have classes of their own."""
+    docs = docs.select(F.explode(F.sequence(F.lit(0), F.lit(400))).alias("doc_id")).distinct().withColumn("text", F.concat(F.lit("w"), "doc_id"))
+    monkeypatch.setattr(hmm, "FREQUENT", 200)
+    counts = hmm.word_counts(docs.withColumn("train", F.lit(True)), "train")
+    found = hmm.gathered(counts, 401)
+    assert 150 < len(found.keys) <= 200 and (found.own >= 0).all()
+
+
 def plain_rules(text):
     text = text or ""
     w, seen, dup = spaced(text), set(), 0
@@ -512,6 +593,37 @@ def test_forest_isolates_what_is_far():
     assert (s[500:] > limit).mean() > 0.95 and (s[:500] > limit).mean() < 0.02
 
 
+def test_toxicity_equals_its_plain_form(spark):
+    """Scores are the softmax over the mean of the n-grams' embeddings, long texts included."""
+    r = random.Random(4)
+    rows = [(k, " ".join(sentence(r, 30).lower() for _ in range(3)) + (" dreadful" * (1 + k % 4) if k % 3 == 0 else ""), int(k % 3 == 0)) for k in range(90)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(table, table)
+    assert model.embeddings.shape[1] == toxicity.DIM == 16 and len(model.buckets)
+    of = {int(b): e.astype(float) for b, e in zip(model.buckets, model.embeddings)}
+
+    def plain(text):
+        bag = np.frombuffer(f" {text or ''} ".encode(), np.uint8)
+        mean, n = np.zeros(toxicity.DIM), 0
+        for _, bucket, inside in toxicity.gram_buckets(bag):
+            for b in bucket[inside].tolist():
+                mean, n = mean + of.get(b, 0), n + 1
+        logit = mean / max(n, 1) @ (model.softmax[:, 1] - model.softmax[:, 0]).astype(float) + model.bias
+        return 1 / (1 + math.exp(-logit))
+
+    tests = [t for _, t, _ in rows[:12]] + [None, "", " \n", "a", "Dreadful, DREADFULLY", "dreadful " * 20_000]
+    got = by_id(toxicity.score(spark.createDataFrame(list(enumerate(tests)), "doc_id long, text string"), model))
+    for k, t in enumerate(tests):
+        assert math.isclose(got[k]["score"], plain(t), rel_tol=1e-4, abs_tol=1e-6), t
+
+
+def test_toxicity_bounds(spark):
+    """Many rows of one id count once, and the bound on entries leaves out whole rows."""
+    table = spark.createDataFrame([(k % 20, f"word{k} dreadful" if k % 2 else f"word{k}", k % 2) for k in range(200)], "doc_id long, text string, toxic int")
+    assert toxicity.labelled_bags(table, table, 4000, None).count() == 20
+    assert isinstance(toxicity.fit(table, table, entries=100), toxicity.Model)
+
+
 def test_toxicity_shares_subwords(spark, empty, tied):
     """Misspellings that no training row has are caught by what they share with those that one has."""
     r = random.Random(9)

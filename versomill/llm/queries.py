@@ -57,7 +57,7 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "text", F.col("__n_sentences").alias("n_sentences"), F.col("__n_removed").alias("n_removed"))
+    return found.select("doc.doc_id", "doc.text", "n_sentences", "n_removed")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,8 +86,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
 
 
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3 that do not depend on the method's own labels."""
+    return op3_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9 that the model does not enter; the score to four places."""
+    found = op9_lm_scoring(spark, sf_dir)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10 that the forest does not enter."""
+    return op10_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_bpe_round_trip, op3_license_scan, op4_token_files, op5_near_duplicates, op6_substring_dedup, op7_decontamination, op8_token_counts, op9_lm_scoring, op10_quality_rules)}
+    dealt = (op1_toxicity, op2_bpe_round_trip, op3_license_scan, op4_token_files, op5_near_duplicates, op6_substring_dedup, op7_decontamination, op8_token_counts, op9_lm_scoring, op10_quality_rules)
+    return {f.__name__: f for f in (*dealt, license_base, lm_base, quality_base)}
 
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -111,5 +128,100 @@ from d left join c using (r) left join t using (r)
 """
 
 
+_WS = r"[\x20\x09-\x0D]"
+_WORD = r"[^\x20\x09-\x0D]"
+#: The order of documents with equal ids is not SQL's to know; ids are unique in the tables.
+_NEAR_DUPLICATES = f"""
+with recursive d as materialized (select doc_id, regexp_extract_all({_ASCII_LOWER}, '{_WORD}+') as w from documents),
+s as materialized (select distinct doc_id, case when len(w) >= 3 then array_to_string(w[i : i + 2], ' ') else array_to_string(w, ' ') end as g
+                   from (select doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) as i from d where len(w) > 0)),
+n as materialized (select doc_id, count(*) as n from s group by doc_id),
+met as (select a.doc_id as x, b.doc_id as y, count(*) as m from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+link as materialized (select x, y from met join n p on p.doc_id = x join n q on q.doc_id = y where 100 * m >= 85 * (p.n + q.n - m)),
+edge as materialized (select x, y from link union select y, x from link),
+reach(x, y) as (select x, y from edge union select r.x, e.y from reach r join edge e on r.y = e.x),
+least as (select x, least(x, min(y)) as c from reach group by x)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(c, d.doc_id) as component_id, coalesce(c, d.doc_id) = d.doc_id as kept
+from d left join n using (doc_id) left join least on least.x = d.doc_id
+"""
+
+_SUBSTRING = f"""
+with t as materialized (select doc_id, text, regexp_extract_all(text, '{_WORD}+{_WS}*') as p from documents),
+w as materialized (select doc_id, i, p[i] as piece, rtrim(p[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as word, i = len(p) as final
+                   from (select doc_id, p, unnest(range(1, len(p) + 1)) as i from t)),
+e as (select *, final or contains(substr(piece, length(word) + 1), chr(10)) or regexp_matches(word, '[.!?]$|[.!?]["'')\\]}}]$') as stop from w),
+f as (select *, coalesce(sum(stop::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as natural_no from e),
+g as (select *, stop or row_number() over (partition by doc_id, natural_no order by i) % 20 = 0 as ends from f),
+h as materialized (select *, coalesce(sum(ends::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as s from g),
+u as materialized (select doc_id, s, min(i) as a, max(i) as z, string_agg(translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' order by i) as words from h group by doc_id, s),
+pairs as (select x.doc_id, x.s as lo, min(y.s) as hi from u x join u y on x.doc_id = y.doc_id and y.s >= x.s and y.s < x.s + 25 and y.z - x.a + 1 >= 25 group by x.doc_id, x.s
+          union select y.doc_id, max(x.s) as lo, y.s as hi from u x join u y on x.doc_id = y.doc_id and y.s >= x.s and y.s < x.s + 25 and y.z - x.a + 1 >= 25 group by y.doc_id, y.s),
+k as materialized (select r.doc_id, lo, hi, string_agg(words, ' ' order by u.s) as key from pairs r join u on u.doc_id = r.doc_id and u.s between lo and hi group by r.doc_id, lo, hi),
+o as (select doc_id, lo, hi, row_number() over (partition by key order by doc_id, lo, hi) as nth from k),
+gone as materialized (select distinct o.doc_id, u.s from o join u on u.doc_id = o.doc_id and u.s between lo and hi where nth > 1),
+cut as (select h.doc_id, string_agg(piece, '' order by i) filter (where gone.s is null) as rest, count(distinct h.s) as n_sentences, count(distinct gone.s) as n_removed
+        from h left join gone on gone.doc_id = h.doc_id and gone.s = h.s group by h.doc_id)
+select t.doc_id, case when cut.doc_id is null then text else regexp_extract(text, '^{_WS}*') || coalesce(rest, '') end as text,
+       coalesce(n_sentences, 0) as n_sentences, coalesce(n_removed, 0) as n_removed
+from t left join cut using (doc_id)
+"""
+
+_LICENSE_BASE = f"""
+with d as materialized (select doc_id, {_ALNUM_WORDS} as w from documents),
+t(label, p) as (values ('mit', ['under', 'the', 'mit', 'license']), ('apache-2', ['apache', 'license', 'version', '2']), ('cc-by-nc', ['cc', 'by', 'nc'])),
+h as (select doc_id, i, label from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d) x join t on x.w[i : i + len(p) - 1] = p)
+select d.doc_id, cast(len(any_value(w)) as bigint) as n_words, count(i) as n_base, min(i) - 1 as first_word, max(i) - 1 as last_word,
+       coalesce(array_to_string(list_sort(list(distinct label) filter (where label is not null)), ','), '') as base_labels
+from d left join h using (doc_id) group by d.doc_id
+"""
+
+#: DuckDB has no crc32: a table of 256 entries is made from its polynomial, and ids go through it a character at a time.
+_STEP = "xor({0} >> 1, ({0} & 1) * 3988292384)"
+
+
+def _crc_of_byte(c: str) -> str:
+    """One byte's eight steps, as nested lateral columns."""
+    inner = f"select {c} as c0"
+    for k in range(8):
+        inner = f"select {_STEP.format(f'c{k}')} as c{k + 1} from ({inner})"
+    return f"(select c8 from ({inner}))"
+
+
+_LM_BASE = f"""
+with recursive bytes as materialized (select b, {_crc_of_byte("b")} as t from (select unnest(range(0, 256)) as b)),
+ids as materialized (select distinct doc_id, cast(doc_id as varchar) as x from documents),
+crc(doc_id, x, k, c) as (select doc_id, x, 0, 4294967295::bigint from ids
+    union all select doc_id, x, k + 1, xor(c >> 8, t) from crc join bytes on b = xor(c, ascii(substr(x, k + 1, 1))::bigint) & 255 where k < length(x)),
+held as materialized (select doc_id, xor(c, 4294967295::bigint) % 7 = 2 as held_out from crc where k = length(x)),
+w as materialized (select doc_id, unnest(list_append(regexp_extract_all({_ASCII_LOWER}, '{_WORD}+'), ' ')) as word from documents),
+m as materialized (select doc_id, word, count(*) as k from w group by all),
+c as materialized (select word, sum(k) as c from m join held using (doc_id) where not held_out group by word),
+n as (select sum(c) as n, count(*) as v from c)
+select m.doc_id, any_value(held_out) as held_out, cast(sum(k) as bigint) as n_tokens, cast(sum(case when c.c is null then 0 else k end) as bigint) as n_known,
+       cast(any_value(n.n) as bigint) as train_tokens, round(sum(k * log10((coalesce(c.c, 0) + 1) / (n.n + n.v + 1.0))), 4) as base_score
+from m join held using (doc_id) left join c using (word), n group by m.doc_id
+"""
+
+_QUALITY_BASE = f"""
+with d as materialized (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{_WORD}+') as w from documents),
+l as (select doc_id, line, count(*) as k from (select doc_id, unnest(string_split(text, chr(10))) as line from d) where regexp_matches(line, '{_WORD}') group by all),
+dup as (select doc_id, sum(k - 1) as n_dup_lines from l group by doc_id),
+g as materialized (select doc_id, i, w[i : i + 2] as g from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from d)),
+r as (select doc_id, i from g join (select doc_id, g from g group by all having count(*) > 1) using (doc_id, g)),
+rep as (select doc_id, count(distinct j) as n from (select doc_id, unnest([i, i + 1, i + 2]) as j from r) group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars,
+       cast(len(regexp_extract_all(text, '[#*$%&|<>]')) as bigint) as n_symbols, cast(coalesce(n_dup_lines, 0) as bigint) as n_dup_lines,
+       cast(coalesce(n, 0) as bigint) as n_repeat_words, len(w) < 50 or 100 * coalesce(n, 0) > 50 * len(w) as base_failed
+from d left join dup using (doc_id) left join rep using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": _DECONTAMINATION}
+    return {
+        "op5_near_duplicates": _NEAR_DUPLICATES,
+        "op6_substring_dedup": _SUBSTRING,
+        "op7_decontamination": _DECONTAMINATION,
+        "license_base": _LICENSE_BASE,
+        "lm_base": _LM_BASE,
+        "quality_base": _QUALITY_BASE,
+    }
