@@ -12,17 +12,20 @@ into the shared folder and reads it again for the next one.
    from others such words are cut out.
 5. bpe: token ids, and digests of ids and of the text decoded from them.
 
-Null and empty texts pass all stages and have no tokens.  An empty table gives an
-empty result.
+Null and empty texts pass all stages and have no tokens, nor are rows without an id ever
+near duplicates.  Of repeated rows (equal id and text) one stays; rows that share an id but
+not the text are judged each by its own text.  Ties cannot be: of near duplicates the one
+with the smallest id stays, of repeated spans the first by id and place.  Texts of any
+length are gone through whole.  Other columns may have any names and types and are kept up
+to the last stage.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from versomill.llm import bpe, decontam, neardup, substring, toxicity
-from versomill.llm.common import written
+from versomill.llm.common import dropped, new_folder, scratch, written
 
 #: SQL can express neither the learned model nor the sketches; tests compare the stages with plain versions.
 ORACLE_SQL = None
@@ -38,9 +41,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = substring.dedup(docs)
-    left = (F.col("__n_removed") == 0) | (F.col("__n_removed") < F.col("__n_sentences"))
-    return found.where(left).select(*docs.columns)
+    return substring.cleaned(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +64,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = new_folder(spark, f"pipeline-{name}")
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), name, path)
+        if before:
+            dropped(before, spark)
+        before = path
     return docs
