@@ -113,6 +113,7 @@ def test_byte_chunks(spark):
     for _ in range(5):
         text = " ".join("".join(r.choice("aöçz.") for _ in range(r.randint(1, 30))) for _ in range(60)) + " " + "ğ" * 200
         got = one(spark, packing.byte_chunks(F.col("t"), 120), t=text)
+        assert got == engines.split_bytes(text, 120)
         assert all(len(p.encode()) <= 120 for p in got)
         assert "".join(got).replace(" ", "") == text.replace(" ", "")
 
@@ -169,7 +170,11 @@ def test_retries_and_chain():
     e = engines.Engine("flaky", flaky)
     result, log = engines.call(e, ["x"], 3, pauses.append)
     assert result == ["a x"] and [r["ok"] for r in log] == [False, False, True] and pauses == [15, 30]
-    gone = engines.Engine("gone", engines._no_call)
+
+    def unavailable(texts):
+        raise engines.EngineUnavailable("not here")
+
+    gone = engines.Engine("gone", unavailable)
     out, log = engines.through_chain([gone, e, engines.make("echo")], ["x", "y"], 3, pauses.append)
     assert out == [("a x", "flaky"), ("y", "echo")]
     assert [(r["engine"], r["error_class"]) for r in log][0] == ("gone", "EngineUnavailable")
@@ -181,7 +186,7 @@ def test_retries_and_chain():
 
 def test_engine_listing(spark):
     rows = {r["engine"]: r["status"] for r in engines.availability(spark).collect()}
-    assert "echo" not in rows and rows["upper"] == "ok" and rows["google"].startswith("unavailable")
+    assert "echo" not in rows and rows["upper"] == "ok" and rows["argos"].startswith("unavailable")
 
 
 def test_glossaries(spark):
@@ -243,8 +248,8 @@ def test_quality_rules(spark):
     source = "A sentence of a reasonable length stands here."
     rows = [(source, source, ["leftover", "same"]), (source, "kısa", ["length"]), (source, "çok çok çok uzun bir cümle burada duruyor işte", ["repeat"]), (source, "Burada makul uzunlukta bir cümle duruyor işte", []), ("short", "short", [])]
     df = spark.createDataFrame(rows, "s string, t string, want array<string>")
-    for r in df.select("want", quality.flags(F.col("s"), F.col("t")).alias("got")).collect():
-        assert r["got"] == r["want"]
+    for r in quality.flagged(df, "s", "t").collect():
+        assert r["flags"] == r["want"]
     cands = spark.createDataFrame([("0:1", 0, "current", source, "x", "nothing alike"), ("0:1", 1, "a", source, "Burada makul uzunlukta bir cümle duruyor işte", source), ("0:1", 2, "b", source, "Burada makul uzunlukta bir cümle duruyor işte", source)], "uid string, cand_order int, name string, source string, text string, back string")
     best = quality.best_candidate(quality.scored(cands, "source", "text", "back"), "uid")
     assert best.collect()[0]["name"] == "a"

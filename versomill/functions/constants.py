@@ -50,14 +50,19 @@ LANGUAGE_NAMES = {
     "ja": "Japanese", "zh": "Chinese", "ar": "Arabic",
 }
 
-# Patterns.
+# Patterns that define formats and results.
 NAME = "^[A-Z][a-z]+(?:[A-Z][a-z]+)?$"
 CODE_LIKE = r"(?m)[{};]\s*$|^\s*(def|class|import|return|for|while|if)\b.*[:({]|[=<>]{2}|->|::"
 SEGMENT_FRAME = r'(?is)<seg\s+id\s*=\s*"?(\d+)"?\s*>(.*?)</seg\s*>'
 GLOSSARY_BLOCK = r"(?is)<glossary>(.*?)(?:</glossary>|$)"
 OUTER_ELEMENT = r"(?s)^<g(\d+)>(.*)</g\1>$"
 
-# Limits and thresholds.
+# Stretched words: letters with long dashes between them.
+STRETCHED = r"(?<![\w—])[A-Za-z]+(?:[—–][A-Za-z]+)+(?![\w—])"
+# What is stripped off a word before it is taken for a name.
+NAME_EDGES = ",.;:!?\"'“”‘’()—-"
+
+# Limits and thresholds.
 MT_BATCH_CHARS, MT_BATCH_ITEMS, LLM_CHUNK_CHARS = 4500, 25, 2500
 CONTEXT_BUDGET, PROMPT_GLOSSARY_MAX, NAMES_MAX = 1500, 40, 40
 TERM_MAX, TARGET_MAX = 60, 80

@@ -1,7 +1,8 @@
 """Engines: batch functions over texts, with retry, fallback and a log of every call.
 
-An engine is plugged in by ``register``; what needs a network, a process or a package
-that is not there says so in ``check`` and is listed as unavailable.
+An engine is plugged in by ``register``; ``adapters`` registers those that need a network,
+a process or a package.  What is not there says so in ``check`` and is listed as
+unavailable.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import re
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,75 +43,47 @@ class Engine:
     supports_tags: bool = True
     max_chars: int = 4500
     check: Callable[[], None] = field(default=lambda: None)
+    complete: Callable[[str, str], str] | None = None  # of an LLM: (system, user) to its answer
+    model: str | None = None
 
 
-REGISTRY: dict[str, Callable[[], Engine]] = {}
+REGISTRY: dict[str, Callable[..., Engine]] = {}
+#: Engines whose makers take the languages.
+OF_LANGUAGES: set[str] = set()
 
 
-def register(name: str, make: Callable[[], Engine]) -> None:
+def register(name: str, make: Callable[..., Engine], languages: bool = False) -> None:
     REGISTRY[name.lower()] = make
+    (OF_LANGUAGES.add if languages else OF_LANGUAGES.discard)(name.lower())
 
 
-def maker(name: str) -> Callable[[], Engine]:
+def maker(name: str, src: str = "en", tgt: str = "tr") -> Callable[[], Engine]:
     """What makes the engine; it travels to the executors, where clients are then made."""
+    from . import adapters  # noqa: F401 - registers its engines
+
     try:
-        return REGISTRY[name.lower()]
+        found = REGISTRY[name.lower()]
     except KeyError:
         raise SystemExit(f"unknown engine {name!r}; known: {', '.join(sorted(REGISTRY))}") from None
+    return partial(found, src, tgt) if name.lower() in OF_LANGUAGES else found
 
 
-def make(name: str) -> Engine:
-    return maker(name)()
-
-
-def _unavailable(reason: str) -> Callable[[], None]:
-    def check():
-        raise EngineUnavailable(reason)
-
-    return check
-
+def make(name: str, src: str = "en", tgt: str = "tr") -> Engine:
+    return maker(name, src, tgt)()
 
-def _no_call(texts: list[str]) -> list[str]:
-    raise EngineUnavailable("needs a network, a process or a package")
-
-
-# Names, descriptions, limits and abilities of remote engines.
-REMOTE = {
-    "google": ("web translator", False, True, 4500),
-    "bing": ("web translator", False, True, 1000),
-    "yandex": ("web translator", False, True, 1000),
-    "modernmt": ("web translator", False, True, 1000),
-    "mymemory": ("web translator, 500 bytes a request", False, True, 500),
-    "lingva": ("web translator, several instances", False, True, 4500),
-    "libretranslate": ("own server", False, True, 4500),
-    "argos": ("offline models", False, False, 4500),
-    "opencode": ("command line, several models", True, True, 4500),
-    "ollama": ("local server", True, True, 4500),
-    "openrouter": ("chat API", True, True, 4500),
-    "gemini": ("chat API", True, True, 4500),
-    "groq": ("chat API", True, True, 4500),
-    "mistral": ("chat API", True, True, 4500),
-    "openai": ("chat API", True, True, 4500),
-}
 
 register("echo", lambda: Engine("echo", list, "gives every text back"))
 register("upper", lambda: Engine("upper", lambda texts: [_upper(t) for t in texts], "upper case outside of tags", max_chars=200))
-for _name, (_what, _llm, _tags, _max) in REMOTE.items():
-    register(_name, lambda n=_name, w=_what, x=_llm, t=_tags, m=_max: Engine(n, _no_call, w, x, t, m, _unavailable("no network here; pass translate and check to plug it in")))
 
 
 def _upper(text: str) -> str:
     return "".join(p if p.startswith("<") else p.upper() for p in re.split(r"(<[^>]*>)", text))
 
 
-def remote(name: str, translate: Callable[[list[str]], list[str]], check: Callable[[], None] = lambda: None) -> None:
-    """Plugs a working client into a known remote engine, with its limits."""
-    what, llm, tags, most = REMOTE[name]
-    register(name, lambda: Engine(name, translate, what, llm, tags, most, check))
-
-
 def availability(spark: SparkSession) -> DataFrame:
     """engine, description and status of all engines but echo."""
+    from . import adapters  # noqa: F401 - registers its engines
+
     rows = []
     for name in sorted(REGISTRY):
         if name == "echo":
@@ -126,19 +100,17 @@ def availability(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "engine string, description string, status string")
 
 
-def call(engine: Engine, texts: list[str], retries: int = 3, sleep: Callable[[float], None] = time.sleep) -> tuple[list[str] | None, list[dict]]:
-    """Results, or None after the last failure, and a row for each attempt."""
+def attempts(name: str, ask: Callable[[], object], retries: int = 3, sleep: Callable[[float], None] = time.sleep) -> tuple[object | None, list[dict]]:
+    """What ``ask`` gives, or None after the last failure, and a row for each attempt."""
     log: list[dict] = []
     for attempt in range(retries):
         began = time.monotonic()
-        row = {"engine": engine.name, "attempt": attempt, "ok": True, "error_class": None, "seconds": 0.0}
+        row = {"engine": name, "attempt": attempt, "ok": True, "error_class": None, "seconds": 0.0}
+        result, limited, gone = None, False, False
         try:
-            result = engine.translate(texts)
-            if len(result) != len(texts):
-                raise EngineError(f"{len(result)} results for {len(texts)} texts")
+            result = ask()
         except Exception as x:  # noqa: BLE001 - whatever an engine raises counts as its failure
             row |= {"ok": False, "error_class": type(x).__name__ if isinstance(x, EngineError) else "EngineError"}
-            result = None
             limited = isinstance(x, RateLimited)
             gone = isinstance(x, EngineUnavailable)
         row["seconds"] = time.monotonic() - began
@@ -152,15 +124,31 @@ def call(engine: Engine, texts: list[str], retries: int = 3, sleep: Callable[[fl
     return None, log
 
 
-def through_chain(engines: list[Engine], texts: list[str], retries: int = 3, sleep: Callable[[float], None] = time.sleep) -> tuple[list[tuple[str | None, str | None]], list[dict]]:
-    """(result, engine) of every text: engines in order, each for what is still missing; and the log."""
+def call(engine: Engine, texts: list[str], retries: int = 3, sleep: Callable[[float], None] = time.sleep) -> tuple[list[str] | None, list[dict]]:
+    """Results, or None after the last failure, and a row for each attempt."""
+
+    def ask():
+        result = engine.translate(texts)
+        if len(result) != len(texts):
+            raise EngineError(f"{len(result)} results for {len(texts)} texts")
+        return result
+
+    return attempts(engine.name, ask, retries, sleep)
+
+
+def through_chain(engines: list[Engine], texts: list[str], retries: int = 3, sleep: Callable[[float], None] = time.sleep, plain: list[str] | None = None) -> tuple[list[tuple[str | None, str | None]], list[dict]]:
+    """(result, engine) of every text: engines in order, each for what is still missing; and the log.
+
+    Each engine that keeps no tags gets the ``plain`` text instead, whatever the others get.
+    """
     out: list[tuple[str | None, str | None]] = [(None, None)] * len(texts)
     log: list[dict] = []
     for e in engines:
         todo = [k for k, (r, _) in enumerate(out) if not r]
         if not todo:
             break
-        result, rows = call(e, [texts[k] for k in todo], retries, sleep)
+        own = texts if e.supports_tags or plain is None else plain
+        result, rows = call(e, [own[k] for k in todo], retries, sleep)
         log += rows
         for k, r in zip(todo, result or []):
             if r:
@@ -192,7 +180,7 @@ def ask_in_frames(complete: Callable[[str, str], str], system: str, texts: list[
 
 def from_completion(name: str, complete: Callable[[str, str], str], system: str = "") -> Engine:
     """An LLM engine over a chat function."""
-    return Engine(name, lambda texts: ask_in_frames(complete, system, texts), is_llm=True)
+    return Engine(name, lambda texts: ask_in_frames(complete, system, texts), is_llm=True, complete=complete)
 
 
 def with_models(models: list[str], complete: Callable[[str, str, str], str]) -> Callable[[str, str], str]:

@@ -6,23 +6,32 @@ is (doc_index, chunk_no, line_no) over the whole run: of equal terms the first w
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import constants as C
 from ..functions import text as X
 
 
-def detect_names(rows: DataFrame, text: str, order: str, limit: int = C.NAMES_MAX) -> DataFrame:
-    """name and n: words capitalised within sentences at least twice, never seen in lower case; the most frequent, first come first."""
-    lower = rows.select(F.explode(F.regexp_extract_all(text, F.lit(r"(\b[a-z][a-z]+\b)"), 1)).alias("word")).distinct()
-    sentences = rows.select(order, F.posexplode(X.sentences_for_names(F.col(text))).alias("s_no", "s"))
-    words = sentences.select(order, "s_no", F.posexplode(F.split("s", r"\s+")).alias("w_no", "w")).where("w_no > 0")
-    words = words.withColumn("name", F.regexp_replace("w", r"^[\p{P}\p{S}]+|[\p{P}\p{S}]+$", "")).where(F.col("name").rlike(C.NAME))
-    counts = words.groupBy("name").agg(F.count("*").alias("n"), F.min(F.struct(order, "s_no", "w_no")).alias("first"))
-    counts = counts.where((F.col("n") >= 2) & ~F.col("name").isin(C.COMMON_CAPITALS))
-    counts = counts.join(lower, F.lower("name") == F.col("word"), "left_anti")
-    return counts.orderBy(F.desc("n"), "first").limit(limit).select("name", "n")
+def detect_names(rows: DataFrame, text: str, order: str, limit: int = C.NAMES_MAX, by: str | None = None) -> DataFrame:
+    """name and n: words capitalised within sentences at least twice, never seen in lower case; the most frequent, first come first.
+
+    With ``by`` that many names of each group, with the group and their rank.
+    """
+    group = [by] if by else []
+    lower = rows.select(*group, F.explode(F.regexp_extract_all(text, F.lit(r"(\b[a-z][a-z]+\b)"), 1)).alias("word")).distinct()
+    sentences = rows.select(*group, order, F.posexplode(X.sentences_for_names(F.col(text))).alias("s_no", "s"))
+    words = sentences.select(*group, order, "s_no", F.posexplode(F.regexp_extract_all("s", F.lit(r"([^\s\x{00A0}]+)"), 1)).alias("w_no", "w")).where("w_no > 0")
+    words = words.withColumn("name", F.btrim("w", F.lit(C.NAME_EDGES))).where(F.col("name").rlike(C.NAME))
+    counts = words.groupBy(*group, "name").agg(F.count("*").alias("n"), F.min(F.struct(order, "s_no", "w_no")).alias("first"))
+    counts = counts.where((F.col("n") >= 2) & ~F.col("name").isin(C.COMMON_CAPITALS)).withColumn("word", F.lower("name"))
+    counts = counts.join(lower, [*group, "word"], "left_anti")
+    if by is None:
+        return counts.orderBy(F.desc("n"), "first").limit(limit).select("name", "n")
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), "first"))
+    return counts.withColumn("rank", rank).where(F.col("rank") <= limit).select(by, "rank", "name", "n")
 
 
 def accepted(answers: DataFrame, chunk_text: str, answer: str, *order: str) -> DataFrame:
@@ -33,8 +42,14 @@ def accepted(answers: DataFrame, chunk_text: str, answer: str, *order: str) -> D
     return first_wins(lines.where(ok), "term", "target", *order, "line_no")
 
 
-def first_wins(rows: DataFrame, key: str, value: str, *order: str) -> DataFrame:
-    return rows.groupBy(key).agg(F.min_by(value, F.struct(*order)).alias(value))
+def first_wins(rows: DataFrame, key: str | list[str], value: str, *order: str) -> DataFrame:
+    return rows.groupBy(*([key] if isinstance(key, str) else key)).agg(F.min_by(value, F.struct(*order)).alias(value))
+
+
+def whole_text(rows: DataFrame, group: str, text: str, *order: str) -> DataFrame:
+    """group and text: all texts of a group in order, with spaces between; a group is a book, which fits into a row."""
+    every = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("t"))))
+    return rows.groupBy(group).agg(F.array_join(F.transform(every, lambda x: x["t"]), " ").alias("text"))
 
 
 def merged(user: DataFrame, learned: DataFrame) -> DataFrame:
@@ -43,22 +58,43 @@ def merged(user: DataFrame, learned: DataFrame) -> DataFrame:
     return u.join(k, "term", "full").select("term", F.coalesce("own", "other").alias("target"))
 
 
-#: Terms that are looked for in one pass over the texts; larger glossaries go in blocks.
-TERMS_AT_ONCE = 5000
+#: Terms in one automaton; more go through the texts in blocks.
+TERMS_AT_ONCE = 200_000
 
 
 def in_text(terms: DataFrame, texts: DataFrame, term: str, text: str) -> DataFrame:
     """texts with each term that they contain, wherever it begins; one row a pair.
 
-    Terms are looked for within each text's own row: glossaries are small beside the
-    texts, and large ones go block by block.
+    One automaton over all terms of a block reads each text once, whatever the number
+    of terms.  Glossaries are small beside the texts; a block is bounded, and its terms
+    are broadcast.
     """
-    found = [r[0] for r in terms.select(term).where(f"{term} is not null and {term} <> ''").distinct().orderBy(term).collect()]
-    out = texts.withColumn(term, F.lit(None).cast("string")).where(F.lit(False)) if not found else None
-    for i in range(0, len(found), TERMS_AT_ONCE):
-        block = F.array(*map(F.lit, found[i : i + TERMS_AT_ONCE]))
-        part = texts.select("*", F.explode(F.filter(block, lambda t: F.contains(F.col(text), t))).alias(term))
-        out = part if out is None else out.unionByName(part)
+    context = texts.sparkSession.sparkContext
+    known = terms.select(F.col(term).alias("t")).where("t is not null and t <> ''").distinct().withColumn("block", F.pmod(F.xxhash64("t"), F.lit(max(1, -(-terms.count() // TERMS_AT_ONCE)))))
+    blocks = sorted(r["block"] for r in known.select("block").distinct().collect())
+    schema = StructType([*texts.schema.fields, StructField(term, StringType())])
+    at = texts.columns.index(text)
+    out = texts.withColumn(term, F.lit(None).cast("string")).where(F.lit(False))
+    for block in blocks:
+        words = context.broadcast(sorted(r["t"] for r in known.where(F.col("block") == block).collect()))  # TERMS_AT_ONCE of them, about
+
+        def run(batches, words=words):
+            import ahocorasick
+
+            a = ahocorasick.Automaton()
+            for w in words.value:
+                a.add_word(w, w)
+            a.make_automaton()
+            for b in batches:
+                rows, found = [], []
+                for k, x in enumerate(b.column(at).to_pylist()):
+                    for w in sorted({w for _, w in a.iter(x)}) if x else ():
+                        rows.append(k)
+                        found.append(w)
+                kept = b.take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(found, pa.string())], [*b.schema.names, term])
+
+        out = out.unionByName(texts.mapInArrow(run, schema))
     return out
 
 
@@ -72,6 +108,13 @@ def for_book(learned: DataFrame, user: DataFrame, book: DataFrame, text: str) ->
     return hits.unionByName(own).distinct()
 
 
+def for_books(learned: DataFrame, books: DataFrame) -> DataFrame:
+    """book_id, term and target of what was learned for a book (book, term, target) and stands in its text (book_id, text), whatever the case."""
+    low = learned.select(F.col("book").alias("book_id"), "term", "target", F.lower("term").alias("low"))
+    found = in_text(low.select("low").distinct(), books.select("book_id", F.lower("text").alias("body")), "low", "body").select("book_id", "low").distinct()
+    return low.join(found, ["book_id", "low"], "left_semi").select("book_id", "term", "target")
+
+
 def for_prompt(glossary: Column, chunk: Column) -> Column:
     """Entries of a map that a chunk's prompt gets: all of a short glossary, else those whose term is in the chunk."""
     return F.when(F.size(glossary) <= C.PROMPT_GLOSSARY_MAX, glossary).otherwise(F.map_filter(glossary, lambda k, v: F.contains(chunk, k)))

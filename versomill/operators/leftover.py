@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from . import engines as E
 
@@ -39,52 +40,62 @@ def _ask(engine: E.Engine, text: str) -> str | None:
     return r if r and r.strip() else None
 
 
-def improve(text: str, left: set[str], chain: list[E.Engine]) -> tuple[str, int]:
+def _in_case(word: str, like: str, target: str) -> str:
+    """A result in the case of the run that it replaces."""
+    if like.isupper():
+        return (word.replace("i", "İ") if target == "tr" else word).upper()
+    if like[:1].isupper() and word:
+        return ("İ" if target == "tr" and word[0] == "i" else word[0].upper()) + word[1:]
+    return word
+
+
+def improve(text: str, left: set[str], chain: list[E.Engine], target: str = "") -> tuple[str, int]:
     """The text with fewer left-over words, and how many stay.
 
-    First the whole text by each engine, as long as each result has strictly fewer;
-    then each run, from right to left, in lower case first.
+    First the whole text by each engine, as long as some are left and a result has
+    strictly fewer; then each run, from right to left, in lower case where it begins with
+    a capital (engines keep capitalised words as names) and put back in its own case.
     """
     best, n = text, _count(text, left)
+    lead, tail = re.match(r"\s*", text)[0], re.search(r"\s*\Z", text)[0]
     for e in chain:
         if not n:
             break
-        lead, tail = re.match(r"\s*", text)[0], re.search(r"\s*\Z", text)[0]
-        r = _ask(e, best.strip())
+        r = _ask(e, text.strip())
         if r is not None and (k := _count(r, left)) < n:
             best, n = lead + r.strip() + tail, k
     for a, b in reversed(_spans(best, left)):
         run = best[a:b]
         for e in chain:
-            r = _ask(e, run.lower())
-            r = r.rstrip(".") if r and not run.endswith(".") else r
-            if r and r.lower() != run.lower():
-                new = best[:a] + (r[:1].upper() + r[1:] if run[:1].isupper() else r) + best[b:]
-                if (k := _count(new, left)) < n:
-                    best, n = new, k
-                    break
-    return best, n
+            r = _ask(e, run.lower() if run[:1].isupper() else run)
+            if r is None:
+                continue
+            r = _in_case(r.strip(), run, target)
+            if r.lower() != run.lower() and _count(r, left) < _count(run, left):
+                best = best[:a] + r.rstrip(".") + best[b:]
+                break
+    return best, _count(best, left)
 
 
-def retranslate(nodes: DataFrame, leftovers: DataFrame, engines: list[str]) -> DataFrame:
-    """nodes (doc_index, node, text) plus fixed and words_left.
+def retranslate(nodes: DataFrame, leftovers: DataFrame, engines: list[str], src: str = "en", tgt: str = "tr", keys: tuple[str, ...] = ("doc_index", "node")) -> DataFrame:
+    """nodes (keys, text) plus fixed and words_left.
 
-    ``leftovers`` (doc_index, node, word) names each node's left-over words; nodes
-    without any pass by the engines.
+    ``leftovers`` (keys, word) names each node's left-over words; nodes without any pass
+    by the engines.
     """
-    words = leftovers.groupBy("doc_index", "node").agg(F.to_json(F.collect_set("word")).alias("left"))
-    rows = nodes.join(words, ["doc_index", "node"], "left")
+    words = leftovers.groupBy(*keys).agg(F.to_json(F.collect_set("word")).alias("left"))
+    rows = nodes.join(words, list(keys), "left")
 
-    makers = [E.maker(n) for n in engines]
+    makers = [E.maker(n, src, tgt) for n in engines]
 
     def run(frames):
         chain = [m() for m in makers]
         for pdf in frames:
-            done = [improve(t, set(json.loads(x)), chain) if isinstance(x, str) else (t, 0) for t, x in zip(pdf["text"], pdf["left"])]
+            done = [improve(t, set(json.loads(x)), chain, tgt) if isinstance(x, str) else (t, 0) for t, x in zip(pdf["text"], pdf["left"])]
             yield pdf.drop(columns="left").assign(fixed=[t for t, _ in done], words_left=[n for _, n in done])
 
     columns = [c for c in rows.columns if c != "left"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "left") + ", fixed string, words_left int"
+    schema = StructType([*[rows.schema[c] for c in columns], StructField("fixed", StringType()), StructField("words_left", IntegerType())])
     return rows.select(*columns, "left").mapInPandas(run, schema)
 
 

@@ -17,8 +17,8 @@ def word_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
 def zipf_lexicon(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """lang, word and zipf: log10 of the occurrences among a thousand million words."""
     counts = word_counts(docs, text, lang)
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))  # a row a language
-    return counts.join(totals, "lang").select("lang", "word", F.round(F.log10(F.col("n") * 1e9 / F.col("total")), 6).alias("zipf"))
+    totals = counts.groupBy(F.col("lang").alias("__lang")).agg(F.sum("n").alias("total"))  # a row a language, from the same shuffle
+    return counts.join(F.broadcast(totals), F.col("lang").eqNullSafe(F.col("__lang"))).select("lang", "word", F.round(F.log10(F.col("n") * 1e9 / F.col("total")), 6).alias("zipf"))
 
 
 def skeleton_index(lexicon: DataFrame) -> DataFrame:
@@ -26,12 +26,33 @@ def skeleton_index(lexicon: DataFrame) -> DataFrame:
     return lexicon.select("lang", X.skeleton(F.col("word")).alias("skel"), "word", "zipf").where(F.col("skel") != "")
 
 
+#: Words that are looked up by a broadcast because very many rows may hold them.
+HOT_WORDS = 4096
+
+
+def frequencies(words: DataFrame, lexicon: DataFrame, source: str, target: str) -> DataFrame:
+    """w, s and t of each distinct word in lower case that either language has."""
+    both = lexicon.where(F.col("lang").isin(source, target)).groupBy(F.lower("word").alias("w"))
+    found = both.agg(F.coalesce(F.max(F.when(F.col("lang") == source, F.col("zipf"))), F.lit(0.0)).alias("s"), F.coalesce(F.max(F.when(F.col("lang") == target, F.col("zipf"))), F.lit(0.0)).alias("t"))
+    return found if words is None else found.join(words.select(F.col("word").alias("w")).distinct(), "w", "left_semi")
+
+
 def with_frequencies(tokens: DataFrame, lexicon: DataFrame, source: str, target: str, word: str = "word") -> DataFrame:
-    """tokens plus s and t, the frequencies in both languages; 0 for unknown words."""
-    for lang, name in ((source, "s"), (target, "t")):
-        part = lexicon.where(F.col("lang") == lang).select(F.lower("word").alias(f"__{name}"), F.col("zipf").alias(name))
-        tokens = tokens.join(part, F.lower(tokens[word]) == F.col(f"__{name}"), "left").drop(f"__{name}")
-    return tokens.withColumns({"s": F.coalesce("s", F.lit(0.0)), "t": F.coalesce("t", F.lit(0.0))})
+    """tokens plus s and t, the frequencies in both languages; 0 for unknown words.
+
+    The lexicon's most frequent words, of which one may be in a large share of all rows,
+    are broadcast; only other tokens go by a shuffle, and those that are done are spread
+    over it by a number of their own.
+    """
+    known = frequencies(None, lexicon, source, target)
+    hot = known.orderBy(F.desc(F.greatest("s", "t")), "w").limit(HOT_WORDS)
+    low = F.lower(F.col(word))
+    found = tokens.join(F.broadcast(hot.select(F.col("w").alias("__h"), F.col("s").alias("__hs"), F.col("t").alias("__ht"))), low == F.col("__h"), "left")
+    spread = F.concat(F.lit("\x00"), F.pmod(F.monotonically_increasing_id(), F.lit(4099)).cast("string"))
+    found = found.withColumn("__k", F.when(F.col("__h").isNull() & F.col(word).isNotNull(), low).otherwise(spread))
+    found = found.join(known.select(F.col("w").alias("__k"), "s", "t"), "__k", "left")
+    values = {"s": F.coalesce("__hs", "s", F.lit(0.0)), "t": F.coalesce("__ht", "t", F.lit(0.0))}
+    return found.select(*tokens.columns, *[v.alias(k) for k, v in values.items()])
 
 
 def is_source_word(token: Column, s: Column, t: Column, source: str = "en", target: str = "tr") -> Column:
@@ -89,38 +110,71 @@ def stretched_candidates(parts: Column) -> Column:
     return F.array(joined, F.regexp_replace(joined, r"(?i)(.)\1{2,}", "$1$1"), F.regexp_replace(joined, r"(?i)(.)\1+", "$1"))
 
 
-def unstretched(words: DataFrame, lexicon: DataFrame, lang: str, word: str = "word") -> DataFrame:
-    """word and fixed: the first candidate spelling that is an ordinary word, in the word's case; itself if there is none.
+#: The most frequent words among which the nearest one to a stretched word is looked for.
+INDEX_WORDS = 40_000
+
+
+def unstretched(words: DataFrame, lexicon: DataFrame, lang: str, word: str = "word", vocabulary: DataFrame | None = None, *keys: str) -> DataFrame:
+    """keys, word and fixed: the word without its stretch, in its case; itself if it is none.
 
-    Parts stand between dashes.  A word is stretched if letters at a border are equal
-    or a part is no word; words of ordinary parts and stammers stay as they are.
+    Parts stand between dashes.  A word is stretched if letters at a border are equal or
+    a part is no word; words of ordinary parts and stammers stay as they are.  Of the
+    spellings (joined, long runs as two letters, runs as one) the first that is an ordinary
+    word is taken; for a stretched word without any, the word that is nearest.
+    ``vocabulary`` (keys, word) has the words of the text around.
     """
-    known = lexicon.where(F.col("lang") == lang).select(F.col("word").alias("__w"), F.col("zipf").alias("__z"))
-    base = words.select(F.col(word).alias("word")).distinct().withColumn("parts", F.filter(F.split("word", "[-—–]+"), lambda p: p != ""))
+    known = lexicon.where(F.col("lang") == lang).select(F.lower("word").alias("__w"), F.col("zipf").alias("__z"))
+    every = words.select(*keys, F.col(word).alias("word")).distinct()
+    base = every.select("word").distinct().withColumn("parts", F.filter(F.split("word", "[-—–]+"), lambda p: p != ""))
     base = base.where((F.size("parts") >= 2) & ~X.one_stammer(F.col("parts")))
     each = base.select("word", F.explode("parts").alias("part")).join(known, F.lower("part") == F.col("__w"), "left")
     weak = each.groupBy("word").agg(F.min(F.coalesce("__z", F.lit(0.0))).alias("weakest"))
     i = F.sequence(F.lit(0), F.size("parts") - 2)
     touching = F.exists(i, lambda k: F.lower(F.substring(F.reverse(F.col("parts")[k]), 1, 1)) == F.lower(F.substring(F.col("parts")[k + 1], 1, 1)))
-    base = base.join(weak, "word").where(touching | (F.col("weakest") < 2.0)).where(~((F.col("weakest") >= 3.0) & ~touching))
-    tried = base.select("word", F.posexplode(stretched_candidates(F.col("parts"))).alias("k", "cand")).join(known.where("__z >= 3.0"), F.lower("cand") == F.col("__w"))
-    best = tried.groupBy("word").agg(F.min_by("cand", "k").alias("cand"))
-    return words.select(F.col(word).alias("word")).distinct().join(best, "word", "left").select("word", F.coalesce(X.restore_case(F.col("word"), F.lower("cand")), F.col("word")).alias("fixed"))
+    base = base.join(weak, "word").withColumn("stretched", touching | (F.col("weakest") < 2.0)).where("stretched or weakest < 3.0")
+    base = base.withColumn("cands", stretched_candidates(F.col("parts")))
+    tried = base.select("word", F.posexplode("cands").alias("k", "cand")).join(known.where("__z >= 3.0"), F.lower("cand") == F.col("__w"))
+    best = tried.groupBy("word").agg(F.min_by(F.lower("cand"), "k").alias("best"))
+    found = every.join(base, "word").join(best, "word", "left")
+    near = nearest_word(found.where("best is null and stretched"), lexicon, lang, vocabulary, *keys)
+    found = found.select(*keys, "word", "best").join(near.withColumnRenamed("fixed", "near"), [*keys, "word"], "left")
+    found = found.select(*keys, "word", F.coalesce("best", "near").alias("best")).where("best is not null")
+    return every.join(found, [*keys, "word"], "left").select(*keys, "word", F.coalesce(X.restore_case(F.col("word"), F.col("best")), F.col("word")).alias("fixed"))
 
 
-def nearest_word(words: DataFrame, lexicon: DataFrame, lang: str, vocabulary: DataFrame | None = None) -> DataFrame:
-    """word and fixed: of the words with the same consonants and first letter the one most alike, frequent and known to the text."""
+def nearest_word(words: DataFrame, lexicon: DataFrame, lang: str, vocabulary: DataFrame | None = None, *keys: str) -> DataFrame:
+    """keys, word and fixed: of the words with the same consonants and first letter the one that is most alike, frequent and known to the text, if it is alike enough.
+
+    ``words`` may have cands, an array of spellings of which the one most alike counts.
+    """
     from .quality import sequence_ratio
 
-    index = skeleton_index(lexicon.where(F.col("lang") == lang)).select("skel", F.col("word").alias("cand"), "zipf")
-    found = words.select("word", X.skeleton(F.col("word")).alias("skel")).join(index, "skel").where(F.lower(F.substring("word", 1, 1)) == F.substring("cand", 1, 1))
+    common = lexicon.where(F.col("lang") == lang).orderBy(F.desc("zipf"), "word").limit(INDEX_WORDS)
+    index = skeleton_index(common).select("skel", F.col("word").alias("cand"), "zipf")
+    words = words if "cands" in words.columns else words.withColumn("cands", F.array("word"))
+    rows = words.select(*keys, "word", "cands", X.skeleton(F.col("cands")[0]).alias("skel"))
+    found = rows.join(index, "skel").where(F.lower(F.substring("word", 1, 1)) == F.substring("cand", 1, 1))
     if vocabulary is not None:
-        found = found.join(vocabulary.select(F.col("word").alias("cand"), F.lit(1.0).alias("own")).distinct(), "cand", "left")
+        own = vocabulary.select(*keys, F.col("word").alias("cand"), F.lit(1.0).alias("own")).distinct()
+        found = found.join(own, [*keys, "cand"], "left")
     else:
-        found = found.withColumn("own", F.lit(None).cast("double"))
-    found = found.withColumn("ratio", sequence_ratio(F.split(F.lower("word"), ""), F.split("cand", ""))).where("ratio >= 0.6")
+        found = found.withColumn("own", F.lit(0.0))
+    each = found.select(*keys, "word", "cand", "zipf", "own", F.explode("cands").alias("spelling"))
+    each = each.withColumn("ratio", sequence_ratio(F.split(F.lower("spelling"), ""), F.split("cand", "")))
+    each = each.groupBy(*keys, "word", "cand").agg(F.max("ratio").alias("ratio"), F.max("zipf").alias("zipf"), F.max("own").alias("own"))
     score = F.col("ratio") + 0.15 * F.col("zipf") + F.coalesce("own", F.lit(0.0))
-    return found.groupBy("word").agg(F.max_by("cand", F.struct(score, F.col("cand"))).alias("fixed"))
+    best = each.groupBy(*keys, "word").agg(F.max_by(F.struct("cand", "ratio"), F.struct(score, F.col("cand"))).alias("b"))
+    return best.where("b.ratio >= 0.6").select(*keys, "word", F.col("b.cand").alias("fixed"))
+
+
+def leftovers(tokens: DataFrame, lexicon: DataFrame, source: str, target: str, facts: DataFrame | None = None) -> DataFrame:
+    """tokens that are source words, or, with facts of the source text, capitalised common nouns of it."""
+    found = with_frequencies(tokens, lexicon, source, target)
+    words = found.where(is_source_word(F.col("word"), F.col("s"), F.col("t"), source, target)).select(*tokens.columns)
+    if facts is None:
+        return words
+    nouns = capitalised_common_nouns(tokens, facts, lexicon, source, target).select(*tokens.columns)
+    return words.unionByName(nouns).distinct()
 
 
 def joined_over_break(pairs: DataFrame, lexicon: DataFrame, lang: str) -> DataFrame:

@@ -1,8 +1,11 @@
-"""Markup trees: tolerant parsing, segments of a document, inline markup as placeholders.
-
-A node is [tag, attributes, children], a child is a node or a string.  Parsing never
-fails: unknown end tags are dropped, open elements end with their parent, a block
-start closes an open p, and void elements have no content.
+"""Markup trees: parsing, segments of a document, inline markup as placeholders.
+
+A node is [tag, attributes, children], a child is a node or a string.  Well-formed XML
+is read as such: names keep their case and prefixes, and what stands before and behind
+the root, comments and instructions come out again as they were (as nodes tagged RAW).
+Anything else is read tolerantly, which never fails: unknown end tags are dropped, open
+elements end with their parent, a block start closes an open p, void elements have no
+content.
 """
 
 from __future__ import annotations
@@ -10,14 +13,20 @@ from __future__ import annotations
 import copy
 import html
 import re
+from html.entities import html5
 from html.parser import HTMLParser
+from xml.parsers import expat
 
 from ..functions import constants as C
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCKS, _OUTER, _SKIP = set(C.BLOCK_TAGS), set(C.BLOCK_TAGS) | set(C.OUTER_TAGS), set(C.SKIP_TAGS)
-_TOKEN = re.compile(r"<\s*(/?)\s*([gx])(\d+)\s*(/?)\s*>", re.I)
-_ANY_TAG = re.compile(r"<[^<>]*>")
+#: A node whose only child is text that is written as it is.
+RAW = "#raw"
+_TOKEN = re.compile(r"<\s*(/?)\s*([gx])\s*(\d+)\s*(/?)\s*>", re.I)
+#: What looks like a tag: a name right behind the bracket, then nothing, a slash or attributes.
+_ANY_TAG = re.compile(r"</?[a-z][a-z\d:-]*(?:\s[^<>]*|/)?>", re.I | re.A)
+_NAMED = re.compile(r"&([A-Za-z][A-Za-z0-9]*);")
 _SPACE = re.compile(r"\s+")
 
 
@@ -55,7 +64,59 @@ class _Builder(HTMLParser):
         self.open[-1][2].append(data)
 
 
+def _character(m: re.Match) -> str:
+    """A named character that XML does not know, as itself."""
+    return m[0] if m[1] in ("amp", "lt", "gt", "quot", "apos") else html5.get(m[1] + ";", m[0])
+
+
+def parse_xml(markup: str) -> list | None:
+    """The tree of well-formed XML, or None."""
+    text = _NAMED.sub(_character, re.sub(r"^(\ufeff?<\?xml[^>]*?encoding\s*=\s*)([\"'])[^\"']*", r"\1\2utf-8", markup or ""))
+    raw = text.removeprefix("\ufeff").encode()
+    root: list = ["#root", {}, []]
+    stack = [root]
+    border = [0, len(raw)]
+    parser = expat.ParserCreate("utf-8")
+    parser.buffer_text, parser.ordered_attributes = True, True
+
+    def start(tag, attrs):
+        if len(stack) == 1:
+            border[0] = parser.CurrentByteIndex
+        node = [tag, dict(zip(attrs[::2], attrs[1::2], strict=True)), []]
+        stack[-1][2].append(node)
+        stack.append(node)
+
+    def end(tag):
+        stack.pop()
+        if len(stack) == 1:
+            at = parser.CurrentByteIndex
+            border[1] = raw.index(b">", at) + 1 if raw[at : at + 2] == b"</" else at
+
+    def kept(text):
+        if len(stack) > 1:
+            stack[-1][2].append([RAW, {}, [text]])
+
+    parser.StartElementHandler, parser.EndElementHandler = start, end
+    parser.CharacterDataHandler = lambda t: stack[-1][2].append(t)
+    parser.CommentHandler = lambda t: kept(f"<!--{t}-->")
+    parser.ProcessingInstructionHandler = lambda target, data: kept(f"<?{target} {data}?>")
+    try:
+        parser.Parse(raw, True)
+    except expat.ExpatError:
+        return None
+    before = raw[: border[0]].decode()
+    behind = raw[border[1] :].decode() if border[1] > border[0] else ""
+    if before:
+        root[2].insert(0, [RAW, {}, [before]])
+    if behind:
+        root[2].append([RAW, {}, [behind]])
+    return root
+
+
 def parse(markup: str) -> list:
+    found = parse_xml(markup)
+    if found is not None:
+        return found
     b = _Builder()
     b.feed(markup or "")
     b.close()
@@ -66,6 +127,8 @@ def serialise(node) -> str:
     if isinstance(node, str):
         return escape(node)
     tag, attrs, children = node
+    if tag == RAW:
+        return children[0]
     inner = "".join(map(serialise, children))
     if tag == "#root":
         return inner
@@ -78,7 +141,7 @@ def escape(text: str) -> str:
 
 
 def text_of(node) -> str:
-    return node if isinstance(node, str) else "".join(map(text_of, node[2]))
+    return node if isinstance(node, str) else "" if node[0] == RAW else "".join(map(text_of, node[2]))
 
 
 def encode(node) -> tuple[str, dict[int, tuple[str, list]]]:
@@ -95,8 +158,10 @@ def encode(node) -> tuple[str, dict[int, tuple[str, list]]]:
             if isinstance(c, str):
                 out.append(escape(c))
                 continue
+            if c[0] == RAW:
+                continue
             n = len(found) + 1
-            if not any(not isinstance(x, str) for x in c[2]) and not text_of(c).strip():
+            if not any(not isinstance(x, str) and x[0] != RAW for x in c[2]) and not text_of(c).strip():
                 found[n] = ("x", c)
                 out.append(f"<x{n}/>")
             else:
@@ -122,8 +187,6 @@ def problem(text: str, kinds: dict[int, str]) -> str | None:
         if kinds.get(n) != kind:
             return f"unknown {kind}{n}"
         if kind == "x":
-            if end or not closed:
-                return f"x{n} must be empty"
             seen.append(n)
         elif closed:
             return f"g{n} must not be empty"
@@ -177,13 +240,13 @@ def decode(text: str, found: dict[int, tuple[str, list]], strict: bool = True) -
 
 
 def _has_outer(node) -> bool:
-    return any(not isinstance(c, str) and (c[0] in _OUTER or _has_outer(c)) for c in node[2])
+    return any(not isinstance(c, str) and c[0] != RAW and (local(c[0]) in _OUTER or _has_outer(c)) for c in node[2])
 
 
 def _left_out(node, keep_boilerplate: bool, translate_pre: bool) -> bool:
     tag, attrs, _ = node
     skip = _SKIP - {"pre"} if translate_pre else _SKIP
-    if tag in skip or attrs.get("translate", "").lower() == "no":
+    if tag == RAW or local(tag) in skip or attrs.get("translate", "").lower() == "no":
         return True
     classes = attrs.get("class", "")
     if "notranslate" in classes.split():
@@ -208,7 +271,7 @@ def segments(root, is_nav: bool = False, keep_boilerplate: bool = False, transla
         for c in node[2]:
             if isinstance(c, str) or _left_out(c, keep_boilerplate, translate_pre):
                 continue
-            tag = c[0]
+            tag = local(c[0])
             if tag in _BLOCKS and not _has_outer(c):
                 add(c, "heading" if len(tag) == 2 and tag[0] == "h" and tag != "hr" else "text")
             elif tag in _OUTER or _has_outer(c) or tag in ("html", "body", "main"):
@@ -260,10 +323,10 @@ def prose_pre(root) -> bool:
     while todo:
         n = todo.pop()
         for c in n[2]:
-            if isinstance(c, str):
+            if isinstance(c, str) or c[0] == RAW:
                 continue
-            code = any(not isinstance(x, str) and x[0] == "code" for x in c[2])
-            if c[0] == "pre" and not code and len(re.findall(C.CODE_LIKE, text_of(c))) < 2:
+            code = any(not isinstance(x, str) and local(x[0]) == "code" for x in c[2])
+            if local(c[0]) == "pre" and not code and len(re.findall(C.CODE_LIKE, text_of(c))) < 2:
                 parts: list = []
                 for child in c[2]:
                     if not isinstance(child, str):
@@ -293,7 +356,7 @@ def strip_boilerplate(root) -> bool:
         n = todo.pop()
         kept = []
         for c in n[2]:
-            if not isinstance(c, str):
+            if not isinstance(c, str) and c[0] != RAW:
                 own = "".join(x for x in c[2] if isinstance(x, str))
                 if c[1].get("id") in C.BOILERPLATE_IDS or C.BOILERPLATE_CLASS in c[1].get("class", "") or re.search(C.BOILERPLATE_MARK, own):
                     changed = True
@@ -302,3 +365,74 @@ def strip_boilerplate(root) -> bool:
             kept.append(c)
         n[2][:] = kept
     return changed
+
+
+_STRETCHED = re.compile(C.STRETCHED)
+_NO_WORDS = {"pre", "code", "script", "style"}
+
+
+def _strings(root, skip: set[str]):
+    """(list, place) of every text outside of skipped elements, in document order."""
+    for k, c in enumerate(root[2]):
+        if isinstance(c, str):
+            yield root[2], k
+        elif c[0] != RAW and local(c[0]) not in skip:
+            yield from _strings(c, skip)
+
+
+def body_of(root):
+    """The body, or everything where there is none."""
+    todo = [root]
+    while todo:
+        n = todo.pop()
+        for c in n[2]:
+            if not isinstance(c, str):
+                if local(c[0]) == "body":
+                    return c
+                todo.append(c)
+    return root
+
+
+def _at_breaks(root):
+    """(children, place) of every br between two texts."""
+    todo = [root]
+    while todo:
+        n = todo.pop()
+        for k, c in enumerate(n[2]):
+            if not isinstance(c, str):
+                todo.append(c)
+                if local(c[0]) == "br" and 0 < k < len(n[2]) - 1 and isinstance(n[2][k - 1], str) and isinstance(n[2][k + 1], str):
+                    yield n[2], k
+
+
+def word_suspects(root) -> tuple[set[str], set[tuple[str, str]], set[str]]:
+    """Stretched words, pairs of words at line breaks, and all words (in lower case) of a document."""
+    body = body_of(root)
+    texts = [at[k] for at, k in _strings(body, _NO_WORDS)]
+    pairs = set()
+    for at, k in _at_breaks(body):
+        a, b = re.search(r"([A-Za-z]+)\s*$", at[k - 1]), re.match(r"\s*([a-z]+)", at[k + 1])
+        if a and b:
+            pairs.add((a[1], b[1]))
+    every = {w.lower() for t in texts for w in re.findall(r"[A-Za-z]{3,}", t)}
+    return {m[0] for t in texts for m in _STRETCHED.finditer(t)}, pairs, every
+
+
+def fix_words(root, fixed: dict[str, str], joined: set[tuple[str, str]]) -> bool:
+    """Puts fixed spellings for stretched words and joins words that a line break parts."""
+    body, changed = body_of(root), False
+    for at, k in _strings(body, _NO_WORDS):
+        new = _STRETCHED.sub(lambda m: fixed.get(m[0], m[0]), at[k])
+        changed |= new != at[k]
+        at[k] = new
+    for at, k in reversed(list(_at_breaks(body))):
+        a, b = re.search(r"([A-Za-z]+)\s*$", at[k - 1]), re.match(r"\s*([a-z]+)", at[k + 1])
+        if a and b and (a[1], b[1]) in joined:
+            at[k - 1 : k + 2] = [at[k - 1][: a.start(1)] + a[1] + b[1] + at[k + 1][b.end(1) :]]
+            changed = True
+    return changed
+
+
+def text_nodes(root) -> list[tuple[list, int]]:
+    """Texts that a check for left-over words looks at, in document order; its number is a text's place in this list."""
+    return [(at, k) for at, k in _strings(body_of(root), _NO_WORDS) if at[k].strip()]

@@ -1,14 +1,18 @@
 """Packing ordered segments into bounded batches, and context before a batch.
 
 Packing is greedy and starts anew when a batch is full, so it is a fold over the
-ordered segments of a group.  Groups (documents, conversations, a chosen number of
-slices of a run) keep that fold short and let it run in parallel.
+ordered segments of a group: one pass over the group's sorted rows.  Groups (documents,
+conversations, a chosen number of slices of a run) keep that fold short and let it run
+in parallel; a group must fit into a worker.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import constants as C
 
@@ -19,21 +23,24 @@ def greedy_batches(rows: DataFrame, group: str, order: str, text: str, max_chars
     A segment opens a batch when the batch before would pass max_chars or has
     max_items; a segment longer than max_chars stands alone.
     """
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(size(F.col(text)), F.lit(0)).cast("bigint").alias("n"))))
-    start = F.expr("named_struct('batch', 0, 'chars', 0L, 'items', 0, 'out', cast(array() as array<struct<o:bigint, batch_no:int, local_id:int>>))")
-
-    def add(acc, x):
-        full = (acc["items"] == 0) | (acc["chars"] + x["n"] > max_chars)
-        if max_items is not None:
-            full = full | (acc["items"] >= max_items)
-        batch = acc["batch"] + F.when(full, 1).otherwise(0)
-        items_ = F.when(full, 1).otherwise(acc["items"] + 1)
-        chars = F.when(full, x["n"]).otherwise(acc["chars"] + x["n"])
-        one = F.struct(x["o"].cast("bigint").alias("o"), batch.alias("batch_no"), items_.alias("local_id"))
-        return F.struct(batch.alias("batch"), chars.alias("chars"), items_.alias("items"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    packed = rows.groupBy(group).agg(F.aggregate(items, start, add, lambda acc: acc["out"]).alias("out")).select(group, F.inline("out"))
-    return rows.join(packed.withColumnRenamed("o", order), [group, order])
+    out = StructType([*rows.schema.fields, StructField("batch_no", IntegerType()), StructField("local_id", IntegerType())])
+    sized = rows.withColumn("__size", F.coalesce(size(F.col(text)), F.lit(0)).cast("bigint"))
+    names, at = rows.columns, rows.columns.index(order)
+
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table.column(at), null_placement="at_start"))
+        batch, chars, items = 0, 0, 0
+        numbers, places = [], []
+        for n in table.column(len(names)).to_pylist():
+            if not items or chars + n > max_chars or (max_items is not None and items >= max_items):
+                batch, chars, items = batch + 1, 0, 0
+            chars, items = chars + n, items + 1
+            numbers.append(batch)
+            places.append(items)
+        kept = [table.column(k) for k in range(len(names))]
+        return pa.table([*kept, pa.array(numbers, pa.int32()), pa.array(places, pa.int32())], names=[*names, "batch_no", "local_id"])
+
+    return sized.groupBy(group).applyInArrow(fold, out)
 
 
 def context_before(rows: DataFrame, group: str, order: str, text: str, k: int) -> DataFrame:
@@ -64,13 +71,20 @@ def runs(rows: DataFrame, group: str, order: str, good: str) -> DataFrame:
 
 
 def byte_chunks(text, limit: int):
-    """Pieces of at most ``limit`` bytes: sentences, then words, then characters, put together greedily with spaces."""
+    """Pieces of at most ``limit`` bytes: sentences, then words, then as many characters as fit, put together greedily with spaces."""
+    none = F.expr("named_struct('done', cast(array() as array<string>), 'open', '')")
+
+    def one_more(acc, c):
+        fits = F.octet_length(F.concat(acc["open"], c)) <= limit
+        return F.struct(F.when(fits, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))).alias("done"), F.when(fits, F.concat(acc["open"], c)).otherwise(c).alias("open"))
+
+    def cut(word):
+        return F.when(F.octet_length(word) <= limit, F.array(word)).otherwise(F.aggregate(F.split(word, ""), none, one_more, lambda acc: F.concat(acc["done"], F.array(acc["open"]))))
+
     atoms = F.flatten(
         F.transform(
-            F.split(text, r"(?<=[.!?;])\s+"),
-            lambda s: F.when(F.octet_length(s) <= limit, F.array(s)).otherwise(
-                F.flatten(F.transform(F.split(s, r"\s+"), lambda w: F.when(F.octet_length(w) <= limit, F.array(w)).otherwise(F.filter(F.regexp_extract_all(w, F.lit("(?s)(.{1,%d})" % max(1, limit // 4)), 1), lambda x: x != ""))))
-            ),
+            F.split(text, r"(?U)(?<=[.!?;])\s+"),
+            lambda s: F.when(F.octet_length(s) <= limit, F.array(s)).otherwise(F.flatten(F.transform(F.split(s, r"(?U)\s+"), cut))),
         )
     )
     start = F.expr("named_struct('done', cast(array() as array<string>), 'open', '')")

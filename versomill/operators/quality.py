@@ -9,12 +9,15 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BooleanType, DoubleType
 
+from ..functions import constants as C
 from ..functions import text as X
 from . import engines as E
+from . import markup
 
 _TAG = re.compile(r"</?g\d+>|<x\d+/>")
+_PLACEHOLDER = re.compile(r"<\s*/?\s*([gx])\s*(\d+)\s*/?\s*>", re.I)
 _SENTENCE = re.compile("(?<=[.!?;:])\\s+(?=[\"“‘'(A-Z])")
 MIN_SOURCE, LOW, HIGH, MIN_WORDS, LANGUAGE_SHARE = 25, 0.5, 2.0, 6, 0.75
 
@@ -25,44 +28,74 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, list(x), list(y)).ratio() if x is not None and y is not None else None for x, y in zip(a, b)], dtype="float64")
 
 
-def flags(source: Column, target: Column, leftover: Column | None = None, share: Column | None = None, lang: str = "en") -> Column:
-    """Names of the rules that a translation breaks, in a fixed order.
+@F.pandas_udf(BooleanType())
+def placeholders_kept(source: pd.Series, target: pd.Series) -> pd.Series:
+    """Whether a target has each of its source's placeholders once, of its kind, pairs nested."""
+    return pd.Series([markup.problem(t or "", {int(n): k.lower() for k, n in _PLACEHOLDER.findall(s or "")}) is None for s, t in zip(source, target)], dtype="bool")
 
-    ``leftover`` tells of words left over and ``share`` is the target language's share
-    of words; both come from a lexicon and count as fine without one.
+
+def flagged(rows: DataFrame, source: str, target: str, leftover: str | None = None, share: str | None = None, lang: str = "en") -> DataFrame:
+    """rows plus flags: names of the rules that a translation breaks, in a fixed order.
+
+    ``leftover`` names a column that tells of words left over, ``share`` one with the
+    target language's share of words; both come from a lexicon and count as fine without
+    one.  Plain texts and words are named in a projection of their own, so that each is
+    made once.
     """
-    s, t = X.plain_spaced(source), X.plain_spaced(target)
-    words = X.lower_words(t)
-    ratio = X.length_ratio(s, t)
-    left = F.coalesce(leftover, F.lit(False)) if leftover is not None else F.lit(False)
-    long = F.length(s) >= MIN_SOURCE
-    language = (F.size(words) >= MIN_WORDS) & (F.coalesce(share, F.lit(1.0)) < LANGUAGE_SHARE) if share is not None else F.lit(False)
-    return F.array_compact(
+    left = F.coalesce(F.col(leftover), F.lit(False)) if leftover else F.lit(False)
+    few = F.coalesce(F.col(share), F.lit(1.0)) < LANGUAGE_SHARE if share else F.lit(False)
+    rows = rows.withColumns({"__s": X.plain_spaced(F.col(source)), "__t": X.plain_spaced(F.col(target))})
+    rows = rows.withColumns({"__words": X.lower_words(F.col("__t")), "__ratio": X.length_ratio(F.col("__s"), F.col("__t")), "__long": F.length("__s") >= MIN_SOURCE})
+    long, ratio, words = F.col("__long"), F.col("__ratio"), F.col("__words")
+    found = F.array_compact(
         F.array(
             F.when(left, "leftover"),
             F.when(long & ((ratio < LOW) | (ratio > HIGH)), "length"),
             F.when(long & X.repeats_thrice(words), "repeat"),
-            F.when(long & language, "language"),
-            F.when(long & ~left & (X.stray_count(t, lang) >= 2), "leftover"),
-            F.when(long & (s == t), "same"),
+            F.when(long & few & (F.size(words) >= MIN_WORDS), "language"),
+            F.when(long & ~left & (X.stray_count(F.col("__t"), lang) >= 2), "leftover"),
+            F.when(long & (F.col("__s") == F.col("__t")), "same"),
         )
     )
+    return rows.withColumn("flags", found).drop("__s", "__t", "__words", "__ratio", "__long")
 
 
 def target_share(rows: DataFrame, lexicon: DataFrame, text: str, source: str, target: str, *keys: str) -> DataFrame:
-    """keys and share: words that are at least as frequent in the target language as in the source's, or unknown to both."""
-    from .lexicon import with_frequencies
+    """keys and share: words that look like the target language; 1 where there are no words.
+
+    Such a word has a letter that only the target language has, begins with a capital,
+    has two letters at most, or is frequent in the target language and no source word.
+    """
+    from .lexicon import is_source_word, with_frequencies
 
-    words = rows.select(*keys, F.explode(X.lower_words(F.col(text))).alias("word"))
+    words = rows.select(*keys, F.explode_outer(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"({X.WORD})"), 1)).alias("word"))
     found = with_frequencies(words, lexicon, source, target)
-    return found.groupBy(*keys).agg(F.avg((F.col("t") >= F.col("s")).cast("double")).alias("share"))
+    w, letters = F.col("word"), C.TARGET_LETTERS.get(target, "")
+    fine = w.rlike(r"^\p{Lu}") | (F.length(w) <= 2) | ((F.col("t") >= 2.5) & ~is_source_word(w, F.col("s"), F.col("t"), source, target))
+    if letters:
+        fine = fine | w.rlike(f"[{letters}]")
+    return found.groupBy(*keys).agg(F.coalesce(F.avg(F.when(w.isNotNull(), fine.cast("double"))), F.lit(1.0)).alias("share"))
+
+
+def checked(rows: DataFrame, lexicon: DataFrame | None, source: str, target: str, src: str, tgt: str, key: str) -> DataFrame:
+    """rows plus flags, with words left over and the target language's share from the lexicon, if there is one."""
+    from .lexicon import is_source_word, leftover_tokens, with_frequencies
 
+    if lexicon is None:
+        return flagged(rows, source, target, lang=src)
+    plain = rows.select(F.col(key).alias("__key"), X.plain_spaced(F.col(target)).alias("__plain"))
+    tokens = with_frequencies(leftover_tokens(plain, "__plain", "__key"), lexicon, src, tgt)
+    left = tokens.where(is_source_word(F.col("word"), F.col("s"), F.col("t"), src, tgt)).select("__key", F.lit(True).alias("__left")).distinct()
+    share = target_share(plain, lexicon, "__plain", src, tgt, "__key").withColumnRenamed("share", "__share")
+    joined = rows.join(left.withColumnRenamed("__key", key), key, "left").join(share.withColumnRenamed("__key", key), key, "left")
+    return flagged(joined, source, target, "__left", "__share", src).drop("__left", "__share")
 
-def penalty(flagged: Column, source: Column, candidate: Column) -> Column:
+
+def penalty(found: Column, source: Column, candidate: Column) -> Column:
     tags = r"</?g\d+>|<x\d+/>"
-    others = F.size(F.filter(flagged, lambda f: ~f.isin("leftover", "same")))
+    others = F.size(F.filter(found, lambda f: ~f.isin("leftover", "same")))
     broken = source.rlike(tags) & (F.regexp_count(source, F.lit(tags)) != F.regexp_count(candidate, F.lit(tags)))
-    return 0.15 * others + F.when(F.array_contains(flagged, "leftover"), 0.5).otherwise(0.0) + F.when(F.array_contains(flagged, "same"), 0.3).otherwise(0.0) + F.when(broken, 0.3).otherwise(0.0)
+    return 0.15 * others + F.when(F.array_contains(found, "leftover"), 0.5).otherwise(0.0) + F.when(F.array_contains(found, "same"), 0.3).otherwise(0.0) + F.when(broken, 0.3).otherwise(0.0)
 
 
 def best_candidate(cands: DataFrame, *keys: str) -> DataFrame:
@@ -71,13 +104,13 @@ def best_candidate(cands: DataFrame, *keys: str) -> DataFrame:
     return cands.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
 
 
-def candidates(segments: DataFrame, names: list[str], back: str) -> DataFrame:
+def candidates(segments: DataFrame, names: list[str], back: str, src: str = "en", tgt: str = "tr") -> DataFrame:
     """uid, cand_order, name, source, text and back: the current translation and every engine's, with their back-translations.
 
     Engines that know no tags are left out where the source has some.  The first engine
     also goes sentence by sentence where there are several and all succeed.
     """
-    makers, back_maker = [E.maker(n) for n in names], E.maker(back)
+    makers, back_maker = [E.maker(n, src, tgt) for n in names], E.maker(back, tgt, src)
 
     def run(frames):
         chain, backward = [m() for m in makers], back_maker()
@@ -113,11 +146,15 @@ def _plain(text: str) -> str:
     return html.unescape(re.sub(r"\s+", " ", _TAG.sub(" ", text or ""))).strip()
 
 
-def scored(cands: DataFrame, source: str, candidate: str, back: str, lang: str = "en") -> DataFrame:
+def scored(cands: DataFrame, source: str, candidate: str, back: str, lang: str = "en", lexicon: DataFrame | None = None, tgt: str = "", key: list[str] | None = None) -> DataFrame:
     """cands plus flags and score: how alike source and back-translation are, less the penalties."""
-    flagged = cands.withColumn("flags", flags(F.col(source), F.col(candidate), lang=lang))
+    if lexicon is not None and key:
+        keyed = cands.withColumn("__cand", F.concat_ws("\x1f", *key))
+        found = checked(keyed, lexicon, source, candidate, lang, tgt, "__cand").drop("__cand")
+    else:
+        found = flagged(cands, source, candidate, lang=lang)
     alike = F.coalesce(sequence_ratio(X.lower_words(X.plain_spaced(F.col(source))), X.lower_words(F.col(back))), F.lit(0.0))
-    return flagged.withColumn("score", alike - penalty(F.col("flags"), F.col(source), F.col(candidate)))
+    return found.withColumn("score", alike - penalty(F.col("flags"), F.col(source), F.col(candidate)))
 
 
 def improved(segments: DataFrame, best: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -126,9 +163,32 @@ def improved(segments: DataFrame, best: DataFrame) -> tuple[DataFrame, DataFrame
     joined = segments.join(b, "uid", "left")
     changed = F.col("new").isNotNull() & (F.col("pick") != "current") & (F.col("new") != F.col("translation"))
     log = joined.where(changed).select("uid", X.plain_spaced(F.col("translation")).alias("old"), X.plain_spaced(F.col("new")).alias("new"), "pick")
-    return joined.withColumn("translation", F.when(changed, F.col("new")).otherwise(F.col("translation"))).select(*segments.columns), log
+    out = joined.withColumn("translation", F.when(changed, F.col("new")).otherwise(F.col("translation")))
+    return out.select(*segments.columns), log
 
 
 def quality_stats(checked: DataFrame) -> DataFrame:
     """checked, flagged and replaced over rows with flags and replaced."""
     return checked.agg(F.count("*").alias("checked"), F.count_if(F.size("flags") > 0).alias("flagged"), F.count_if("replaced").alias("replaced"))
+
+
+def improve(segments: DataFrame, engines: list[str], back: str, src: str, tgt: str, lexicon: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A quality pass over a run: segments with better translations where some were flagged, the log of changes, and its figures.
+
+    Flagged segments go through all engines again, each candidate is translated back and
+    scored, and the best one stays.  Segments go by ``uid``, which must be unique.
+    """
+    judged = checked(segments.where("translation is not null and translation <> ''"), lexicon, "source", "translation", src, tgt, "uid")
+    bad = judged.where(F.size("flags") > 0).select("uid", "source", "translation")
+    cands = scored(candidates(bad, engines, back, src, tgt), "source", "text", "back", src, lexicon, tgt, ["uid", "name"])
+    better, log = improved(segments, best_candidate(cands, "uid"))
+    each = segments.select(F.lit("checked").alias("k")).unionByName(bad.select(F.lit("flagged").alias("k"))).unionByName(log.select(F.lit("replaced").alias("k")))
+    stats = each.agg(*[F.count_if(F.col("k") == k).alias(k) for k in ("checked", "flagged", "replaced")])
+    return better, log, stats
+
+
+def cache_update(log: DataFrame, better: DataFrame, engine: str, src: str, tgt: str) -> DataFrame:
+    """Cache rows for what a quality pass replaced, under the first translator's name, so that a run again gives the same."""
+    key = X.cache_key(F.lit(engine), F.lit(None).cast("string"), F.lit("mt"), F.lit(src), F.lit(tgt), F.col("source"))
+    changed = better.join(log.select("uid"), "uid", "left_semi")
+    return changed.select(key.alias("key"), F.lit(engine).alias("engine"), F.lit(None).cast("string").alias("model"), F.lit("mt").alias("stage"), F.lit(src).alias("src"), F.lit(tgt).alias("tgt"), "source", F.col("translation").alias("result"), F.unix_timestamp().cast("double").alias("created"))

@@ -19,6 +19,11 @@ def segments_by_engine(rows: DataFrame) -> DataFrame:
     return rows.groupBy(name.alias("engine")).agg(F.count("*").alias("n"))
 
 
+def failures(calls: DataFrame) -> DataFrame:
+    """Failed attempts by engine and kind of error."""
+    return calls.where(~F.col("ok")).groupBy("engine", "error_class").agg(F.count("*").alias("n"))
+
+
 def first_errors(calls: DataFrame, order: str, kept: int = 50, shown: int = 10) -> DataFrame:
     """The first errors in order: as many as are kept, of which the first are shown."""
     first = calls.where(~F.col("ok")).orderBy(order).limit(kept)
@@ -60,8 +65,8 @@ def missing_links(links: DataFrame, anchors: DataFrame) -> DataFrame:
     return links.join(anchors.select(F.col("file"), F.col("anchor").alias("target")), ["file", "target"], "left_anti")
 
 
-def summary(rows: DataFrame, calls: DataFrame | None = None) -> DataFrame:
-    """One row of figures over segments (source, translation, engine)."""
+def summary(rows: DataFrame) -> DataFrame:
+    """One row of figures over segments (source, translation)."""
     missing = X.untranslated(F.col("translation"))
     return rows.agg(
         F.count("*").alias("segments"),
@@ -70,3 +75,39 @@ def summary(rows: DataFrame, calls: DataFrame | None = None) -> DataFrame:
         F.count_if(missing).alias("untranslated"),
         F.when(F.count_if(missing) == 0, 0).otherwise(2).alias("exit_code"),
     )
+
+
+def run_report(segments: DataFrame, calls: DataFrame, archives: DataFrame, glossary: DataFrame | None, models: dict[str, str], seconds: float, polished: int = 0, quality: DataFrame | None = None, qa: DataFrame | None = None) -> dict:
+    """A run's figures as one dict, ready for JSON; only sums and the first ten errors come to the driver.
+
+    ``segments`` has source, translation, engine and hit; ``archives`` name and how many
+    translations were put in as they were, put in as plain text, or are missing.
+    """
+    total = summary(segments).collect()[0]
+    placed = archives.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("applied", "lenient", "untranslated")], F.array_sort(F.collect_list("name")).alias("names")).collect()[0]
+    by_engine = calls.groupBy("engine").agg(F.count("*").alias("calls"), F.count_if(~F.col("ok")).alias("failures")).collect()
+    errors = calls.where(~F.col("ok")).select(F.concat_ws(": ", "engine", "error_class").alias("e")).limit(10).collect()
+
+    def one(df: DataFrame | None) -> dict | None:
+        return None if df is None else next((r.asDict(recursive=True) for r in df.limit(1).collect()), None)
+
+    return {
+        "output": placed["names"],
+        "quality": one(quality),
+        "qa": one(qa),
+        "seconds": round(seconds, 1),
+        "segments": total["segments"],
+        "chars": total["chars"] or 0,
+        "translated": placed["applied"],
+        "untranslated": placed["untranslated"],
+        "selected_missing": total["untranslated"],
+        "markup_fallbacks": placed["lenient"],
+        "engine_segments": {r["engine"]: r["n"] for r in segments_by_engine(segments.where(~X.untranslated(F.col("translation")))).collect()},
+        "engine_models": {k: v for k, v in models.items() if v},
+        "engine_calls": {r["engine"]: r["calls"] for r in by_engine},
+        "failures": {r["engine"]: r["failures"] for r in by_engine if r["failures"]},
+        "polished_segments": polished,
+        "cache_hits": segments.where("hit").count(),
+        "glossary_size": glossary.count() if glossary is not None else 0,
+        "errors": [r["e"] for r in errors],
+    }

@@ -7,13 +7,14 @@ words and sentences, written out for either dialect.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as X
-from ..operators import cache, glossary, lexicon, packing, quality, report, segments, toc
+from ..operators import cache, engines, glossary, lexicon, packing, quality, report, segments, toc, translate
 from ..sources import pages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -194,13 +195,28 @@ def cache_upsert(spark, sf_dir):
     return cache.upsert(rows.where("result like 'en%'"), rows, "key").select("key", "result", "created")
 
 
-@_query("select doc_id, case when lang = 'en' then 'A ' || text when lang = 'de' then 'B ' || text else text end as translation, case lang when 'en' then 'a' when 'de' then 'b' else 'c' end as engine from documents")
+def _some(prefix: str, every: int) -> engines.Engine:
+    """An engine that gives back texts whose length is a multiple of a number, and no others."""
+    return engines.Engine(prefix.strip() or "rest", lambda texts: [f"{prefix}{t}" if len(t) % every == 0 else None for t in texts], supports_tags=every != 3)
+
+
+engines.register("even", partial(_some, "A ", 2))
+engines.register("third", partial(_some, "B ", 3))
+engines.register("rest", partial(_some, "", 1))
+
+
+@_query(
+    """with t as (select conv_id, turn, coalesce(text, '') as s from conversations)
+select conv_id, turn, case when length(s) % 2 = 0 then 'A ' || s when (length(s) + 2) % 3 = 0 then 'B p ' || s else s end as translation,
+case when length(s) % 2 = 0 then 'A' when (length(s) + 2) % 3 = 0 then 'B' else 'rest' end as engine from t"""
+)
 def fallback_coalesce(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
-    a = F.when(F.col("lang") == "en", F.struct(F.concat(F.lit("A "), "text").alias("t"), F.lit("a").alias("e")))
-    b = F.when(F.col("lang") == "de", F.struct(F.concat(F.lit("B "), "text").alias("t"), F.lit("b").alias("e")))
-    best = docs.select("doc_id", F.coalesce(a, b, F.struct(F.col("text").alias("t"), F.lit("c").alias("e"))).alias("x"))
-    return best.select("doc_id", F.col("x.t").alias("translation"), F.col("x.e").alias("engine"))
+    """Three engines in a chain, the second of which keeps no tags and so is given the plain text."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("source"))
+    rows = rows.select(F.xxhash64("conv_id").alias("doc_index"), F.col("turn").cast("long").alias("seg_no"), "conv_id", "turn", "source", F.concat(F.lit("p "), "source").alias("plain"))
+    batched = packing.greedy_batches(rows, "doc_index", "seg_no", "source", 400, C.MT_BATCH_ITEMS)
+    found = translate.run_batches(batched, ["even", "third", "rest"])
+    return rows.select("conv_id", "turn", "doc_index", "seg_no").join(found, ["doc_index", "seg_no"]).select("conv_id", "turn", F.col("result").alias("translation"), F.col("result_engine").alias("engine"))
 
 
 @_query("select source, count(*) as n, count(*) filter (lang = 'fr') as missing, cast(case when count(*) filter (lang = 'fr') = 0 then 0 else 2 end as int) as exit_code from documents group by source")
@@ -226,20 +242,25 @@ def sentence_counts(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", F.size(X.sentences_any(F.coalesce("text", F.lit("")))).cast("bigint").alias("n"))
 
 
+_EDGES = C.NAME_EDGES.replace("'", "''")
+
+
 @_query(
-    r"""with d as (select doc_id, text, string_split(regexp_replace(coalesce(text, ''), '([.!?"“”])\s+', '\1' || chr(1), 'g'), chr(1)) as s from documents where lang = 'en'),
+    r"""with d as (select doc_id, text, string_split(regexp_replace(coalesce(text, ''), '([.!?"“”])\s+', '\1' || chr(1), 'g'), chr(1)) as s from documents),
 low as (select distinct unnest(regexp_extract_all(coalesce(text, ''), '(\b[a-z][a-z]+\b)', 1)) as w from d),
 e as (select doc_id, unnest(s) as s, unnest(range(len(s))) as s_no from d),
-f as (select doc_id, s_no, regexp_split_to_array(s, '\s+') as ws from e),
+f as (select doc_id, s_no, regexp_extract_all(s, '[^\s\x{00A0}]+') as ws from e),
 g as (select doc_id, s_no, unnest(ws) as w, unnest(range(len(ws))) as w_no from f),
-n as (select regexp_replace(w, '^[\p{P}\p{S}]+|[\p{P}\p{S}]+$', '', 'g') as name, doc_id, s_no, w_no from g where w_no > 0),
+n as (select trim(w, '"""
+    + _EDGES
+    + r"""') as name, doc_id, s_no, w_no from g where w_no > 0),
 c as (select name, count(*) as n, min((doc_id, s_no, w_no)) as first from n where regexp_matches(name, '^[A-Z][a-z]+(?:[A-Z][a-z]+)?$') group by name)
 select name, n from c where n >= 2 and lower(name) not in (select w from low) and name not in ("""
     + ", ".join(f"'{x}'" for x in C.COMMON_CAPITALS)
     + ") order by n desc, first limit 40"
 )
 def detect_names(spark, sf_dir):
-    return glossary.detect_names(_table(spark, sf_dir, "documents").where("lang = 'en'"), "text", "doc_id")
+    return glossary.detect_names(_table(spark, sf_dir, "documents"), "text", "doc_id")
 
 
 @_query("select doc_id, b.text as term from documents d join benchmark b on contains(d.text, b.text) group by all")
@@ -248,9 +269,9 @@ def glossary_in_text(spark, sf_dir):
     return glossary.in_text(terms, _table(spark, sf_dir, "documents").select("doc_id", "text"), "term", "text").select("doc_id", "term").distinct()
 
 
-@_query("select left(text, 12) as term, arg_min(lang || doc_id, doc_id) as target from documents where text is not null group by 1")
+@_query("select text as term, arg_min(lang || doc_id, doc_id) as target from documents where text is not null group by 1")
 def glossary_first_wins(spark, sf_dir):
-    rows = _table(spark, sf_dir, "documents").where("text is not null").select(F.substring("text", 1, 12).alias("term"), F.concat("lang", "doc_id").alias("target"), "doc_id")
+    rows = _table(spark, sf_dir, "documents").where("text is not null").select(F.col("text").alias("term"), F.concat("lang", "doc_id").alias("target"), "doc_id")
     return glossary.first_wins(rows, "term", "target", "doc_id")
 
 
@@ -363,7 +384,7 @@ def retry_waits(spark, sf_dir):
 
 _FLAGGED = r"""
 with p as (select a.doc_id, regexp_replace(trim(regexp_replace(coalesce(a.text, ''), '[\s\x{00A0}]+', ' ', 'g')), '</?g\d+>|<x\d+/>', ' ', 'g') as s,
-      trim(regexp_replace(coalesce(b.text, ''), '[\s\x{00A0}]+', ' ', 'g')) as t from documents a join documents b on b.doc_id = a.doc_id + 1),
+      trim(regexp_replace(coalesce(b.text, ''), '[\s\x{00A0}]+', ' ', 'g')) as t from documents a left join documents b on b.doc_id = a.doc_id + 1),
 w as (select *, regexp_extract_all(lower(t), '(\p{L}+)', 1) as tw, len(list_filter(regexp_extract_all(t, '([\p{L}\p{N}_]+)', 1), lambda x: x in ('It', 'a', 'an', 'is', 'to', 'in', 'of', 'by', 'as', 'or'))) as strays from p),
 f as (select doc_id, length(s) >= 25 as long, length(t) / greatest(1, length(s)) as ratio, s = t as same, strays >= 2 as stray,
       len(list_filter(range(1, len(tw) - 1), lambda i: tw[i] = tw[i + 1] and tw[i] = tw[i + 2])) > 0 as rep from w)
@@ -374,7 +395,7 @@ f as (select doc_id, length(s) >= 25 as long, length(t) / greatest(1, length(s))
 def quality_flags(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("target"))
-    return docs.join(after, "doc_id").select("doc_id", F.array_join(quality.flags(F.col("text"), F.col("target")), ",").alias("flags"))
+    return quality.flagged(docs.join(after, "doc_id", "left"), "text", "target").select("doc_id", F.array_join("flags", ",").alias("flags"))
 
 
 @_query(
@@ -396,7 +417,7 @@ when regexp_matches({first}, '^[A-Z]$') then false
 when s < 3.2 or (t >= 3.8 and s - t < 1.5) then false else s - t >= 0.8 end"""
 
 
-_TOKENS = _WORDS + r""", addr as (select doc_id, regexp_replace(coalesce(text, ''), 'https?://\S+|www\.\S+|\S+@\S+|\b[\w-]+(?:\.[\w-]+)*\.(?:com|org|net|edu|gov|io)\b\S*', ' ', 'g') as x from documents where lang = 'de'),
+_TOKENS = _WORDS + r""", addr as (select doc_id, regexp_replace(coalesce(text, ''), 'https?://\S+|www\.\S+|\S+@\S+|\b[\w-]+(?:\.[\w-]+)*\.(?:com|org|net|edu|gov|io)\b\S*', ' ', 'g') as x from documents),
 tok as (select doc_id, unnest(ws) as raw, unnest(range(len(ws))) as pos from (select doc_id, regexp_extract_all(x, '(\p{L}+(?:[''’]\p{L}+)?)', 1) as ws from addr)),
 k as (select doc_id, cast(pos as int) as pos, regexp_replace(raw, '[''’].*$', '') as word from tok),
 j as (select k.*, coalesce(a.zipf, 0.0) as s, coalesce(b.zipf, 0.0) as t from k left join z a on a.lang = 'en' and a.word = lower(k.word) left join z b on b.lang = 'de' and b.word = lower(k.word)),
@@ -406,7 +427,7 @@ good as (select doc_id, pos, word, """ + _source_word_sql("word") + " as leftove
 def _leftovers(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     known = lexicon.zipf_lexicon(docs)
-    tokens = lexicon.leftover_tokens(docs.where("lang = 'de'"), "text", "doc_id")
+    tokens = lexicon.leftover_tokens(docs, "text", "doc_id")
     found = lexicon.with_frequencies(tokens, known, "en", "de")
     return found.withColumn("leftover", lexicon.is_source_word(F.col("word"), F.col("s"), F.col("t"), "en", "de"))
 
@@ -431,8 +452,12 @@ def source_words(spark, sf_dir):
 
 @_query(
     _WORDS
-    + r""", t as (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '(\p{L}+)', 1)) as word from documents)
-select doc_id, round(avg(cast(coalesce(b.zipf, 0.0) >= coalesce(a.zipf, 0.0) as double)), 6) as share from t left join z a on a.lang = 'en' and a.word = t.word left join z b on b.lang = 'de' and b.word = t.word group by doc_id"""
+    + r""", t as (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '(\p{L}+)', 1)) as word from documents),
+j as (select t.*, coalesce(a.zipf, 0.0) as s, coalesce(b.zipf, 0.0) as t from t left join z a on a.lang = 'en' and a.word = lower(t.word) left join z b on b.lang = 'de' and b.word = lower(t.word)),
+v as (select doc_id, regexp_matches(word, '^\p{Lu}') or length(word) <= 2 or (t >= 2.5 and not """
+    + _source_word_sql("word")
+    + r""") as fine from j)
+select d.doc_id, round(coalesce(avg(fine::int), 1.0), 6) as share from documents d left join v using (doc_id) group by d.doc_id"""
 )
 def target_share(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
@@ -466,3 +491,56 @@ def byte_chunks(spark, sf_dir):
     """Pieces of at most 500 bytes; a test compares them with a plain version."""
     chunks = packing.byte_chunks(F.coalesce("text", F.lit("")), 500)
     return _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunks).alias("pos", "piece"))
+
+
+# --- plain texts, sentences, placeholders, failures, summaries -------------------------------------------------------
+
+
+_SPACED = r"trim(regexp_replace(coalesce(text, '') || ' end', '[\s\x{00A0}]+', ' ', 'g'))"
+
+
+@_query(f"select doc_id, {_plain_sql(_SPACED)} as plain from documents")
+def segments_plain(spark, sf_dir):
+    source = F.concat(F.lit("<g1>"), F.coalesce("text", F.lit("")), F.lit("</g1><x2/>end"))
+    return _table(spark, sf_dir, "documents").select("doc_id", X.plain_placeholders(source).alias("plain"))
+
+
+@_query(
+    r"""with s as (select doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?;:])\s+(["“‘''(A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)) as x from documents),
+e as (select doc_id, list_filter(x, lambda y: trim(y) <> '') as x from s)
+select doc_id, cast(unnest(range(len(x))) as int) as pos, unnest(x) as sentence from e"""
+)
+def sentence_split(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.sentences(F.coalesce("text", F.lit("")))).alias("pos", "sentence"))
+
+
+@_query(
+    r"""with a as (select conv_id, turn, regexp_replace(regexp_extract(coalesce(text, ''), '^\s*(\S+)', 1), '^[\s\-*•"'']+|[\s\-*•"'']+$', '', 'g') as term, role || turn as target from conversations)
+select term, arg_min(target, (conv_id, turn)) as target from a where term <> '' and length(term) < 60 and length(target) < 80 group by term"""
+)
+def glossary_accept(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("chunk"), F.concat("role", "turn").alias("target"))
+    answer = F.concat(F.lit("<glossary>\n"), F.regexp_extract("chunk", r"^\s*(\S+)", 1), F.lit(" => "), F.col("target"), F.lit("\n</glossary>"))
+    return glossary.accepted(rows.withColumn("answer", answer), "chunk", "answer", "conv_id", "turn")
+
+
+@_query("select conv_id, turn, turn % 4 in (0, 3) as valid from conversations")
+def placeholder_valid(spark, sf_dir):
+    """Every fourth text keeps its placeholders, one lost one, one is not nested, one has them elsewhere."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), "[<>]", "")
+    source = F.concat(F.lit("<g1>"), text, F.lit("</g1><x2/>"))
+    kept, lost = source, F.concat(F.lit("<g1>"), text, F.lit("</g1>"))
+    crossed, moved = F.concat(F.lit("</g1>"), text, F.lit("<g1><x2/>")), F.concat(F.lit("< X2 / >"), text, F.lit("<g 1>a</g1>"))
+    target = F.when(F.col("turn") % 4 == 0, kept).when(F.col("turn") % 4 == 1, lost).when(F.col("turn") % 4 == 2, crossed).otherwise(moved)
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", quality.placeholders_kept(source, target).alias("valid"))
+
+
+@_query("select user_id as engine, 'RateLimited' as error_class, count(*) as n from events where event_type = 'error' group by user_id")
+def engine_failures(spark, sf_dir):
+    return report.failures(_calls(spark, sf_dir))
+
+
+@_query("""select '{"segments":' || count(*) || ',"chars":' || cast(sum(length(text)) as bigint) || ',"translated":' || count(*) filter (lang <> 'fr') || ',"untranslated":' || count(*) filter (lang = 'fr') || ',"exit_code":' || case when count(*) filter (lang = 'fr') = 0 then 0 else 2 end || '}' as summary from documents""")
+def summary_json(spark, sf_dir):
+    found = run_summary(spark, sf_dir)
+    return found.select(F.to_json(F.struct(*found.columns)).alias("summary"))
