@@ -10,9 +10,10 @@ templates marked exact the key phrase is the whole template, so nothing else tha
 its places pass, and none is missed: each place has the rarest word in it.
 
 All is done within a document's row: no shuffle but the one that sums document
-counts of the templates' few hundred words.  Null and empty texts have no words.
-Rows are judged one by one, so repeated rows and ids do not matter; an empty table
-gives an empty result.
+counts of the templates' few hundred words.  Null and empty texts have no words; texts
+of any length are scanned whole.  Rows are judged one by one, so repeated rows, ids and
+rows without an id do not matter; labels that tie are all given, sorted.  Only doc_id and
+text are read, so other columns may have any names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,24 +36,36 @@ class Template:
     exact: bool = False
 
 
-#: Phrases and labels of the base result, then opening words of well-known licenses.
+#: Phrases and labels of the base result, then words of well-known licenses' notices.
 BASE = (
     Template("mit", "under the mit license", "under the mit license", True),
     Template("apache-2", "apache license version 2", "apache license version 2", True),
     Template("cc-by-nc", "cc by nc", "cc by nc", True),
 )
 FURTHER = (
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
-    Template("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", "apache org licenses license 2 0"),
+    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "any person obtaining a copy of this software and associated documentation files"),
+    Template("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "any person or organization obtaining a copy of the software"),
+    Template("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "you may not use this file except in compliance with the license"),
+    Template("apache-2", "you may obtain a copy of the license at http www apache org licenses license 2 0", "apache org licenses license 2 0"),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
-    Template("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gnu general public license"),
-    Template("lgpl", "under the terms of the gnu lesser general public license", "gnu lesser general public license"),
-    Template("agpl", "under the terms of the gnu affero general public license", "gnu affero general public license"),
+    Template("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "used to endorse or promote products derived from this software"),
+    Template("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "gnu general public license"),
+    Template("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
+    Template("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", "gnu affero general public license"),
     Template("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2 0"),
+    Template("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", "eclipse public license"),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and or distribute this software"),
+    Template("zlib", "in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable"),
+    Template("artistic-2", "you may distribute it under the terms of the artistic license 2 0", "artistic license 2 0"),
     Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software released into the public domain"),
+    Template("wtfpl", "do what the fuck you want to public license", "what the fuck you want to public license"),
+    Template("ofl-1", "this font software is licensed under the sil open font license version 1 1", "sil open font license"),
+    Template("cc-by", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0 international"),
+    Template("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike"),
     Template("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
+    Template("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial"),
     Template("cc0", "cc0 1 0 universal public domain dedication", "cc0 1 0"),
+    Template("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
     Template("proprietary", "all rights reserved no part of this publication may be reproduced", "all rights reserved"),
 )
 #: Indexed words of a template, and the share of their IDF that must stand in place.
