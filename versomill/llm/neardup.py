@@ -33,7 +33,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as T
@@ -215,27 +215,38 @@ def _rare_shingles(sets: DataFrame) -> DataFrame:
     return written(every.join(few, "h"), "rare")
 
 
-def _open_pairs(bands: DataFrame, labels: DataFrame, vertices: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pairs of one bucket and two components: as rows from small buckets, as rows that passed the likelihood from large ones; and all members' sets.
+def _open_pairs(bands: DataFrame, labels: DataFrame, vertices: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame | None, DataFrame] | None:
+    """Pairs of one bucket and two components, and all members' sets; None if no bucket has two.
 
-    In large buckets, pairs that share a rare shingle are found by it.  All others'
-    intersections hold common shingles only, so the smaller count of these bounds
-    them; that excludes most pairs of a group of copies that were each changed in
-    their own way.
+    Pairs come as rows, and those of large buckets' blocks, which have passed the
+    likelihood, apart; None where there are no large buckets.
     """
-    marked = bands.join(labels, "v", "left").select("band", "key", "v", "n", F.coalesce("label", "v").alias("c"))
+    marked = written(bands.join(labels, "v", "left").select("band", "key", "v", "n", F.coalesce("label", "v").alias("c")), "marked")
     state = marked.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m"))
-    marked = written(marked, "marked")
-    state = written(state.where("low <> high"), "open")
-    members = written(marked.join(state.select("key", "m"), "key"), "open-members")
+    state = written(state.where("low <> high").select("key", "m"), "open")
+    if state.isEmpty():
+        return None
+    members = written(marked.join(state, "key"), "open-members")
     sets = _sets_of(members, docs, vertices, k)
 
     small = members.where(F.col("m") <= SMALL_BUCKET)
     other = small.select("key", F.col("v").alias("v2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
     alike = (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (F.col("c") != F.col("c2"))
     rows = small.join(other, "key").where(alike & (F.col("v") < F.col("v2"))).select(F.col("v").alias("a"), F.col("v2").alias("b")).distinct()
-
     large = members.where(F.col("m") > SMALL_BUCKET)
+    if large.isEmpty():
+        return rows, None, sets
+    by_shingle, passed = _large_pairs(large, vertices, sets, alike, percent)
+    return rows.unionByName(by_shingle).distinct(), passed, sets
+
+
+def _large_pairs(large: DataFrame, vertices: DataFrame, sets: DataFrame, alike: Column, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of large buckets: those that share a rare shingle, and those of blocks that passed the likelihood.
+
+    The intersections of all pairs without a rare shingle hold common ones only, so the
+    smaller count of these bounds them; that excludes most pairs of a group of copies that
+    were each changed in their own way.
+    """
     main = large.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "c"))["c"].alias("main"))
     large = written(large.join(written(main, "main"), "key"), "large")
     rare = _rare_shingles(sets.join(large.select("v").distinct(), "v", "left_semi"))
@@ -245,7 +256,6 @@ def _open_pairs(bands: DataFrame, labels: DataFrame, vertices: DataFrame, docs:
     left = rare_of.join(minors, "v", "left_semi").select("h", "v", "n", "c")
     right = rare_of.select("h", F.col("v").alias("v2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
     by_shingle = left.join(right, "h").where(alike).select(F.least("v", "v2").alias("a"), F.greatest("v", "v2").alias("b")).distinct()
-    rows = rows.unionByName(by_shingle).distinct()
 
     counts = written(rare.groupBy("v").agg(F.count("*").alias("rare")), "rare-counts")
     large = large.join(counts, "v", "left").withColumn("shared", F.col("n") - F.coalesce("rare", F.lit(0)))
@@ -283,7 +293,7 @@ def _open_pairs(bands: DataFrame, labels: DataFrame, vertices: DataFrame, docs:
         return pa.table({"a": cat[0], "b": cat[1]})
 
     passed = minor.groupBy("key", "i", "j").cogroup(whole.groupBy("key", "i", "j")).applyInArrow(run, "a long, b long")
-    return rows, passed.distinct(), sets
+    return by_shingle, passed.distinct()
 
 
 def classes(docs: DataFrame, k: int = 5, percent: int = 80, with_key: bool = False) -> DataFrame:
@@ -312,9 +322,11 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, with_key: bool = Fal
         links = written(_verified(candidates, _sets_of(_ends(candidates), docs, vertices, k), percent), "links")
         labels = components(links)
 
-        if not bands.isEmpty():
-            rows, passed, sets = _open_pairs(bands.select("band", "key", "v", "n"), labels, vertices, docs, k, percent)
-            further = written(_filtered(written(rows, "rows"), vertices, least).unionByName(passed).distinct(), "further")
+        found = _open_pairs(bands.select("band", "key", "v", "n"), labels, vertices, docs, k, percent)
+        if found is not None:
+            rows, passed, sets = found
+            further = _filtered(written(rows, "rows"), vertices, least)
+            further = written(further if passed is None else further.unionByName(passed).distinct(), "further")
             if not further.isEmpty():
                 more = written(_verified(further, sets, percent), "more-links")
                 if not more.isEmpty():
