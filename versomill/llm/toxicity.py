@@ -40,7 +40,7 @@ GRAMS, BITS, DIM = (4, 5, 6, 7), 18, 16
 LEAST = 8
 #: Labelled rows that the model is fitted on at most, distinct n-grams of all of them together at most (documented
 #: bounds: 4 bytes and 2 more each on the driver), and passes over them.
-SAMPLE, ENTRIES, EPOCHS = 4000, 24_000_000, 40
+SAMPLE, ENTRIES, EPOCHS = 4000, 16_000_000, 40
 
 _rng = np.random.default_rng(99)
 _CHAR = _rng.integers(1, 2**31, 256, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -133,10 +133,11 @@ class Model:
 
 
 class _Rows:
-    """A sparse matrix of texts by n-grams, gone through in blocks so that temporary arrays stay small."""
+    """Texts' n-grams, as counts over a text's number, gone through in blocks so that temporary arrays stay small."""
 
-    def __init__(self, column: np.ndarray, value: np.ndarray, ends: np.ndarray, width: int, block: int = 1 << 21):
-        self.column, self.value, self.width, self.n = column, value, width, len(ends)
+    def __init__(self, column: np.ndarray, count: np.ndarray, ends: np.ndarray, total: np.ndarray, width: int, block: int = 1 << 20):
+        self.column, self.count, self.ends, self.width, self.n = column, count, ends, width, len(ends)
+        self.share = 1 / np.maximum(total, 1)
         starts = np.r_[0, ends[:-1]].astype(np.int64)
         self.blocks, i = [], 0
         while i < self.n:
@@ -145,19 +146,27 @@ class _Rows:
             i = j
 
     def times(self, x: np.ndarray) -> np.ndarray:
-        """Each text's sum of values times x of its columns."""
+        """Each text's mean of x over its n-grams."""
         out = np.zeros(self.n)
         for rows, at, lengths in self.blocks:
-            out[rows] = np.bincount(np.repeat(np.arange(len(lengths)), lengths), x[self.column[at]] * self.value[at], len(lengths))
-        return out
+            out[rows] = np.bincount(np.repeat(np.arange(len(lengths)), lengths), x[self.column[at]] * self.count[at], len(lengths))
+        return out * self.share
 
-    def turned(self, y: np.ndarray) -> np.ndarray:
-        """Each column's sum of values times y of its texts."""
+    def turned(self, y: np.ndarray, power: int = 1) -> np.ndarray:
+        """Each n-gram's sum over texts of y times its share of them, to a power."""
         out = np.zeros(self.width)
+        y = y * self.share**power
         for rows, at, lengths in self.blocks:
-            out += np.bincount(self.column[at], np.repeat(y[rows].astype(np.float32), lengths) * self.value[at], self.width)
+            out += np.bincount(self.column[at], np.repeat(y[rows], lengths) * self.count[at].astype(np.float64) ** power, self.width)
         return out
 
+    def only(self, kept: np.ndarray) -> _Rows:
+        """The same without n-grams that are not kept."""
+        mine = kept[self.column]
+        number = (np.cumsum(kept) - 1).astype(np.int32)
+        ends = np.r_[0, np.cumsum(mine)][self.ends]
+        return _Rows(number[self.column[mine]], self.count[mine], ends, 1 / self.share, int(kept.sum()))
+
 
 def _descend(rows: _Rows, weight: np.ndarray, y: np.ndarray, params: list[np.ndarray], epochs: int, rate: float, sparse: float) -> list[np.ndarray]:
     """Gradient descent with momentum on embeddings, softmax and bias, over all texts at once.
@@ -167,27 +176,28 @@ def _descend(rows: _Rows, weight: np.ndarray, y: np.ndarray, params: list[np.nda
     embeddings' gradient lies along it.  ``sparse`` is a penalty on the length of each
     embedding: one that explains less than that is set to nought after each step.
     """
+    emb, out, bias = params
     speed = [np.zeros_like(x) for x in params]
     for _ in range(epochs):
-        emb, out, bias = params
         along = out[:, 1] - out[:, 0]
         p = 1 / (1 + np.exp(-np.clip(rows.times((emb @ along) * weight) + bias[1] - bias[0], -60, 60)))
         error = (p - y) / rows.n
-        pull = rows.turned(error) * weight  # one number an n-gram
+        pull = (rows.turned(error) * weight).astype(np.float32)  # one number an n-gram
         mean = emb.T @ pull  # the texts' means, weighed by their errors
-        speed[0] = 0.8 * speed[0] - rate * np.outer(pull, along).astype(np.float32)
-        emb = emb + speed[0]
+        speed[0] *= 0.8
+        speed[0] -= np.outer(np.float32(rate) * pull, along)
+        emb += speed[0]
         if sparse:
-            length = np.sqrt((emb**2).sum(1, keepdims=True))
-            emb = emb * np.maximum(0, 1 - rate * sparse / np.maximum(length, 1e-12))
+            length = np.sqrt(np.einsum("ij,ij->i", emb, emb))
+            emb *= np.maximum(0, 1 - rate * sparse / np.maximum(length, 1e-12)).astype(np.float32)[:, None]
         speed[1] = 0.8 * speed[1] - 0.1 * (np.column_stack([-mean, mean]) + 1e-4 * out)
         speed[2] = 0.8 * speed[2] - 0.1 * np.array([-error.sum(), error.sum()])
-        params = [emb, (out + speed[1]).astype(np.float32), bias + speed[2]]
-    return params
+        out, bias = (out + speed[1]).astype(np.float32), bias + speed[2]
+    return [emb, out, bias]
 
 
 def train(buckets: list[np.ndarray], counts: list[np.ndarray], total: np.ndarray, label: np.ndarray, least: int = LEAST, epochs: int = EPOCHS, rate: float = 60.0, sparse: float = 0.2, dim: int = DIM, seed: int = 5) -> Model:
-    """Embeddings and softmax trained together on texts as bags.
+    """Embeddings and softmax trained together on texts as bags, which are given up on the way.
 
     Each n-gram's share of a text is divided by its root mean square over the texts,
     so that rare and common ones count alike.  A first descent with a penalty on
@@ -206,28 +216,27 @@ def train(buckets: list[np.ndarray], counts: list[np.ndarray], total: np.ndarray
     used = np.flatnonzero(place >= 0)
     if not len(used):
         return Model(np.zeros(size, np.float32), prior)
-    keep = [place[b] >= 0 for b in buckets]
-    ends = np.cumsum([int(k.sum()) for k in keep])
-    column = np.concatenate([place[b[k]] for b, k in zip(buckets, keep, strict=True)])
-    value = np.concatenate([c[k] / max(t, 1) for c, k, t in zip(counts, keep, total.tolist(), strict=True)]).astype(np.float32)
-    rms = np.sqrt(np.bincount(column, value.astype(np.float64) ** 2, len(used)) / n)
+    ends = np.cumsum([int((place[b] >= 0).sum()) for b in buckets])
+    column, count = np.empty(ends[-1], np.int32), np.empty(ends[-1], np.uint16)
+    for k, at in enumerate(np.r_[0, ends[:-1]].tolist()):
+        own = place[buckets[k]]
+        column[at : ends[k]], count[at : ends[k]] = own[own >= 0], counts[k][own >= 0]
+        buckets[k] = counts[k] = None
+    rows = _Rows(column, count, ends, total, len(used))
     unit = 1 / np.sqrt(len(used))
-    weight = (unit / rms).astype(np.float32)
+    weight = (unit / np.sqrt(rows.turned(np.ones(n), 2) / n)).astype(np.float32)
     # directions at random, scaled so that the width does not change the steps along the difference
     rng = np.random.default_rng(seed)
     out = rng.standard_normal((dim, 2)).astype(np.float32)
     out *= 1.0 / max(float(np.linalg.norm(out[:, 1] - out[:, 0])), 1e-9)
     y = toxic.astype(np.float64)
     params = [np.zeros((len(used), dim), np.float32), out, np.array([-prior / 2, prior / 2])]
-    params = _descend(_Rows(column, value, ends, len(used)), weight, y, params, epochs, rate, sparse * unit)
+    params = _descend(rows, weight, y, params, epochs, rate, sparse * unit)
     active = (params[0] != 0).any(1)
-    mine = active[column]
-    text_of = np.repeat(np.arange(n), np.diff(np.r_[0, ends]))[mine]
-    column, value = (np.cumsum(active) - 1).astype(np.int32)[column[mine]], value[mine]
+    rows = rows.only(active)
     used, weight, params[0] = used[active], weight[active], params[0][active]
     if len(used):
-        ends = np.cumsum(np.bincount(text_of, minlength=n))
-        params = _descend(_Rows(column, value, ends, len(used)), weight, y, params, 20 * epochs, 4 * rate, 0.0)
+        params = _descend(rows, weight, y, params, 20 * epochs, 4 * rate, 0.0)
     emb, out, bias = params
     emb = emb * weight[:, None]
     folded = np.zeros(size, np.float32)
@@ -259,12 +268,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: Column |
             h, last, _ = sizes[max(int(np.searchsorted(at, entries, "right")) - 1, 0)]
             bags = bags.where((F.xxhash64("doc_id") < h) | ((F.xxhash64("doc_id") == h) & (F.col("doc_id") <= last)))
         ids, label, total, buckets, counts = [], [], [], [], []
-        for b in bags.select("doc_id", "label", "total", "buckets", "counts").toArrow().to_batches():
-            ids += b.column(0).to_pylist()
-            label += b.column(1).to_pylist()
-            total += b.column(2).to_pylist()
-            buckets += [np.frombuffer(x.as_buffer(), np.int32) for x in b.column(3)]
-            counts += [np.frombuffer(x.as_buffer(), np.uint16) for x in b.column(4)]
+        for r in bags.select("doc_id", "label", "total", "buckets", "counts").toLocalIterator():  # a partition at a time
+            ids.append(r[0])
+            label.append(r[1])
+            total.append(r[2])
+            buckets.append(np.frombuffer(r[3], np.int32))
+            counts.append(np.frombuffer(r[4], np.uint16))
     order = sorted(range(len(ids)), key=ids.__getitem__)  # the rows' order must not matter
     return train([buckets[k] for k in order], [counts[k] for k in order], np.array([total[k] for k in order], np.int64), np.array([label[k] for k in order], np.int64))
 
