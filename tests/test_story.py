@@ -417,8 +417,12 @@ def test_books_by_a_language_model(spark, tmp_path):
     rows = run["cache"].collect()
     assert {x["stage"] for x in rows} == {"llm"}
     kept = spark.createDataFrame(rows, cache.SCHEMA)
-    again = book.translate_books(spark, f"{tmp_path}/book.epub", ["teller"], "en", "tr", kept, pause=False, lexicon=lex, folder=f"{tmp_path}/again")
-    assert again["report"]["cache_hits"] == 2 and again["report"]["engine_calls"] == {}
+    path = f"{tmp_path}/glossary"
+    cache.write(cache.merged_glossary(cache.read_glossary(spark, path), run["glossary"]), path)
+    known = cache.read_glossary(spark, path)
+    assert cache.read_glossary(spark, path, known.collect()[0]["book"]).count() == 1 and cache.read_glossary(spark, path, "other").count() == 0
+    again = book.translate_books(spark, f"{tmp_path}/book.epub", ["teller"], "en", "tr", kept, pause=False, lexicon=lex, glossary=known, folder=f"{tmp_path}/again")
+    assert again["report"]["cache_hits"] == 2 and again["report"]["engine_calls"] == {} and again["report"]["glossary_size"] == 1
 
 
 def test_better_and_checked_books(spark, tmp_path):

@@ -54,6 +54,11 @@ def plain_spaced(c: Column) -> Column:
     return F.trim(unescape_known(collapse(F.regexp_replace(F.coalesce(c, F.lit("")), r"</?g\d+>|<x\d+/>", " "))))
 
 
+def has_markup(c: Column) -> Column:
+    """Whether an encoded text has placeholders."""
+    return c.rlike(r"</?g\d+>|<x\d+/>")
+
+
 def local_name(c: Column) -> Column:
     return F.lower(F.substring_index(c, "}", -1))
 

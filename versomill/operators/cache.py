@@ -60,6 +60,17 @@ def read(spark: SparkSession, path: str | None, schema: str = SCHEMA) -> DataFra
         return spark.createDataFrame([], schema)
 
 
+def read_glossary(spark: SparkSession, path: str | None, book: str | None = None) -> DataFrame:
+    """What earlier runs learned, of all books or of one."""
+    rows = read(spark, path, GLOSSARY_SCHEMA)
+    return rows if book is None else rows.where(F.col("book") == book)
+
+
+def merged_glossary(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Both, of each book's term the new target: what a run writes for the next one."""
+    return upsert(old.select("book", "term", "target"), new.select("book", "term", "target"), "book", "term")
+
+
 def write(cache: DataFrame, path: str) -> None:
     """Files by engine and stage would prune later reads; one writer a run replaces a version as a whole."""
     cache.write.mode("errorifexists").parquet(path)

@@ -94,7 +94,7 @@ def checked(rows: DataFrame, lexicon: DataFrame | None, source: str, target: str
 def penalty(found: Column, source: Column, candidate: Column) -> Column:
     tags = r"</?g\d+>|<x\d+/>"
     others = F.size(F.filter(found, lambda f: ~f.isin("leftover", "same")))
-    broken = source.rlike(tags) & (F.regexp_count(source, F.lit(tags)) != F.regexp_count(candidate, F.lit(tags)))
+    broken = X.has_markup(source) & (F.regexp_count(source, F.lit(tags)) != F.regexp_count(candidate, F.lit(tags)))
     return 0.15 * others + F.when(F.array_contains(found, "leftover"), 0.5).otherwise(0.0) + F.when(F.array_contains(found, "same"), 0.3).otherwise(0.0) + F.when(broken, 0.3).otherwise(0.0)
 
 

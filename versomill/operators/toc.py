@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
+from ..functions import text as X
 
 
 def harmonised(labels: DataFrame, headings: DataFrame, *keys: str) -> DataFrame:
@@ -19,7 +20,7 @@ def harmonised(labels: DataFrame, headings: DataFrame, *keys: str) -> DataFrame:
     bare = F.regexp_replace("__heading", r"</?g\d+>|<x\d+/>", "")
     number, inner = F.regexp_extract("source", C.OUTER_ELEMENT, 1), F.regexp_extract("source", C.OUTER_ELEMENT, 2)
     single = F.col("source").rlike(C.OUTER_ELEMENT) & ~inner.contains("<")
-    tagged = F.col("source").rlike(r"</?g\d+>|<x\d+/>")
+    tagged = X.has_markup(F.col("source"))
     new = F.when(F.col("__heading").isNull(), F.col("translation")).when(single, F.concat(F.lit("<g"), number, F.lit(">"), bare, F.lit("</g"), number, F.lit(">"))).when(~tagged, bare).otherwise(F.col("translation"))
     return joined.withColumn("translation", new).drop("__norm", "__heading")
 
