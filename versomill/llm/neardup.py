@@ -12,8 +12,8 @@ the more often the more alike they are, so runs of registers serve as bands.
    with its centre, the one with most copies; pairs are kept unless the likelihood
    of their registers speaks against the threshold, and verified on the full sets.
 3. Buckets whose vertices are not all connected by then are gone through pair by
-   pair: by the rare shingles they share, and in blocks where the common ones would
-   do; what the likelihood does not exclude is verified too.  So a bucket loses no
+   pair: by the rare shingles they share, and, where the common ones would do, in
+   blocks of sets, side by side and without a row for each pair.  So a bucket loses no
    link, and a large group of copies does not have all its pairs gone through.
 4. Components over all links give each document its class.
 
@@ -44,8 +44,8 @@ REGISTERS, BAND = 160, 5
 BASE, RATE, TOP = 1.02, 20.0, 65535
 #: The likelihood of the best similarity at or above the threshold may lie this far (in log units) below the best at all: more than 6 standard deviations.
 SURE = 20.0
-#: Members of a bucket up to which its pairs are joined as rows; larger ones go by blocks of BLOCK members.
-SMALL_BUCKET, BLOCK = 16, 512
+#: Members of a bucket up to which its pairs are joined as rows; larger ones go by blocks of about BLOCK members and BLOCK_BYTES of sets.
+SMALL_BUCKET, BLOCK, BLOCK_BYTES = 16, 512, 16 << 20
 #: Sets that a rare shingle is found in at most.
 RARE = 16
 #: Ids that are broadcast at most, 8 bytes each and 8 more for a text's key; more are joined by a shuffle.
@@ -218,8 +218,8 @@ def _rare_shingles(sets: DataFrame) -> DataFrame:
 def _open_pairs(bands: DataFrame, labels: DataFrame, vertices: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame | None, DataFrame] | None:
     """Pairs of one bucket and two components, and all members' sets; None if no bucket has two.
 
-    Pairs come as rows, and those of large buckets' blocks, which have passed the
-    likelihood, apart; None where there are no large buckets.
+    Pairs come as rows, and those of large buckets' blocks, which are verified by then,
+    apart; None where there are no large buckets.
     """
     marked = written(bands.join(labels, "v", "left").select("band", "key", "v", "n", F.coalesce("label", "v").alias("c")), "marked")
     state = marked.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m"))
@@ -236,12 +236,12 @@ def _open_pairs(bands: DataFrame, labels: DataFrame, vertices: DataFrame, docs:
     large = members.where(F.col("m") > SMALL_BUCKET)
     if large.isEmpty():
         return rows, None, sets
-    by_shingle, passed = _large_pairs(large, vertices, sets, alike, percent)
-    return rows.unionByName(by_shingle).distinct(), passed, sets
+    by_shingle, linked = _large_pairs(large, vertices, sets, alike, percent)
+    return rows.unionByName(by_shingle).distinct(), linked, sets
 
 
 def _large_pairs(large: DataFrame, vertices: DataFrame, sets: DataFrame, alike: Column, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of large buckets: those that share a rare shingle, and those of blocks that passed the likelihood.
+    """Pairs of large buckets: those that share a rare shingle, as candidates, and links found in blocks on full sets.
 
     The intersections of all pairs without a rare shingle hold common ones only, so the
     smaller count of these bounds them; that excludes most pairs of a group of copies that
@@ -262,13 +262,13 @@ def _large_pairs(large: DataFrame, vertices: DataFrame, sets: DataFrame, alike:
     # a vertex with too few common shingles has no partner but by a rare one
     large = written(large.where(100 * F.col("shared") >= percent * F.col("n")).select("band", "key", "v", "n", "c", "m", "main", "shared"), "large-shared")
 
-    # the members outside of the largest component against all
-    large = written(large.join(vertices.select("v", "regs"), "v"), "large-regs")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    large = large.withColumn("own", F.pmod(F.xxhash64("v", F.lit(5)), blocks).cast("int"))
-    minor = large.where(F.col("c") != F.col("main")).select("key", F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"), "band", "v", "n", "c", "shared", "regs")
+    # the members outside of the largest component against all, in blocks that are bounded in members and bytes
+    large = written(large.join(vertices.select("v", "regs"), "v").join(sets, "v"), "large-sets")
+    per_key = written(large.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks")), "blocks")
+    large = large.join(per_key, "key").withColumn("own", F.pmod(F.xxhash64("v", F.lit(5)), F.col("blocks")).cast("int"))
+    minor = large.where(F.col("c") != F.col("main")).select("key", F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "band", "v", "n", "c", "shared", "regs", "hashes")
     # a block of minor members only exists where such members hash to it
-    whole = large.join(minor.select("key", "i").distinct(), "key").select(*[F.col(x).alias(y) for x, y in (("key", "key"), ("i", "i"), ("own", "j"), ("v", "v"), ("n", "n"), ("c", "c"), ("shared", "shared"), ("regs", "regs"))])
+    whole = large.join(minor.select("key", "i").distinct(), "key").select("key", "i", F.col("own").alias("j"), "v", "n", "c", "shared", "regs", "hashes")
     least = percent / 100
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -278,6 +278,10 @@ def _large_pairs(large: DataFrame, vertices: DataFrame, sets: DataFrame, alike:
             rv, rn, rc, rs = (right.column(x).to_numpy() for x in ("v", "n", "c", "shared"))
             lr, rr = _regs(left.column("regs")), _regs(right.column("regs"))
             band = left.column("band")[0].as_py()
+            # the right sets as places in their union, one behind the other
+            union, place = np.unique(np.frombuffer(b"".join(right.column("hashes").to_pylist()), np.uint64), return_inverse=True)
+            heads = np.r_[0, np.cumsum(rn)[:-1]]
+            has = np.zeros(len(union), np.int32)
             for k in range(len(lv)):
                 both = np.minimum(rs, ls[k])
                 at = np.flatnonzero((rc != lc[k]) & (100 * both >= percent * (rn + ln[k] - both)))
@@ -286,14 +290,20 @@ def _large_pairs(large: DataFrame, vertices: DataFrame, sets: DataFrame, alike:
                 # a pair that shares several bands is taken up in the first of them
                 at = at[(rr[at] == lr[k]).reshape(-1, REGISTERS // BAND, BAND).all(2).argmax(1) == band]
                 if len(at):
-                    at = at[likely(np.broadcast_to(lr[k], (len(at), REGISTERS)), rr[at], np.full(len(at), ln[k]), rn[at], least)]
+                    own = np.frombuffer(left.column("hashes")[k].as_buffer(), np.uint64)
+                    found = np.minimum(np.searchsorted(union, own), len(union) - 1)
+                    found = found[union[found] == own]
+                    has[found] = 1
+                    both = np.add.reduceat(has[place], heads)[at]
+                    has[found] = 0
+                    at = at[100 * both >= percent * (rn[at] + ln[k] - both)]
                     out[0].append(np.minimum(lv[k], rv[at]))
                     out[1].append(np.maximum(lv[k], rv[at]))
         cat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
         return pa.table({"a": cat[0], "b": cat[1]})
 
-    passed = minor.groupBy("key", "i", "j").cogroup(whole.groupBy("key", "i", "j")).applyInArrow(run, "a long, b long")
-    return by_shingle, passed.distinct()
+    linked = minor.groupBy("key", "i", "j").cogroup(whole.groupBy("key", "i", "j")).applyInArrow(run, "a long, b long")
+    return by_shingle, linked.distinct()
 
 
 def classes(docs: DataFrame, k: int = 5, percent: int = 80, with_key: bool = False) -> DataFrame:
@@ -324,13 +334,11 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, with_key: bool = Fal
 
         found = _open_pairs(bands.select("band", "key", "v", "n"), labels, vertices, docs, k, percent)
         if found is not None:
-            rows, passed, sets = found
-            further = _filtered(written(rows, "rows"), vertices, least)
-            further = written(further if passed is None else further.unionByName(passed).distinct(), "further")
-            if not further.isEmpty():
-                more = written(_verified(further, sets, percent), "more-links")
-                if not more.isEmpty():
-                    labels = components(links.unionByName(more))
+            rows, linked, sets = found
+            more = _verified(written(_filtered(written(rows, "rows"), vertices, least), "further"), sets, percent)
+            more = written(more if linked is None else more.unionByName(linked), "more-links")
+            if not more.isEmpty():
+                labels = components(links.unionByName(more))
 
         named = labels.join(vertices.select("v", "rep"), "v")
         smallest = written(named.groupBy("label").agg(F.min("rep").alias("component_id")), "smallest")
