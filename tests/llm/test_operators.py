@@ -334,6 +334,30 @@ def test_near_duplicates_within_large_buckets(spark, monkeypatch):
         assert [got[k]["component_id"] for k in range(len(rows))] == want
 
 
+def test_near_duplicates_in_a_dense_group(spark, monkeypatch):
+    """Documents just below and just above the threshold of one another, with common shingles only: gone through in blocks of sets."""
+    r = random.Random(1)
+    base = [f"w{r.randrange(10**6)}" for _ in range(420)]
+    rows = []
+    for k in range(70):
+        w = list(base)
+        for i in r.sample(range(420), 5 + k % 4):
+            w[i] = f"z{i}"
+        rows.append((k, " ".join(w)))
+    want = true_classes([t for _, t in rows], 5, 80)[0]
+    assert 1 < len(set(want)) < 70
+    monkeypatch.setattr(neardup, "SMALL_BUCKET", 4)
+    monkeypatch.setattr(neardup, "RARE", 2)
+    met = []
+    real = neardup._large_pairs
+    monkeypatch.setattr(neardup, "_large_pairs", lambda *a: met.append(1) or real(*a))
+    for size in (8, 512):
+        monkeypatch.setattr(neardup, "BLOCK", size)
+        got = by_id(neardup.classes(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80))
+        assert [got[k]["component_id"] for k in range(len(rows))] == want
+    assert len(met) == 2
+
+
 @pytest.mark.parametrize("k, percent, n, more, changes", [(3, 85, 700, 115, 1), (5, 80, 1500, 358, 1)])
 def test_near_duplicates_of_longer_copies(spark, k, percent, n, more, changes):
     """Copies with so much appended that the sizes' ratio is just above the threshold, and a word changed."""

@@ -268,7 +268,9 @@ def _large_pairs(large: DataFrame, vertices: DataFrame, sets: DataFrame, alike:
     large = large.join(per_key, "key").withColumn("own", F.pmod(F.xxhash64("v", F.lit(5)), F.col("blocks")).cast("int"))
     minor = large.where(F.col("c") != F.col("main")).select("key", F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "band", "v", "n", "c", "shared", "regs", "hashes")
     # a block of minor members only exists where such members hash to it
-    whole = large.join(minor.select("key", "i").distinct(), "key").select("key", "i", F.col("own").alias("j"), "v", "n", "c", "shared", "regs", "hashes")
+    whole = large.join(minor.select("key", "i").distinct(), "key")
+    # named anew, or Spark takes both sides' columns for the same ones
+    whole = whole.select(*[F.col(x).alias(y) for x, y in (("key", "key"), ("i", "i"), ("own", "j"), ("v", "v"), ("n", "n"), ("c", "c"), ("shared", "shared"), ("regs", "regs"), ("hashes", "hashes"))])
     least = percent / 100
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
