@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import documents, map_batches
+from .common import documents, kept_in_worker, map_batches
 
 #: Fixed value: the pre-tokens of this kind of vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -235,7 +235,7 @@ def compile_merges(file: bytes) -> Automaton:
     return a
 
 
-_compiled: dict[bytes, Automaton] = {}
+_compiled: dict[bytes, Automaton] = kept_in_worker(__name__)
 
 
 def automaton(file: bytes) -> Automaton:

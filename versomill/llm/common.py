@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -71,10 +74,25 @@ def written(df: DataFrame, tag: str, path: str | None = None, outlive: bool = Fa
     if path is None:
         path = new_folder(spark, tag)
         falls_to_scratch(path, outlive)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    with _small_batches(spark):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches that Spark makes are small while a table is written; the session's settings are as before afterwards."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": f"{BATCH_BYTES}b"}
+    before = {k: spark.conf.get(k) for k in limits}
+    for k, v in limits.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def dropped(df_path: str, spark: SparkSession) -> None:
     """Deletes a folder below the shared one once nothing reads it any more."""
     jvm = spark.sparkContext._jvm
@@ -96,8 +114,31 @@ def _ship_package(spark: SparkSession) -> None:
     context._versomill_shipped = True
 
 
-def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: What modules keep in a worker process from one task to the next, by module.
+_kept: dict[str, dict] = {}
+
+
+def kept_in_worker(module: str) -> dict:
+    """A module's own dict that outlives a task; it is emptied once the worker runs another module's code."""
+    return _kept.setdefault(module, {})
+
+
+def _only(module: str) -> None:
+    """Gives the memory of other modules' caches back: a worker may go on with the next stage of a job."""
+    others = [d for m, d in _kept.items() if m != module and d]
+    if not others:
+        return
+    for d in others:
+        d.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _bounded(batches: Iterator[pa.RecordBatch], module: str) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in batches of BATCH_ROWS rows and about BATCH_BYTES bytes at most."""
+    _only(module)
     for b in batches:
         rows = min(BATCH_ROWS, max(1, BATCH_BYTES * b.num_rows // max(1, b.nbytes)))
         if b.num_rows <= rows:
@@ -110,7 +151,8 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with batches small enough for long texts."""
     _ship_package(df.sparkSession)
-    return df.mapInArrow(lambda batches: fn(_bounded(batches)), schema)
+    module = fn.__module__
+    return df.mapInArrow(lambda batches: fn(_bounded(batches, module)), schema)
 
 
 def documents(docs: DataFrame) -> DataFrame:

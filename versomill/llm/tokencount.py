@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as T
-from .common import documents, map_batches
+from .common import documents, kept_in_worker, map_batches
 
 #: Entries of the broadcast table and of each summary; entries of a worker's cache before it starts anew; bytes of a pre-token in either.
 TABLE_SIZE, CACHE_SIZE, LONGEST = 1 << 14, 1 << 18, 64
@@ -38,7 +38,7 @@ TABLE_SIZE, CACHE_SIZE, LONGEST = 1 << 14, 1 << 18, 64
 FIRST_ROUND, SECOND_ROUND = 1024, 32
 
 _mark = np.array([0xE2, 0x96, 0x81], np.uint8)
-_loaded: dict[int, object] = {}
+_loaded: dict[int, object] = kept_in_worker(__name__)
 
 
 def _processor(model: bytes):

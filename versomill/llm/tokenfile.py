@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, dropped, map_batches, new_folder
+from .common import documents, dropped, kept_in_worker, map_batches, new_folder
 
 MAGIC = b"VTB1"
 #: Token ids of a block; words that a worker keeps for good, and later ones before they start anew; characters of a word that is kept; bytes of plain ids for each file.
@@ -99,7 +99,7 @@ def read_block(block: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if x else y for x, y in zip(null.tolist(), ids.tolist(), strict=True)], lengths, unpack(block[at : at + c], block[at + c :], n)
 
 
-_loaded: dict[int, tuple] = {}
+_loaded: dict[int, tuple] = kept_in_worker(__name__)
 
 
 def _encoder(file: bytes):
