@@ -196,45 +196,46 @@ def _descend(rows: _Rows, weight: np.ndarray, y: np.ndarray, params: list[np.nda
     return [emb, out, bias]
 
 
-def train(buckets: list[np.ndarray], counts: list[np.ndarray], total: np.ndarray, label: np.ndarray, least: int = LEAST, epochs: int = EPOCHS, rate: float = 60.0, sparse: float = 0.2, dim: int = DIM, seed: int = 5) -> Model:
-    """Embeddings and softmax trained together on texts as bags, which are given up on the way.
+def train(column: np.ndarray, count: np.ndarray, ends: np.ndarray, total: np.ndarray, label: np.ndarray, least: int = LEAST, epochs: int = EPOCHS, rate: float = 60.0, sparse: float = 0.2, dim: int = DIM, seed: int = 5) -> Model:
+    """Embeddings and softmax trained together on texts as bags.
 
-    Each n-gram's share of a text is divided by its root mean square over the texts,
-    so that rare and common ones count alike.  A first descent with a penalty on
+    ``column`` has each text's distinct buckets one behind the other (it is overwritten),
+    ``count`` how often each stands, ``ends`` where each text's end, and ``total`` all
+    n-grams of each.  Each n-gram's share of a text is divided by its root mean square over
+    the texts, so that rare and common ones count alike.  A first descent with a penalty on
     embeddings finds the n-grams that matter; a second one without it trains these.
     """
-    size, n = 1 << BITS, len(label)
+    size, n, block = 1 << BITS, len(label), 1 << 20
     toxic = label > 0
     share = float(toxic.mean()) if n else 0.0
     prior = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
     if not n or toxic.all() or not toxic.any():
         return Model(np.zeros(size, np.float32), prior)
     texts_of = np.zeros(size, np.int64)
-    for b in buckets:
-        texts_of[b] += 1
-    place = np.where(texts_of >= least, np.cumsum(texts_of >= least) - 1, -1).astype(np.int32)
-    used = np.flatnonzero(place >= 0)
+    for i in range(0, len(column), block):
+        texts_of += np.bincount(column[i : i + block], minlength=size)
+    used = np.flatnonzero(texts_of >= least)
     if not len(used):
         return Model(np.zeros(size, np.float32), prior)
-    ends = np.cumsum([int((place[b] >= 0).sum()) for b in buckets])
-    column, count = np.empty(ends[-1], np.int32), np.empty(ends[-1], np.uint16)
-    for k, at in enumerate(np.r_[0, ends[:-1]].tolist()):
-        own = place[buckets[k]]
-        column[at : ends[k]], count[at : ends[k]] = own[own >= 0], counts[k][own >= 0]
-        buckets[k] = counts[k] = None
-    rows = _Rows(column, count, ends, total, len(used))
+    # what is left out shares one last column, whose weight is nought
+    place = np.full(size, len(used), np.int32)
+    place[used] = np.arange(len(used))
+    for i in range(0, len(column), block):
+        column[i : i + block] = place[column[i : i + block]]
+    rows = _Rows(column, count, ends, total, len(used) + 1)
     unit = 1 / np.sqrt(len(used))
-    weight = (unit / np.sqrt(rows.turned(np.ones(n), 2) / n)).astype(np.float32)
+    weight = np.zeros(len(used) + 1, np.float32)
+    weight[:-1] = unit / np.sqrt(rows.turned(np.ones(n), 2)[:-1] / n)
     # directions at random, scaled so that the width does not change the steps along the difference
     rng = np.random.default_rng(seed)
     out = rng.standard_normal((dim, 2)).astype(np.float32)
     out *= 1.0 / max(float(np.linalg.norm(out[:, 1] - out[:, 0])), 1e-9)
     y = toxic.astype(np.float64)
-    params = [np.zeros((len(used), dim), np.float32), out, np.array([-prior / 2, prior / 2])]
+    params = [np.zeros((len(used) + 1, dim), np.float32), out, np.array([-prior / 2, prior / 2])]
     params = _descend(rows, weight, y, params, epochs, rate, sparse * unit)
     active = (params[0] != 0).any(1)
     rows = rows.only(active)
-    used, weight, params[0] = used[active], weight[active], params[0][active]
+    used, weight, params[0] = used[active[:-1]], weight[active], params[0][active]
     if len(used):
         params = _descend(rows, weight, y, params, 20 * epochs, 4 * rate, 0.0)
     emb, out, bias = params
@@ -262,20 +263,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: Column |
     """The model from at most about ``sample`` labelled rows with ``entries`` distinct n-grams together; ``keep`` says which ids may be learned from."""
     with scratch(docs.sparkSession):
         bags = written(labelled_bags(docs, labels, sample, keep), "bags")
-        sizes = sorted((r["h"], r["doc_id"], r["size"]) for r in bags.select(F.xxhash64("doc_id").alias("h"), "doc_id", "size").collect())  # as many rows as the sample
-        at = np.cumsum([x for _, _, x in sizes])
-        if len(at) and at[-1] > entries:  # in the order of a hash, as many as the bound allows
-            h, last, _ = sizes[max(int(np.searchsorted(at, entries, "right")) - 1, 0)]
-            bags = bags.where((F.xxhash64("doc_id") < h) | ((F.xxhash64("doc_id") == h) & (F.col("doc_id") <= last)))
-        ids, label, total, buckets, counts = [], [], [], [], []
-        for r in bags.select("doc_id", "label", "total", "buckets", "counts").toLocalIterator():  # a partition at a time
-            ids.append(r[0])
-            label.append(r[1])
-            total.append(r[2])
-            buckets.append(np.frombuffer(r[3], np.int32))
-            counts.append(np.frombuffer(r[4], np.uint16))
-    order = sorted(range(len(ids)), key=ids.__getitem__)  # the rows' order must not matter
-    return train([buckets[k] for k in order], [counts[k] for k in order], np.array([total[k] for k in order], np.int64), np.array([label[k] for k in order], np.int64))
+        sizes = sorted((r["h"], r["doc_id"], r["size"], r["label"], r["total"]) for r in bags.select(F.xxhash64("doc_id").alias("h"), "doc_id", "size", "label", "total").collect())  # as many rows as the sample
+        fit_in = np.cumsum([x[2] for x in sizes]) <= entries
+        chosen = sorted((doc_id, n, y, t) for (_, doc_id, n, y, t), ok in zip(sizes, fit_in, strict=True) if ok)  # in the order of a hash as many as the bound allows, then by id
+        ends = np.cumsum([n for _, n, _, _ in chosen], dtype=np.int64)
+        place = {doc_id: (int(e) - n, int(e)) for (doc_id, n, _, _), e in zip(chosen, ends, strict=True)}
+        column, count = np.empty(ends[-1] if len(ends) else 0, np.int32), np.empty(ends[-1] if len(ends) else 0, np.uint16)
+        for doc_id, buckets, counts in bags.select("doc_id", "buckets", "counts").toLocalIterator():  # a partition at a time
+            if doc_id in place:
+                low, high = place[doc_id]
+                column[low:high], count[low:high] = np.frombuffer(buckets, np.int32), np.frombuffer(counts, np.uint16)
+    return train(column, count, ends, np.array([t for *_, t in chosen], np.int64), np.array([y for _, _, y, _ in chosen], np.int64))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
