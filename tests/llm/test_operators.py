@@ -607,6 +607,46 @@ def test_quality_rules(docs, texts, empty, tied, spark):
     assert quality.quality(tied, labels).count() == 8
 
 
+@pytest.mark.parametrize("at_once", [1 << 16, 50])
+def test_quality_is_learned_from_all_labelled_rows(spark, tmp_path, monkeypatch, at_once):
+    """More than 20,000 labelled rows, some of one id: nodes, ranges and threshold are those of a plain fit on all of them."""
+    monkeypatch.setattr(quality, "AT_ONCE", at_once, raising=False)
+    word = lambda k: F.substring(F.sha1(F.concat_ws(" ", "row", k)), 1, 2 + F.pmod(F.hash("row", k), F.lit(7)))
+    marked = lambda k: F.when(F.col("row") % 11 == 0, F.concat(word(k), F.lit("#|"))).otherwise(word(k))
+    rows = spark.range(24_000, numPartitions=5).select(F.col("id").alias("row"), F.when(F.col("id") < 40, 7).otherwise(F.col("id")).alias("doc_id"))
+    rows = rows.withColumn("text", F.array_join(F.transform(F.sequence(F.lit(1), 45 + F.pmod(F.hash("row"), F.lit(20))), marked), " "))
+    rows.write.parquet(f"{tmp_path}/rows")
+    docs = spark.read.parquet(f"{tmp_path}/rows")
+    labels = docs.select("doc_id", F.expr("int(row % 11 > 0 or row < 40)").alias("quality")).distinct()
+    plain = docs.join(labels, "doc_id").select("row", "text", "quality", (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1).alias("other")).toPandas()
+    stats = quality.rule_stats(pa.array(plain["text"], pa.string()))
+    ok, x, good, other = ~quality.base_failed(stats), quality.features(stats), plain["quality"].to_numpy() > 0, plain["other"].to_numpy()
+    assert len(plain) == 24_000 and ok.sum() > 15_000
+    forest = quality.fit_forest(x[ok & good & ~other], x[ok].min(0), x[ok].max(0))
+    limit = quality.calibrated(forest, x[ok & (other | ~good)], good[ok & (other | ~good)], 0.995)
+    score = forest.score(x)
+    kept = ok & (score <= limit)
+    want = sorted((int(a[0]), int(a[1]), round(b, 9), bool(k)) for a, b, k in zip(stats, score.tolist(), kept))
+    assert sorted((r["n_words"], r["word_chars"], round(r["anomaly"], 9), r["kept"]) for r in quality.quality(docs, labels).collect()) == want
+    assert kept[ok & good].mean() > 0.99
+
+
+def test_quality_with_one_extreme_row():
+    """One row far from all others, as among very many there is one, takes nothing from what is learned of the others."""
+    r = np.random.default_rng(5)
+    n = np.full(3_000, 200)
+    stats = np.column_stack([n, 1000 + r.integers(0, 100, 3_000), r.integers(0, 3, 3_000), n * 0, n * 0, n // 10, n * 0, n * 0, n])
+    bad = np.arange(3_000) % 20 == 0
+    stats[bad, 1] += 600
+    stats[0, 1] = 200 * 1_000_000
+    x = quality.features(stats)
+    half = np.arange(3_000) % 3 == 0
+    forest = quality.fit_forest(x[~bad & ~half], x.min(0), x.max(0))
+    limit = quality.calibrated(forest, x[half | bad], ~bad[half | bad], 0.995)
+    s = forest.score(x)
+    assert (s[bad] > limit).mean() > 0.95 and (s[~bad] <= limit).mean() > 0.99
+
+
 def test_forest_isolates_what_is_far():
     r = np.random.default_rng(4)
     good, bad = r.normal(0, 1, (500, 4)), r.normal(9, 1, (60, 4))

@@ -179,13 +179,18 @@ def crc_mod(col: str, m: int):
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % m
 
 
+def label_rows(labels: DataFrame, column: str) -> DataFrame:
+    """doc_id and label of every row that has both."""
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label"))
+    return rows.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
+
+
 def sampled_labels(labels: DataFrame, column: str, bound: int, keep=None) -> DataFrame:
     """About ``bound`` labelled ids at most, chosen by a hash of the id; all of them if there are fewer.
 
     Ids that occur several times get their largest label; null ids and labels are left out.
     """
-    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label"))
-    rows = rows.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
+    rows = label_rows(labels, column)
     if keep is not None:
         rows = rows.where(keep)
     n = rows.count()
