@@ -65,15 +65,16 @@ def missing_links(links: DataFrame, anchors: DataFrame) -> DataFrame:
     return links.join(anchors.select(F.col("file"), F.col("anchor").alias("target")), ["file", "target"], "left_anti")
 
 
-def summary(rows: DataFrame) -> DataFrame:
-    """One row of figures over segments (source, translation)."""
+def summary(rows: DataFrame, judged: Column | None = None) -> DataFrame:
+    """One row of figures over segments (source, translation); those not ``judged`` are neither translated nor untranslated."""
+    judged = F.lit(True) if judged is None else judged
     missing = X.untranslated(F.col("translation"))
     return rows.agg(
         F.count("*").alias("segments"),
         F.sum(F.length("source")).cast("bigint").alias("chars"),
-        F.count_if(~missing).alias("translated"),
-        F.count_if(missing).alias("untranslated"),
-        F.when(F.count_if(missing) == 0, 0).otherwise(2).alias("exit_code"),
+        F.count_if(judged & ~missing).alias("translated"),
+        F.count_if(judged & missing).alias("untranslated"),
+        F.when(F.count_if(judged & missing) == 0, 0).otherwise(2).alias("exit_code"),
     )
 
 
