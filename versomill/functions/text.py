@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,8 +72,7 @@ def lower_words(c: Column) -> Column:
 
 def apostrophe_words(c: Column) -> Column:
     """Words without the suffix that follows an apostrophe."""
-    found = F.regexp_extract_all(c, F.lit(r"(\p{L}+(?:['’]\p{L}+)?)"), 1)
-    return F.transform(found, lambda w: F.split(w, "['’]")[0])
+    return F.regexp_extract_all(c, F.lit(r"(\p{L}+)(?:['’]\p{L}+)?"), 1)
 
 
 def sentences_for_names(c: Column) -> Column:
@@ -87,8 +89,14 @@ def sentences_any(c: Column) -> Column:
 
 
 def without_addresses(c: Column) -> Column:
-    """URLs, e-mail addresses and host names become a space."""
-    return F.regexp_replace(c, r"https?://\S+|www\.\S+|\S+@\S+|\b[\w-]+(?:\.[\w-]+)*\.(?:com|org|net|edu|gov|io)\b\S*", " ")
+    """URLs, e-mail addresses and host names become a space.
+
+    Each takes the rest of its run of signs, so that one with an @ begins where the run does.
+    Texts without a sign of any are not gone through.
+    """
+    ends = ("com", "org", "net", "edu", "gov", "io")
+    some = reduce(or_, [F.contains(c, F.lit(x)) for x in ("@", "://", "www.", *("." + x for x in ends))])
+    return F.when(some, F.regexp_replace(c, rf"https?://\S+|www\.\S+|(?<!\S)\S[^\s@]*+@\S+|\b[\w-]++(?:\.[\w-]++)*\.(?:{'|'.join(ends)})\b\S*", " ")).otherwise(c)
 
 
 def is_roman(c: Column) -> Column:

@@ -65,11 +65,45 @@ def is_source_word(token: Column, s: Column, t: Column, source: str = "en", targ
     capitals = (F.upper(token) == token) & (F.lower(token) != token) & (F.length(token) >= 3)
     first = F.substring(token, 1, 1)
     capital = (F.upper(first) == first) & (F.lower(first) != first)
-    both = (s < 3.2) | ((t >= 3.8) & (s - t < 1.5))
+    both = (s < SOURCE_LEAST) | ((t >= 3.8) & (s - t < 1.5))
     always = low.isin(C.FUNCTION_WORDS) if source == "en" else F.lit(False)
     return F.when(never, False).when(always, True).when(capitals, (s >= 4.0) & (s - t >= 1.5)).when(capital, False).when(both, False).otherwise(s - t >= 0.8)
 
 
+#: The least frequency with which a word can be the source's (but for function words).
+SOURCE_LEAST = 3.2
+
+
+def source_forms(lexicon: DataFrame, source: str, target: str) -> DataFrame:
+    """Words of which a form is a source word: w, and whether they are in lower case (plain), in capitals, with a capital first (title).
+
+    Frequencies are out of a thousand million words, so that at most 10 ** (9 - SOURCE_LEAST),
+    about 631,000, reach the least one, however large the texts: these can be broadcast.
+    """
+    always = C.FUNCTION_WORDS if source == "en" else []
+    # no condition on words alone: it would go down to one of two equal counts, which then no longer share a shuffle
+    known = frequencies(None, lexicon, source, target).where(F.when(F.col("w").isin(always), False).otherwise(F.col("s") >= SOURCE_LEAST))
+    known = known.withColumn("w", F.coalesce("w", F.lit("")))
+    named = lexicon.sparkSession.createDataFrame([(w, 0.0, 0.0) for w in always], "w string, s double, t double")
+    forms = {"plain": F.col("w"), "capitals": F.upper("w"), "title": F.initcap("w")}
+    found = known.unionByName(named).select("w", *[is_source_word(x, F.col("s"), F.col("t"), source, target).alias(k) for k, x in forms.items()])
+    return found.where("plain or capitals or title")
+
+
+def source_tokens(tokens: DataFrame, lexicon: DataFrame, source: str, target: str, word: str = "word") -> DataFrame:
+    """The tokens that ``is_source_word`` takes, for words of letters only, as ``leftover_tokens`` gives them.
+
+    A verdict depends on the word in lower case and on which letters are capitals, so it is
+    made once a word, and tokens look it up without a shuffle.
+    """
+    forms = source_forms(lexicon, source, target).select(F.col("w").alias("__w"), F.struct("plain", "capitals", "title").alias("__is"))
+    token, first = F.col(word), F.substring(word, 1, 1)
+    capitals = (F.upper(token) == token) & (F.lower(token) != token) & (F.length(token) >= 3)
+    capital = (F.upper(first) == first) & (F.lower(first) != first)
+    verdict = F.when(token == F.col("__w"), F.col("__is.plain")).when(capitals, F.col("__is.capitals")).when(capital, F.col("__is.title")).otherwise(F.col("__is.plain"))
+    return tokens.join(F.broadcast(forms), F.lower(token) == F.col("__w")).where(verdict).select(*tokens.columns)
+
+
 def leftover_tokens(rows: DataFrame, text: str, *keys: str) -> DataFrame:
     """keys, pos and word of every word of a target text, addresses left out."""
     found = X.apostrophe_words(X.without_addresses(F.coalesce(F.col(text), F.lit(""))))
