@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from versomill.functions import text as X
-from versomill.operators import lexicon
+from versomill.operators import lexicon, quality
 from versomill.plans import catalog
 
 ADDRESS = r"https?://\S+|www\.\S+|\S+@\S+|\b[\w-]+(?:\.[\w-]+)*\.(?:com|org|net|edu|gov|io)\b\S*"
@@ -43,9 +43,13 @@ def test_verdicts_of_tokens(spark, target):
         is_source = lexicon.is_source_word(F.col("word"), F.col("s"), F.col("t"), "en", target)
         want = sorted(r["k"] for r in each.where(is_source).collect())
         assert sorted(r["k"] for r in lexicon.source_tokens(tokens, lex, "en", target).collect()) == want
+        fine = F.col("word").rlike(r"^\p{Lu}") | (F.length("word") <= 2) | ((F.col("t") >= 2.5) & ~is_source)
+        fine = fine | F.col("word").rlike("[çğıöşüÇĞİÖŞÜ]") if target == "tr" else fine
+        want = {r["k"]: float(r["f"]) for r in each.select("k", fine.alias("f")).collect()}
+        assert {r["k"]: r["share"] for r in quality.target_share(tokens, lex, "word", "en", target, "k").collect()} == want
 
 
-@pytest.mark.parametrize("name", ["leftover_words", "source_runs"])
+@pytest.mark.parametrize("name", ["leftover_words", "source_runs", "target_share"])
 def test_tokens_are_not_shuffled_for_their_frequencies(spark, name):
     """Neither a join by a shuffle, whatever the sizes, nor two counts of the words."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

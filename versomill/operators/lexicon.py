@@ -70,8 +70,8 @@ def is_source_word(token: Column, s: Column, t: Column, source: str = "en", targ
     return F.when(never, False).when(always, True).when(capitals, (s >= 4.0) & (s - t >= 1.5)).when(capital, False).when(both, False).otherwise(s - t >= 0.8)
 
 
-#: The least frequency with which a word can be the source's (but for function words).
-SOURCE_LEAST = 3.2
+#: The least frequencies with which a word can be the source's (but for function words), and the target's.
+SOURCE_LEAST, TARGET_LEAST = 3.2, 2.5
 
 
 def source_forms(lexicon: DataFrame, source: str, target: str) -> DataFrame:
@@ -104,6 +104,12 @@ def source_tokens(tokens: DataFrame, lexicon: DataFrame, source: str, target: st
     return tokens.join(F.broadcast(forms), F.lower(token) == F.col("__w")).where(verdict).select(*tokens.columns)
 
 
+def target_words(lexicon: DataFrame, source: str, target: str) -> DataFrame:
+    """w: words in lower case that are frequent in the target language and no source words; by their frequency at most 3.2 million."""
+    known = frequencies(None, lexicon, source, target).where(F.col("t") >= TARGET_LEAST)
+    return known.where(~is_source_word(F.col("w"), F.col("s"), F.col("t"), source, target)).select(F.coalesce("w", F.lit("")).alias("w"))
+
+
 def leftover_tokens(rows: DataFrame, text: str, *keys: str) -> DataFrame:
     """keys, pos and word of every word of a target text, addresses left out."""
     found = X.apostrophe_words(X.without_addresses(F.coalesce(F.col(text), F.lit(""))))
